@@ -113,7 +113,7 @@ def rloo_vectorized(rollouts: DataFrame, score: str = "score") -> DataFrame:
 @register_advantage("opo")
 def opo(rollouts: DataFrame, score: str = "score", length: str = "response_length") -> DataFrame:
     """Reward minus the length-weighted mean reward of the prompt."""
-    weighted = (F.sum(F.col(length) * F.col(score)) / F.sum(length)).alias("__base")
+    weighted = F.try_divide(F.sum(F.col(length) * F.col(score)), F.sum(length)).alias("__base")
     base = F.when(F.col("__n") == 1, 0.0).otherwise(F.col("__base"))
     return _tidy(_with_moments(rollouts, score, weighted).withColumn("advantage", F.col(score) - base))
 

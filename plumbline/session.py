@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,13 +27,20 @@ def local_session(app: str = "plumbline", cpus: int | str = "*", **conf) -> Spar
     return spark
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage on the shared folder named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below ``spark.checkpoint.dir``.
 
-    A folder is made up only where the cluster names none, as in tests.
+    A local folder is made up only where the cluster names none, as in tests.
     """
+    root = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        root = tempfile.mkdtemp(prefix="plumbline-")
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage on the shared folder; survives the loss of executors."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get(CHECKPOINT_DIR, None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="plumbline-ckpt-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoint"))
     return df.checkpoint(eager=True)

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plumbline import schemas
 from plumbline.operators.calibration import auc_from_counts
+from plumbline.session import shared_folder
 
 BUCKETS = 100
 NLL_EPS = 1e-10
@@ -155,3 +156,23 @@ def stream_filter_groups(
         "append",
         GroupStateTimeout.ProcessingTimeTimeout,
     )
+
+
+def run_to_table(stream: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+    """Drain what a source holds now into a parquet table and read it back.
+
+    Table, progress and state live in a fresh folder below the shared checkpoint
+    folder of the session, so a lost executor can be replaced at any time.
+    """
+    spark = stream.sparkSession
+    root = shared_folder(spark, f"stream-{name}")
+    query = (
+        stream.writeStream.format("parquet")
+        .outputMode("append")
+        .options(**(options or {}))
+        .option("checkpointLocation", f"{root}/progress")
+        .trigger(availableNow=True)
+        .start(f"{root}/table")
+    )
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/table")
