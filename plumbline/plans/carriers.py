@@ -6,7 +6,7 @@ mark driver tables. All arithmetic that decides a value is on integers.
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -143,14 +143,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+TABLES = ["events", "lineitem", "orders", "conversations", "documents", "benchmark", "embeddings", "labels"]
+
+
+def _named(text: str, name_of: Callable[[str], str]) -> str:
+    for name in TABLES:
+        text = text.replace("{" + name + "}", name_of(name))
+    return text
+
+
 def derive(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    names = sorted(set(re.findall(r"\{(\w+)\}", text)))
-    return spark.sql(text, **{name: table(spark, sf_dir, name) for name in names})
+    return spark.sql(_named(text, lambda name: f"parquet.`{sf_dir}/{name}.parquet`"))
 
 
 def plain(text: str) -> str:
     """The same text with bare table names."""
-    return "(" + re.sub(r"\{(\w+)\}", r"\1", text).strip() + ")"
+    return "(" + _named(text, str).strip() + ")"
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:

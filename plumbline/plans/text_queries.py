@@ -77,13 +77,17 @@ def count_tags(spark, sf):
 
 @query(
     "last_boxed",
-    f"{E} select event_id, case when ends_with(boxed, '} end') then substr(split_part(boxed, 'boxed{', -1), 1, len(split_part(boxed, 'boxed{', -1)) - 5) end as content from e".replace("'boxed{'", "'boxed{'"),
+    E
+    + " select event_id, case when ends_with(boxed, '} end') then substr(split_part(boxed, 'boxed{', -1), 1, len(split_part(boxed, 'boxed{', -1)) - 5) end as content from e",
 )
 def last_boxed(spark, sf):
     return pick(spark, sf, X.last_boxed(F.col("boxed")).alias("content"))
 
 
-@query("extract_answer_simple", f"{E} select event_id, case when {last('response', 'answer:[ ]*([^|' + chr(10) + ']+)')} is not null then trim(list_extract(regexp_extract_all(response, 'answer:[ ]*([^|\n]+)', 1, 'i'), 1)) else trim(split_part(trim(response, ' ' || chr(10)), chr(10), -1)) end as answer from e")
+@query(
+    "extract_answer_simple",
+    f"{E} select event_id, coalesce(trim(list_extract(regexp_extract_all(response, 'answer:\\s*([^|\\n]+)', 1, 'i'), 1)), trim(split_part(trim(response, ' ' || chr(10)), chr(10), -1))) as answer from e",
+)
 def extract_answer_simple(spark, sf):
     return pick(spark, sf, X.extract_answer_simple(F.col("response")).alias("answer"))
 
@@ -228,20 +232,21 @@ def numeric_equal(spark, sf):
     return table(spark, sf, "events").select("event_id", M.numeric_equal(a, b).alias("same"))
 
 
-PUNCT = "regexp_replace(lower(text), '[!-/:-@\\[-`{-~]', '{}', 'g')"
+PUNCT = "[!-/:-@\\[-`{-~]"
 SQUEEZE = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
-ARTICLE = "regexp_replace({}, '\\b(a|an|the)\\b', ' ', 'g')"
 
 
-@query("normalize_qa_answer", f"select item_id, {SQUEEZE.format(ARTICLE.format(PUNCT.replace('{}', '', 1).replace('{-~', '{-~')))} as normal from benchmark")
-def normalize_qa_answer(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", qa.normalize_answer(F.col("text")).alias("normal"))
+def words_sql(clean: str) -> str:
+    """White-space separated words without articles."""
+    return f"array_to_string(list_filter(regexp_split_to_array({clean}, '\\s+'), lambda w: w not in ('', 'a', 'an', 'the')), ' ')"
 
 
-PUNCT_AFTER = "regexp_replace(" + ARTICLE.format("lower(text)") + ", '[!-/:-@\\[-`{-~]', ' ', 'g')"
+@query("normalize_qa_answer", f"select item_id, {words_sql(f"regexp_replace(lower(text), '{PUNCT}', '', 'g')")} as normal from benchmark")
+def normalize_qa_answer(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", qa.normalize_answer(F.col("text")).alias("normal"))
 
 
-@query("normalize_text_eval", f"select item_id, {SQUEEZE.format(PUNCT_AFTER)} as normal from benchmark")
+@query("normalize_text_eval", f"select item_id, {words_sql(f"regexp_replace(lower(text), '{PUNCT}', ' ', 'g')")} as normal from benchmark")
 def normalize_text_eval(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", qa.normalize_text(F.col("text")).alias("normal"))
 
@@ -277,7 +282,10 @@ def math_equal_minerva(spark, sf):
     return m.select("event_id", "m.*")
 
 
-@query("strict_box_equal", f"{E} select event_id, cast(case when ends_with(boxed, '}} end') and split_part(boxed, 'boxed{{', -1) = concat(chr(92), 'frac{{', gold, '}}{{7}}} end') then 1 else -1 end as int) as score from e")
+BOX_OK = "event_id % 8 <> 0 and split_part(boxed, 'boxed{', -1) = concat(chr(92), 'frac{', gold, '}{7}} end')"
+
+
+@query("strict_box_equal", f"{E} select event_id, cast(case when {BOX_OK} then 1 else -1 end as int) as score from e")
 def strict_box_equal(spark, sf):
     gold = F.concat(F.lit("\\frac{"), "gold", F.lit("}{7}"))
     return pick(spark, sf, M.strict_box(F.col("boxed"), gold).alias("score"))
@@ -516,7 +524,6 @@ def score_gsm8k(spark, sf):
     return scored(df.withColumn("ground_truth", gold), "gsm8k", "score")
 
 
-BOX_OK = "event_id % 8 <> 0 and split_part(boxed, 'boxed{', -1) = concat(chr(92), 'frac{', gold, '}{7}} end')"
 
 
 def boxed(spark, sf, gold):
