@@ -101,12 +101,12 @@ def _topk_in_blocks(
         "query_id",
         "vector",
         F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).cast("bigint").alias("cell"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cells - 1).cast("bigint"))).alias("cell"),
     )
     right = corpus.select(
         "doc_id",
         "vector",
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint").alias("block"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"),
         F.pmod(F.xxhash64("doc_id"), F.lit(cells)).alias("cell"),
     )
 

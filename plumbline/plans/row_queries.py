@@ -770,13 +770,13 @@ CLOSED = "(select max(ts) - interval 10 minute from events)"
 @query(
     "stream_calibration",
     f"""{P}, w as (select time_bucket(interval 1 hour, ts) as s, confidence as c, correct as y from p)
-select strftime(s, '%Y-%m-%d %H:%M') as start, count(*) as n_samples, {r('avg(c)')} as avg_confidence, {r('avg(y)')} as predictive_accuracy, {r('avg((c - y) * (c - y))')} as brier
+select strftime(s, '%Y-%m-%d %H:%M') as start, count(*) as n_samples, {r('avg(c)', 9)} as avg_confidence, {r('avg(y)', 9)} as predictive_accuracy, {r('avg((c - y) * (c - y))', 9)} as brier
 from w where s + interval 1 hour <= {CLOSED} group by s""",
 )
 def stream_calibration(spark, sf):
     """Windows behind the watermark; the open ones have not been emitted."""
     out = jobs.run_to_table(jobs.stream_calibration(event_stream(spark, sf)), "calibration")
-    return rounded(out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n_samples", "avg_confidence", "predictive_accuracy", "brier"))
+    return rounded(out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n_samples", "avg_confidence", "predictive_accuracy", "brier"), 9)
 
 
 @query(
@@ -807,7 +807,7 @@ select cast(run as varchar) as run, step, {r('0.2e0 * exp(sum(ln(m)) over (parti
 def stream_kl_controller(spark, sf):
     kl = ((F.col("event_id") * 7919) % 101).cast("double") / 1000
     stream = event_stream(spark, sf).select(F.col("user_id").cast("string").alias("run"), F.col("event_id").alias("step"), kl.alias("kl"), F.lit(8).alias("n_steps"))
-    out = jobs.run_to_table(jobs.stream_kl(stream, 0.2, 0.05, 10000.0), "kl")
+    out = jobs.run_to_table(jobs.stream_kl(stream, 0.2, 0.05, 10000.0), "kl", idle_batches=False)
     return rounded(out.select("run", "step", "beta"))
 
 
@@ -817,7 +817,7 @@ def stream_kl_controller(spark, sf):
 )
 def stream_dynamic_sampling(spark, sf):
     stream = event_stream(spark, sf).select(F.floor(F.col("event_id") / 8).alias("uid"), F.col("event_id").alias("seq_id"), F.col("confidence").alias("metric"))
-    return rounded(jobs.run_to_table(jobs.stream_filter_groups(stream, 8), "groups"))
+    return rounded(jobs.run_to_table(jobs.stream_filter_groups(stream, 8), "groups", idle_batches=False))
 
 
 @query("schema_rl_rows", f"select count(*) as n_rows, {len(RL_ROWS.fields)} as n_columns from benchmark")

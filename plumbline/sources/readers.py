@@ -133,7 +133,7 @@ def read_rollout_dumps(
         for field in rows.schema.fields:
             if isinstance(field.dataType, T.StringType) and not field.name.startswith("__"):
                 rows = rows.withColumn(field.name, F.regexp_replace(field.name, mask, "*"))
-    step = F.regexp_extract("__file", r"(\d+)\.jsonl?$", 1).try_cast("bigint")
+    step = F.regexp_extract("__file", r"/(\d+)\.jsonl?$", 1).try_cast("bigint")
     index = F.row_number().over(W.partitionBy("__file").orderBy("__at")) - 1
     return rows.withColumn("step", F.coalesce(step, F.col("step"))).withColumn("row", index).drop("__file", "__at")
 

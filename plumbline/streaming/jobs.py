@@ -158,21 +158,30 @@ def stream_filter_groups(
     )
 
 
-def run_to_table(stream: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+IDLE_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+def run_to_table(stream: DataFrame, name: str, idle_batches: bool = True) -> DataFrame:
     """Drain what a source holds now into a parquet table and read it back.
 
     Table, progress and state live in a fresh folder below the shared checkpoint
     folder of the session, so a lost executor can be replaced at any time.
+    Batches without data close windows at the end; jobs with processing-time
+    timeouts ask for them without end and must be drained without.
     """
     spark = stream.sparkSession
     root = shared_folder(spark, f"stream-{name}")
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .options(**(options or {}))
-        .option("checkpointLocation", f"{root}/progress")
-        .trigger(availableNow=True)
-        .start(f"{root}/table")
-    )
+    before = spark.conf.get(IDLE_BATCHES)
+    spark.conf.set(IDLE_BATCHES, str(idle_batches).lower())
+    try:
+        query = (
+            stream.writeStream.format("parquet")
+            .outputMode("append")
+            .option("checkpointLocation", f"{root}/progress")
+            .trigger(availableNow=True)
+            .start(f"{root}/table")
+        )
+    finally:
+        spark.conf.set(IDLE_BATCHES, before)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/table")
