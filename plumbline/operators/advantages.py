@@ -148,14 +148,19 @@ def reinforce_plus_plus_baseline(rollouts: DataFrame, score: str = "score", leng
 def whiten(df: DataFrame, col: str, out: str | None = None, weight: str = "mask", shift_mean: bool = True) -> DataFrame:
     """(x − mean) / sqrt(var + 1e-8) over all rows with positive weight.
 
-    The moments are one row and enter as scalar subqueries. They are taken in
-    two passes (mean first), which keeps them exact for large offsets.
+    The moments are one row from one pass and enter as a scalar subquery. A 0/1
+    weight uses Spark's own merging moments; other weights are summed.
     """
     w, x = F.col(weight), F.col(col)
-    mean = df.where(w > 0).agg((F.sum(w * x) / F.sum(w)).alias("m")).scalar()
-    squares = df.where(w > 0).agg((F.sum(w * F.pow(x - mean, F.lit(2.0))) / (F.sum(w) - 1)).alias("v")).scalar()
-    centred = (x - mean) / F.sqrt(squares + WHITEN_EPS)
-    return df.withColumn(out or col, centred if shift_mean else centred + mean)
+    valid = df.where(w > 0)
+    if weight == "mask":
+        mean, variance = F.avg(x), F.var_samp(x)
+    else:
+        mean = F.sum(w * x) / F.sum(w)
+        variance = (F.sum(w * x * x) - F.sum(w * x) * F.sum(w * x) / F.sum(w)) / (F.sum(w) - 1)
+    moments = valid.agg(F.struct(mean.alias("m"), variance.alias("v")).alias("s")).scalar()
+    centred = (x - moments["m"]) / F.sqrt(moments["v"] + WHITEN_EPS)
+    return df.withColumn(out or col, centred if shift_mean else centred + moments["m"])
 
 
 @register_advantage("reinforce_plus_plus")
@@ -192,16 +197,20 @@ def join_baseline(df: DataFrame, greedy: DataFrame) -> DataFrame:
 def gae(tokens: DataFrame, gamma: float = 1.0, lam: float = 1.0) -> DataFrame:
     """Generalised advantage estimation over one row per token.
 
-    Both recurrences run from the right; a masked token hands the next value
-    and the running sum through. Returns are taken before whitening.
+    Next value and running sum run from the right in one scan; a masked token
+    hands both through. Returns are taken before whitening.
     """
-    m, v = F.col("mask"), F.col("value")
-    with_next = backward_scan(
-        tokens, ["seq_id"], "pos", factor=1 - m, addend=m * v, out="__next_value", inclusive=False
-    )
-    delta = F.col("reward") + gamma * F.col("__next_value") - v
+    m, r, v = F.col("mask"), F.col("reward"), F.col("value")
     scanned = backward_scan(
-        with_next, ["seq_id"], "pos", factor=m * (gamma * lam) + (1 - m), addend=m * delta, out="__gae"
+        tokens,
+        ["seq_id"],
+        "pos",
+        factor=m * (gamma * lam) + (1 - m),
+        addend=m * (r - v),
+        out="__gae",
+        cross=m * gamma,
+        helper_factor=1 - m,
+        helper_addend=m * v,
     )
     white = whiten(scanned.withColumn("return", F.col("__gae") + v), "__gae", "advantage")
     return _tidy(white)

@@ -16,6 +16,8 @@ from plumbline.operators.scale import HOT_SHARE, REPLICAS
 BROADCAST_VALUES = 8 << 20
 QUERY_BLOCK = 4096
 CORPUS_CELL = 65536
+# Query vocabularies up to this many terms are sent to tasks to cut the postings.
+BROADCAST_TERMS = 1_000_000
 TOPK_SCHEMA = "query_id BIGINT, doc_id BIGINT, score DOUBLE"
 
 
@@ -133,23 +135,24 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 0.9, b:
     """BM25 with ``idf = ln(1 + (N − df + ½)/(df + ½))``: id, score and rank.
 
     Inputs are ``(query_id, text)`` and ``(doc_id, text)``. Postings are counted
-    map-side and cut to the queries' terms before they are weighted. A term held
+    map-side, cut to the queries' terms first where their counted vocabulary fits
+    the broadcast bound and when joined otherwise. A term held
     by more than ``hot_share`` of the postings is spread over salts, its query
     side repeated per salt; per-document scores are summed map-side.
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    vocabulary = wanted.select("term").distinct()
     tokenised = corpus.select("doc_id", terms(F.col("text")).alias("ts"))
-    lengths = tokenised.select("doc_id", F.size("ts").alias("dl"))
+    lengths = tokenised.select(F.size("ts").alias("dl"))
     totals = lengths.agg(
         F.struct(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl")).alias("t")
     ).scalar()
-    postings = (
-        tokenised.select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
-        .groupBy("doc_id", "dl", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    vocabulary = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("n_queries"))
-    freq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(vocabulary, "term")
+    words = tokenised.select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
+    if vocabulary.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        words = words.join(F.broadcast(vocabulary), "term", "left_semi")
+    postings = words.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # Counting on tf keeps this the same shuffle as the postings, so it is reused.
+    freq = postings.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     limit = F.greatest(F.lit(10_000.0), freq.agg(F.sum("df").alias("n")).scalar() * F.lit(hot_share))
     hot = freq.where(F.col("df") > limit).select("term", F.lit(True).alias("__hot"))
     idf = F.ln(1 + (totals["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -113,51 +113,71 @@ def row_index(df: DataFrame, key: str, out: str = "row", buckets: int | None = N
     return numbered.withColumn(out, F.col(out).cast("bigint")).drop("__bucket", "__one", "__g")
 
 
-def _carries(summary: DataFrame, keys: list[str], levels: int, chunk: int) -> DataFrame:
-    """State entering each chunk from its right, given every chunk's affine map."""
-    if levels > 1:
-        upper = summary.withColumn("__u", F.floor(F.col("__c") / chunk))
-        packed = upper.groupBy(*keys, "__u").agg(
-            F.sort_array(F.collect_list(F.struct("__c", "__fa", "__fb")), asc=False).alias("__t")
-        )
-        composed = packed.withColumn("__f", _compose("__t", "__fa", "__fb"))
-        tops = composed.select(
-            *keys, F.col("__u").alias("__c"), F.col("__f.a").alias("__fa"), F.col("__f.b").alias("__fb")
-        )
-        entering = _carries(tops, keys, levels - 1, chunk).withColumnRenamed("__c", "__u")
-        joined = composed.join(entering, [*keys, "__u"])
-        carried = joined.withColumn("__s", _states("__t", "__fa", "__fb", F.col("__carry"), inclusive=False))
-    else:
-        packed = summary.groupBy(*keys).agg(
-            F.sort_array(F.collect_list(F.struct("__c", "__fa", "__fb")), asc=False).alias("__t")
+# One step of a recurrence from the right, on a main and a helper state:
+#   helper' = ha * helper + hb
+#   main'   = fa * main + fc * helper + fb
+# Steps of this form compose into one of the same form.
+MAP = ["__ha", "__hb", "__fa", "__fc", "__fb"]
+
+
+def _compose(items: str) -> Column:
+    """One step standing for a whole chunk, items being in right-to-left order."""
+    start = F.struct(*[F.lit(1.0 if m in ("__ha", "__fa") else 0.0).alias(m) for m in MAP])
+
+    def then(s: Column, x: Column) -> Column:
+        return F.struct(
+            (x["__ha"] * s["__ha"]).alias("__ha"),
+            (x["__ha"] * s["__hb"] + x["__hb"]).alias("__hb"),
+            (x["__fa"] * s["__fa"]).alias("__fa"),
+            (x["__fa"] * s["__fc"] + x["__fc"] * s["__ha"]).alias("__fc"),
+            (x["__fa"] * s["__fb"] + x["__fc"] * s["__hb"] + x["__fb"]).alias("__fb"),
         )
-        carried = packed.withColumn("__s", _states("__t", "__fa", "__fb", F.lit(0.0), inclusive=False))
-    both = carried.select(*keys, F.explode(F.arrays_zip("__t", "__s")).alias("__z"))
-    return both.select(*keys, F.col("__z.__t.__c").alias("__c"), F.col("__z.__s").alias("__carry"))
-
-
-def _compose(items: str, a: str, b: str) -> Column:
-    """One affine map standing for a whole chunk, applied right to left."""
-    start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
-    return F.aggregate(
-        F.col(items),
-        start,
-        lambda s, x: F.struct((x[a] * s["a"]).alias("a"), (x[a] * s["b"] + x[b]).alias("b")),
-    )
+
+    return F.aggregate(F.col(items), start, then)
 
 
-def _states(items: str, a: str, b: str, carry: Column, inclusive: bool) -> Column:
-    """State after (or before) each item, items being in right-to-left order."""
-    start = F.struct(carry.cast("double").alias("s"), F.array().cast("array<double>").alias("out"))
+def _states(items: str, carry: Column, inclusive: bool) -> Column:
+    """``STRUCT<h, s>`` after (or before) each item, in right-to-left order."""
+    nothing = F.array().cast("array<struct<h:double,s:double>>")
+    entering = F.struct(F.coalesce(carry["h"], F.lit(0.0)).alias("h"), F.coalesce(carry["s"], F.lit(0.0)).alias("s"))
+    start = F.struct(entering.alias("at"), nothing.alias("out"))
 
-    def step(state: Column, item: Column) -> Column:
-        after = item[a] * state["s"] + item[b]
-        seen = after if inclusive else state["s"]
-        return F.struct(after.alias("s"), F.array_append(state["out"], seen).alias("out"))
+    def step(state: Column, x: Column) -> Column:
+        at = state["at"]
+        after = F.struct(
+            (x["__ha"] * at["h"] + x["__hb"]).alias("h"),
+            (x["__fa"] * at["s"] + x["__fc"] * at["h"] + x["__fb"]).alias("s"),
+        )
+        return F.struct(after.alias("at"), F.array_append(state["out"], after if inclusive else at).alias("out"))
 
     return F.aggregate(F.col(items), start, step, lambda s: s["out"])
 
 
+def _pack(df: DataFrame, groups: list[str], item: Column) -> DataFrame:
+    return df.groupBy(*groups).agg(F.sort_array(F.collect_list(item), asc=False).alias("__t"))
+
+
+def _carries(maps: DataFrame, keys: list[str], levels: int, chunk: int) -> DataFrame:
+    """State that enters chunk ``__c`` from its right neighbour.
+
+    ``maps`` holds the folded steps of all chunks but the leftmost. Sequences of
+    one chunk do not occur in it, so for short sequences this is empty.
+    """
+    item = F.struct("__c", *MAP)
+    if levels > 1:
+        packed = _pack(maps.withColumn("__u", F.floor(F.col("__c") / chunk)), [*keys, "__u"], item)
+        folded = packed.where("__u > 0").select(*keys, F.col("__u").alias("__c"), _compose("__t").alias("__f"))
+        entering = _carries(folded.select(*keys, "__c", "__f.*"), keys, levels - 1, chunk)
+        packed = packed.join(entering.withColumnRenamed("__c", "__u"), [*keys, "__u"], "left")
+        carry = F.col("__carry")
+    else:
+        packed = _pack(maps, keys, item)
+        carry = F.struct(F.lit(0.0).alias("h"), F.lit(0.0).alias("s"))
+    solved = packed.withColumn("__s", _states("__t", carry, inclusive=True))
+    both = solved.select(*keys, F.explode(F.arrays_zip("__t", "__s")).alias("__z"))
+    return both.select(*keys, (F.col("__z.__t.__c") - 1).alias("__c"), F.col("__z.__s").alias("__carry"))
+
+
 def backward_scan(
     df: DataFrame,
     keys: list[str],
@@ -166,31 +186,33 @@ def backward_scan(
     addend: Column,
     out: str,
     inclusive: bool = True,
+    cross: Column | None = None,
+    helper_factor: Column | None = None,
+    helper_addend: Column | None = None,
     chunk: int = CHUNK,
     levels: int = 2,
 ) -> DataFrame:
     """Linear recurrence ``s[t] = factor[t] * s[t+1] + addend[t]`` from the right.
 
-    Affine maps compose, so a sequence is cut into chunks of ``chunk``
-    positions: each chunk folds into one map, the maps give the state entering
-    each chunk, and the chunks are then solved side by side. No task holds more
-    than ``chunk`` tokens of one sequence at a time. ``inclusive=False`` returns
-    the state to the right of the token, ``s[t+1]``.
+    With a helper, ``h[t] = helper_factor[t] * h[t+1] + helper_addend[t]`` and
+    ``s[t]`` also gets ``cross[t] * h[t+1]``. Steps compose, so a sequence is cut
+    into chunks of ``chunk`` positions: each chunk folds into one step, the
+    folded steps give the state entering each chunk, and the chunks are then
+    solved side by side. No task holds more than ``chunk`` tokens of one
+    sequence at a time. ``inclusive=False`` returns ``s[t+1]``.
     """
     columns = [c for c in df.columns if c not in keys]
-    work = df.withColumn("__fa", factor.cast("double")).withColumn("__fb", addend.cast("double"))
-    work = work.withColumn("__c", F.floor(F.col(pos) / chunk))
-    payload = F.struct(*columns)
-    item = F.struct(F.col(pos).alias("__p"), "__fa", "__fb", payload.alias("__row"))
-    packed = work.groupBy(*keys, "__c").agg(F.sort_array(F.collect_list(item), asc=False).alias("__t"))
-    composed = packed.withColumn("__f", _compose("__t", "__fa", "__fb"))
-    maps = composed.select(*keys, "__c", F.col("__f.a").alias("__fa"), F.col("__f.b").alias("__fb"))
-    solved = composed.join(_carries(maps, keys, levels, chunk), [*keys, "__c"]).withColumn(
-        "__s", _states("__t", "__fa", "__fb", F.col("__carry"), inclusive)
-    )
+    steps = [helper_factor, helper_addend, factor, cross, addend]
+    named = [(F.lit(0.0) if c is None else c).cast("double").alias(m) for m, c in zip(MAP, steps, strict=True)]
+    work = df.select(*df.columns, *named, F.floor(F.col(pos) / chunk).alias("__c"))
+    beyond = _pack(work.where("__c > 0"), [*keys, "__c"], F.struct(F.col(pos).alias("__p"), *MAP))
+    folded = beyond.select(*keys, "__c", _compose("__t").alias("__f")).select(*keys, "__c", "__f.*")
+    packed = _pack(work, [*keys, "__c"], F.struct(F.col(pos).alias("__p"), *MAP, F.struct(*columns).alias("__row")))
+    entered = packed.join(_carries(folded, keys, levels, chunk), [*keys, "__c"], "left")
+    solved = entered.withColumn("__s", _states("__t", F.col("__carry"), inclusive))
     tokens = solved.select(*keys, F.explode(F.arrays_zip("__t", "__s")).alias("__z"))
     return tokens.select(
-        *keys, *[F.col(f"__z.__t.__row.`{c}`").alias(c) for c in columns], F.col("__z.__s").alias(out)
+        *keys, *[F.col(f"__z.__t.__row.`{c}`").alias(c) for c in columns], F.col("__z.__s.s").alias(out)
     )
 
 
