@@ -35,8 +35,9 @@ def number(c: Column) -> Column:
 
 
 def clip(c: Column, lo: float, hi: float) -> Column:
-    """Bound to ``[lo, hi]``; NaN stays NaN."""
-    return F.when(F.isnan(c), c).otherwise(F.greatest(F.lit(lo), F.least(F.lit(hi), c)))
+    """Bound to ``[lo, hi]``; NaN and NULL stay as they are."""
+    bounded = F.greatest(F.lit(lo), F.least(F.lit(hi), c))
+    return F.when(c.isNull() | F.isnan(c), c).otherwise(bounded)
 
 
 def bounded_exp(c: Column, bound: float = LOG_RATIO_BOUND) -> Column:

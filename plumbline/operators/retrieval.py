@@ -16,8 +16,8 @@ from plumbline.operators.scale import HOT_SHARE, REPLICAS
 BROADCAST_VALUES = 8 << 20
 QUERY_BLOCK = 4096
 CORPUS_CELL = 65536
-# Query vocabularies up to this many terms are sent to tasks to cut the postings.
-BROADCAST_TERMS = 1_000_000
+# Documents scored at once: a block of term counts stays near 100 MB.
+DOC_BLOCK = 1024
 TOPK_SCHEMA = "query_id BIGINT, doc_id BIGINT, score DOUBLE"
 
 
@@ -131,46 +131,126 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
 
 
-def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 0.9, b: float = 0.4, hot_share: float = HOT_SHARE):
+def bm25_topk(
+    queries: DataFrame,
+    corpus: DataFrame,
+    k: int,
+    k1: float = 0.9,
+    b: float = 0.4,
+    hot_share: float = HOT_SHARE,
+    broadcast_values: int = BROADCAST_VALUES,
+) -> DataFrame:
     """BM25 with ``idf = ln(1 + (N − df + ½)/(df + ½))``: id, score and rank.
 
-    Inputs are ``(query_id, text)`` and ``(doc_id, text)``. Postings are counted
-    map-side, cut to the queries' terms first where their counted vocabulary fits
-    the broadcast bound and when joined otherwise. A term held
-    by more than ``hot_share`` of the postings is spread over salts, its query
-    side repeated per salt; per-document scores are summed map-side.
+    Inputs are ``(query_id, text)`` and ``(doc_id, text)``. A query set whose
+    counted term matrix fits the bound goes to every task; the corpus is scored
+    where it lies and only k documents per query leave a task. Beyond the bound
+    postings and query terms are joined.
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    vocabulary = wanted.select("term").distinct()
     tokenised = corpus.select("doc_id", terms(F.col("text")).alias("ts"))
-    lengths = tokenised.select(F.size("ts").alias("dl"))
-    totals = lengths.agg(
-        F.struct(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl")).alias("t")
-    ).scalar()
+    size = wanted.agg(F.count_distinct("term").alias("t"), F.count_distinct("query_id").alias("q")).first()
+    if size.t * size.q <= broadcast_values:
+        scored = _bm25_in_place(wanted, tokenised, k, k1, b)
+    else:
+        scored = _bm25_joined(wanted, tokenised, k1, b, hot_share)
+    by_score = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return scored.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
+
+
+def _idf(n: Column) -> Column:
+    return F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+
+def _corpus_totals(tokenised: DataFrame) -> DataFrame:
+    return tokenised.agg(
+        F.struct(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("ts")).alias("avgdl")).alias("t")
+    )
+
+
+def _bm25_in_place(wanted: DataFrame, tokenised: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    """Term weights of a bounded query set against batches of documents."""
+    spark = tokenised.sparkSession
+    vocabulary = wanted.select("term").distinct()
+    seen = tokenised.select(F.explode(F.array_distinct("ts")).alias("term"))
+    freq = seen.join(F.broadcast(vocabulary), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    totals = _corpus_totals(tokenised).first().t
+    held = wanted.join(F.broadcast(freq.select("term", _idf(F.lit(totals.n)).alias("idf"))), "term").toPandas()
+    if held.empty:
+        return spark.createDataFrame([], TOPK_SCHEMA)
+    term_no, names = pd.factorize(held["term"])
+    query_no, ids = pd.factorize(held["query_id"], sort=True)
+    weights = np.zeros((len(ids), len(names)))
+    weights[query_no, term_no] = held["idf"]
+    index = pd.Series(np.arange(len(names)), index=names)
+    shared = spark.sparkContext.broadcast((ids.to_numpy() if hasattr(ids, "to_numpy") else ids, weights, index))
+    average = totals.avgdl
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        query_ids, query_weights, term_index = shared.value
+        best = None
+        for batch in batches:
+            for at in range(0, len(batch), DOC_BLOCK):
+                found = _bm25_block(batch.iloc[at : at + DOC_BLOCK], query_ids, query_weights, term_index, k, k1, b, average)
+                merged = found if best is None else pd.concat([best, found])
+                merged = merged.sort_values(["query_id", "score", "doc_id"], ascending=[True, False, True])
+                best = merged.groupby("query_id", sort=False).head(k)
+        if best is not None:
+            yield best
+
+    return tokenised.select("doc_id", F.size("ts").alias("dl"), "ts").mapInPandas(scan, TOPK_SCHEMA)
+
+
+def _bm25_block(
+    block: pd.DataFrame, query_ids: np.ndarray, weights: np.ndarray, index: pd.Series, k: int, k1: float, b: float, avgdl: float
+) -> pd.DataFrame:
+    """k best documents of one block per query; documents without a hit stay out."""
+    words = block["ts"].explode()
+    doc_no = np.repeat(np.arange(len(block)), block["ts"].map(len).clip(lower=1))
+    at = words.map(index)
+    known = at.notna().to_numpy()
+    cells = doc_no[known] * len(index) + at[known].to_numpy().astype("int64")
+    tf = np.bincount(cells, minlength=len(block) * len(index)).reshape(len(block), len(index))
+    length = block["dl"].to_numpy()[:, None]
+    weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avgdl))
+    scores = np.round(weights @ weight.T, 9)
+    doc_ids = block["doc_id"].to_numpy()
+    keep = min(k, len(doc_ids))
+    by_id = np.argsort(doc_ids, kind="stable")
+    order = by_id[np.argsort(-scores[:, by_id], axis=1, kind="stable")[:, :keep]]
+    picked = np.take_along_axis(scores, order, axis=1)
+    out = pd.DataFrame(
+        {"query_id": np.repeat(query_ids, keep), "doc_id": doc_ids[order].ravel(), "score": picked.ravel()}
+    )
+    return out[out["score"] > 0]
+
+
+def _bm25_joined(wanted: DataFrame, tokenised: DataFrame, k1: float, b: float, hot_share: float) -> DataFrame:
+    """Postings joined with query terms.
+
+    A term held by more than ``hot_share`` of the postings is spread over salts,
+    its query side repeated per salt; per-document scores are summed map-side.
+    """
+    totals = _corpus_totals(tokenised).scalar()
     words = tokenised.select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
-    if vocabulary.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        words = words.join(F.broadcast(vocabulary), "term", "left_semi")
     postings = words.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     # Counting on tf keeps this the same shuffle as the postings, so it is reused.
     freq = postings.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     limit = F.greatest(F.lit(10_000.0), freq.agg(F.sum("df").alias("n")).scalar() * F.lit(hot_share))
     hot = freq.where(F.col("df") > limit).select("term", F.lit(True).alias("__hot"))
-    idf = F.ln(1 + (totals["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
     salts = F.explode(F.sequence(F.lit(0), F.when(F.col("df") > limit, F.lit(REPLICAS - 1)).otherwise(F.lit(0))))
-    weighted_queries = wanted.join(freq.select("term", "df", idf.alias("idf")), "term").withColumn("__salt", salts)
+    weighed = wanted.join(freq.select("term", "df", _idf(totals["n"]).alias("idf")), "term").withColumn("__salt", salts)
     salted = postings.join(F.broadcast(hot), "term", "left").withColumn(
         "__salt",
         F.when(F.col("__hot"), F.pmod(F.xxhash64("doc_id"), F.lit(REPLICAS)).cast("int")).otherwise(F.lit(0)),
     )
     tf = F.col("tf")
     weight = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / totals["avgdl"]))
-    scored = (
-        salted.join(weighted_queries, ["term", "__salt"])
+    return (
+        salted.join(weighed, ["term", "__salt"])
         .groupBy("query_id", "doc_id")
         .agg(F.round(F.sum(weight), 9).alias("score"))
     )
-    by_score = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
 
 
 def short_queries(hits: DataFrame, k: int) -> DataFrame:

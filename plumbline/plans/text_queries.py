@@ -99,7 +99,7 @@ def extract_confidence_colon(spark, sf):
 
 @query(
     "extract_confidence_loose",
-    f"{E}, x as (select event_id, try_cast(regexp_extract(response, '[Cc]onfidence[:\\s]+([0-9]*\\.?[0-9]+)', 1) as double) as v from e) select event_id, {r('least(1, case when v > 1 then v / 100 else v end)')} as confidence from x",
+    f"{E}, x as (select event_id, try_cast(regexp_extract(response, '[Cc]onfidence[:\\s]+([0-9]*\\.?[0-9]+)', 1) as double) as v from e) select event_id, {r('case when v is not null then least(1, case when v > 1 then v / 100 else v end) end')} as confidence from x",
 )
 def extract_confidence_loose(spark, sf):
     return pick(spark, sf, X.confidence(F.col("response"), "loose").alias("confidence"))
