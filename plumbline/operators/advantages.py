@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.registry import ADVANTAGES, register_advantage
-from plumbline.operators.scale import attach_group, backward_scan, with_group_stats
+from plumbline.operators.scale import attach_group, backward_scan, lookup, with_group_stats
 
 EPS = 1e-6
 WHITEN_EPS = 1e-8
@@ -188,9 +188,7 @@ def remax(tokens: DataFrame, baselines: DataFrame) -> DataFrame:
 
 def join_baseline(df: DataFrame, greedy: DataFrame) -> DataFrame:
     """Spread each prompt's greedy reward over all its rows (many to one)."""
-    sized = df.groupBy("uid").agg(F.count(F.lit(1)).alias("__size"))
-    stats = sized.join(greedy.select("uid", "reward_baseline"), "uid")
-    return attach_group(df, stats, ["uid"], "__size", ["seq_id"]).drop("__size")
+    return lookup(df, greedy.select("uid", "reward_baseline"), ["uid"])
 
 
 @register_advantage("gae")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.scale import attach_group, range_bucket, running_sum
+from plumbline.operators.scale import attach_group, lookup, range_bucket, running_sum
 
 # Source names with a meaning of their own.
 MATH_SOURCES = [
@@ -90,7 +90,8 @@ def stride_shard(df: DataFrame, offset: int, stride: int, row: str = "row", head
 
 def select_rows(df: DataFrame, ids: DataFrame, row: str = "row") -> DataFrame:
     """Rows of an index list, in list order (``ordinal``), repeats kept."""
-    return ids.select(F.col("ordinal"), F.col(row)).join(df, row)
+    found = lookup(ids.select("ordinal", row), df.withColumn("__found", F.lit(True)), [row])
+    return found.where("__found").drop("__found")
 
 
 def slice_rows(df: DataFrame, start: int, end: int, step: int = 1, row: str = "row") -> DataFrame:
@@ -117,10 +118,7 @@ def keep_prompts(df: DataFrame, kept: DataFrame, uid: str = "uid") -> DataFrame:
     hot prompt's rows do not meet in one task.
     """
     flags = kept.select(uid).distinct().withColumn("__keep", F.lit(True))
-    sizes = df.groupBy(uid).agg(F.count(F.lit(1)).alias("__size"))
-    spread = [c for c in df.columns if c != uid]
-    marked = attach_group(df, sizes.join(flags, uid, "left"), [uid], "__size", spread)
-    return marked.where(F.coalesce("__keep", F.lit(False))).drop("__keep", "__size")
+    return lookup(df, flags, [uid]).where(F.coalesce("__keep", F.lit(False))).drop("__keep")
 
 
 def align_batch(df: DataFrame, prompts: int, max_rounds: int, uid: str = "uid", round_col: str = "round") -> DataFrame:

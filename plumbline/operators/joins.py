@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import CLAIM_BLOCK, claim_values, fit_labels
+from plumbline.operators.scale import lookup
 
 
 def union_columns(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -36,7 +37,8 @@ def attach_context(questions: DataFrame, ranked: DataFrame, corpus: DataFrame, t
     ``topk`` passages meet in one row.
     """
     top = ranked.where(F.col("rank") <= topk)
-    passages = top.join(corpus.select("doc_id", "contents"), "doc_id").select(
+    found = lookup(top, corpus.select("doc_id", "contents"), ["doc_id"]).where(F.col("contents").isNotNull())
+    passages = found.select(
         "question_id", "rank", format_reference(F.col("rank"), F.col("contents")).alias("passage")
     )
     ordered = F.array_sort(F.collect_list(F.struct("rank", "passage")))
@@ -68,9 +70,9 @@ def join_query_texts(texts: DataFrame, key: str = "question_id", by: str = "requ
 
 
 def flag_members(df: DataFrame, ids: DataFrame, key: str, out: str) -> DataFrame:
-    """Whether a key is in a list; the list decides its own join strategy."""
+    """Whether a key is in a list."""
     flags = ids.select(key).distinct().withColumn(out, F.lit(True))
-    return df.join(flags, key, "left").withColumn(out, F.coalesce(out, F.lit(False)))
+    return lookup(df, flags, [key]).withColumn(out, F.coalesce(out, F.lit(False)))
 
 
 def join_claim_labels(preds: DataFrame, labels: DataFrame, response: str = "full_response") -> DataFrame:
@@ -126,4 +128,4 @@ def last_labels(cache: DataFrame, order: str) -> DataFrame:
 def lookup_grades(preds: DataFrame, labels: DataFrame) -> DataFrame:
     """Cached label of each graded response; NULL means it must be graded."""
     keyed = preds.withColumn("key", grade_key(F.col("question"), F.col("reference"), F.col("model_answer")))
-    return keyed.join(labels.select("key", F.col("label").alias("grading_label")), "key", "left")
+    return lookup(keyed, labels.select("key", F.col("label").alias("grading_label")), ["key"])

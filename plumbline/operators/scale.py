@@ -59,6 +59,13 @@ def with_group_stats(
     return attach_group(rows, stats, keys, "__size", spread_by, **hot).drop("__size")
 
 
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], **hot) -> DataFrame:
+    """Left-join a table with unique keys to rows that may pile up on a key."""
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
+    spread_by = [c for c in rows.columns if c not in keys] or keys
+    return attach_group(rows, sizes.join(table, keys), keys, "__size", spread_by, **hot).drop("__size")
+
+
 def range_bucket(df: DataFrame, key: str, out: str = "__bucket", buckets: int | None = None) -> DataFrame:
     """Order-preserving bucket of a numeric key from approximate quantiles.
 

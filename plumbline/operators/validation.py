@@ -10,6 +10,8 @@ from plumbline.operators.scale import attach_group, range_bucket, running_sum, u
 from plumbline.operators.votes import majority_value
 
 KEYS = ["data_source", "uid"]
+# Draw slots are made in blocks, so that no array grows with a group.
+SLOT_BLOCK = 4096
 
 
 def score_by_source(df: DataFrame, responses: str = "responses", scorer=None, score: str = "score") -> DataFrame:
@@ -130,7 +132,9 @@ def bootstrap_draws(df: DataFrame, keys: list[str], order: str, draws: int, seed
     slots = (
         sizes.withColumn("k", F.explode(subset_sizes(F.col("n"))))
         .withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-        .withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("k"))))
+        .withColumn("__from", F.explode(F.sequence(F.lit(1), F.col("k"), F.lit(SLOT_BLOCK))))
+        .withColumn("slot", F.explode(F.sequence("__from", F.least(F.col("__from") + SLOT_BLOCK - 1, F.col("k")))))
+        .drop("__from")
     )
     u = uniform01(*[F.col(key) for key in keys], F.col("k"), F.col("draw"), F.col("slot"), F.lit(seed))
     picked = slots.withColumn("pick", F.floor(u * F.col("n")).cast("bigint")).drop("n")

@@ -9,7 +9,7 @@ from plumbline.functions.arrays import whitespace_tokens
 from plumbline.operators import builders as B
 from plumbline.operators import filters, joins, packing, retrieval, rows
 from plumbline.operators.registry import Registry
-from plumbline.operators.scale import row_index
+from plumbline.operators.scale import lookup, row_index
 from plumbline.plans.carriers import CORPUS, MESSAGES, PREDICTIONS, RESPONSES, RESULTS, derive, plain, r, rounded, table
 from plumbline.plans.registry import query
 from plumbline.schemas import RL_ROWS
@@ -333,7 +333,8 @@ def attach_retrieval_context(spark, sf):
 )
 def format_passages(spark, sf):
     questions = events(spark, sf).select(F.col("event_id").alias("question_id"))
-    hits = ranked_docs(spark, sf).where(F.col("question_id") % 3 > 0).join(derive(spark, sf, CORPUS).select("doc_id", "contents"), "doc_id")
+    ranked = ranked_docs(spark, sf).where(F.col("question_id") % 3 > 0)
+    hits = lookup(ranked, derive(spark, sf, CORPUS).select("doc_id", "contents"), ["doc_id"])
     return joins.format_passages(questions, hits).select("question_id", F.md5("text").alias("digest"))
 
 
@@ -683,10 +684,12 @@ def read_result_shards(spark, sf):
     root = shared_folder(spark, "shards")
     preds = derive(spark, sf, PREDICTIONS)
     row = F.struct(F.col("confidence"), (F.col("correct") == 1).alias("correct"))
-    # One JSON document per shard is the file format; it is the size of a shard.
+    # A document of a shard holds the rows of 4000 consecutive ids, never a whole shard.
+    block = F.floor(F.col("event_id") / 4000)
     for shard in ("m0", "m1", "m2", "m3"):
-        files = preds.where(F.col("method") == shard).agg(F.collect_list(row).alias("results"))
-        files.withColumn("metrics", F.struct(F.lit(0.3).alias("risk_threshold"))).coalesce(1).write.json(f"{root}/{shard}/results.json")
+        files = preds.where(F.col("method") == shard).groupBy(block.alias("block")).agg(F.collect_list(row).alias("results"))
+        documents = files.select("results", F.struct(F.lit(0.3).alias("risk_threshold")).alias("metrics"))
+        documents.write.json(f"{root}/{shard}/results.json")
     return _shards(spark, root)
 
 
