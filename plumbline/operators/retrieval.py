@@ -171,20 +171,27 @@ def _corpus_totals(tokenised: DataFrame) -> DataFrame:
 def _bm25_in_place(wanted: DataFrame, tokenised: DataFrame, k: int, k1: float, b: float) -> DataFrame:
     """Term weights of a bounded query set against batches of documents."""
     spark = tokenised.sparkSession
-    vocabulary = wanted.select("term").distinct()
-    seen = tokenised.select(F.explode(F.array_distinct("ts")).alias("term"))
-    freq = seen.join(F.broadcast(vocabulary), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    totals = _corpus_totals(tokenised).first().t
-    held = wanted.join(F.broadcast(freq.select("term", _idf(F.lit(totals.n)).alias("idf"))), "term").toPandas()
+    vocabulary = wanted.select("term").distinct().withColumn("known", F.lit(True))
+    # One scan for both: a row per document and distinct term, and one without a
+    # term per document that carries its length.
+    carried = F.struct(F.lit(None).cast("string").alias("term"), F.size("ts").alias("dl"))
+    listed = F.transform(F.array_distinct("ts"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("dl")))
+    marks = tokenised.select(F.explode(F.array_append(listed, carried)).alias("m")).select("m.*")
+    counted = marks.join(F.broadcast(vocabulary), "term", "left").where("known or term is null")
+    counts = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("dl")).toPandas()
+    whole = counts[counts["term"].isna()]
+    freq = counts[counts["term"].notna()].set_index("term")["df"]
+    held = wanted.toPandas()
+    held = held[held["term"].isin(freq.index)]
     if held.empty:
         return spark.createDataFrame([], TOPK_SCHEMA)
-    term_no, names = pd.factorize(held["term"])
-    query_no, ids = pd.factorize(held["query_id"], sort=True)
+    n, average = float(whole["df"].iloc[0]), float(whole["dl"].iloc[0]) / float(whole["df"].iloc[0])
+    query_no, ids = pd.factorize(held["query_id"].to_numpy(), sort=True)
+    df = held["term"].map(freq).to_numpy()
+    names = pd.Index(held["term"].unique())
     weights = np.zeros((len(ids), len(names)))
-    weights[query_no, term_no] = held["idf"]
-    index = pd.Series(np.arange(len(names)), index=names)
-    shared = spark.sparkContext.broadcast((ids.to_numpy() if hasattr(ids, "to_numpy") else ids, weights, index))
-    average = totals.avgdl
+    weights[query_no, names.get_indexer(held["term"])] = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    shared = spark.sparkContext.broadcast((ids, weights, names))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         query_ids, query_weights, term_index = shared.value
@@ -202,14 +209,13 @@ def _bm25_in_place(wanted: DataFrame, tokenised: DataFrame, k: int, k1: float, b
 
 
 def _bm25_block(
-    block: pd.DataFrame, query_ids: np.ndarray, weights: np.ndarray, index: pd.Series, k: int, k1: float, b: float, avgdl: float
+    block: pd.DataFrame, query_ids: np.ndarray, weights: np.ndarray, index: pd.Index, k: int, k1: float, b: float, avgdl: float
 ) -> pd.DataFrame:
     """k best documents of one block per query; documents without a hit stay out."""
-    words = block["ts"].explode()
-    doc_no = np.repeat(np.arange(len(block)), block["ts"].map(len).clip(lower=1))
-    at = words.map(index)
-    known = at.notna().to_numpy()
-    cells = doc_no[known] * len(index) + at[known].to_numpy().astype("int64")
+    sizes = block["ts"].map(len).to_numpy()
+    at = index.get_indexer(np.concatenate(block["ts"].to_numpy()))
+    doc_no = np.repeat(np.arange(len(block)), sizes)
+    cells = doc_no[at >= 0] * len(index) + at[at >= 0]
     tf = np.bincount(cells, minlength=len(block) * len(index)).reshape(len(block), len(index))
     length = block["dl"].to_numpy()[:, None]
     weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avgdl))
