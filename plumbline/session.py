@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -36,11 +36,3 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if root is None:
         root = tempfile.mkdtemp(prefix="plumbline-")
     return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage on the shared folder; survives the loss of executors."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoint"))
-    return df.checkpoint(eager=True)
