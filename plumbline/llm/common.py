@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +29,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def mapped(df: DataFrame, fn: Callable, schema: str, name: str, rows: int = 1024) -> DataFrame:
-    """``df.mapInArrow(fn)`` as a written table; ``rows`` bounds what a Python worker is handed at once."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(key)
-    conf.set(key, rows)
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Hand Python workers at most ``rows`` rows at once in the jobs run inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
     try:
-        return stored(df.mapInArrow(fn, schema), name)
+        yield
     finally:
-        conf.set(key, before)
+        spark.conf.set(key, before)
+
+
+def mapped(df: DataFrame, fn: Callable, schema: str, name: str, rows: int = 1024) -> DataFrame:
+    """``df.mapInArrow(fn)`` as a written table."""
+    with batches_of(df.sparkSession, rows):
+        return stored(df.mapInArrow(fn, schema), name)
 
 
 def fresh(df: DataFrame, name: str) -> str:

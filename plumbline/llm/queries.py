@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import exact, minhash
-from plumbline.llm.common import table
+from plumbline.llm import bpe, exact, minhash, mixing, packed, quality
+from plumbline.llm.common import batches_of, stored, table
+from plumbline.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -23,6 +26,32 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op2_packed_ids")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "packed")
+    packed.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    read = packed.read(spark, path)
+    with batches_of(spark, 16):
+        return stored(read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")), "op2")
+
+
+@query("op3_quality")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query("op5_byte_bpe")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bpe.Vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    digests = [F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
+    with batches_of(spark, 1024):
+        return stored(coded.select("doc_id", "n_tokens", *digests), "op5")
+
+
 @query("op6_minhash")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(table(spark, sf_dir, "documents"))
@@ -43,3 +72,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = exact.decide(table(spark, sf_dir, "documents"), exact.DigestIndex(spark))
     return decided.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op9_mixing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.sample(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "kept")
