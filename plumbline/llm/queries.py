@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, exact, minhash, mixing, packed, quality
+from plumbline.llm import bpe, exact, minhash, mixing, packed, phrases, quality
 from plumbline.llm.common import batches_of, stored, table
 from plumbline.session import shared_folder
 
@@ -74,6 +74,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query("op8_phrases")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = phrases.remove_repeats(table(spark, sf_dir, "documents"))
+    with batches_of(spark, 1024):
+        return stored(cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")), "op8")
+
+
 @query("op9_mixing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.sample(table(spark, sf_dir, "documents"))
