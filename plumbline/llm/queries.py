@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, exact, minhash, mixing, packed, phrases, quality, vectors
+from plumbline.llm import bpe, exact, licences, minhash, mixing, packed, phrases, quality, vectors
 from plumbline.llm.common import batches_of, stored, table
 from plumbline.session import shared_folder
 
@@ -79,6 +79,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query("op7_licences", licences.oracle_sql())
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents"))
+    best = F.get("licences", F.lit(0))
+    return found.select(
+        "doc_id",
+        best["licence"].alias("licence"),
+        F.coalesce(best["score"], F.lit(0.0)).alias("score"),
+        F.size("licences").cast("long").alias("n_segments"),
+    )
+
+
 @query("op8_phrases")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = phrases.remove_repeats(table(spark, sf_dir, "documents"))
