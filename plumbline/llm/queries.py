@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, exact, licences, minhash, mixing, packed, phrases, quality, vectors
+from plumbline.llm import bpe, exact, html_text, licences, minhash, mixing, packed, phrases, quality, vectors
 from plumbline.llm.common import batches_of, stored, table
 from plumbline.session import shared_folder
 
@@ -26,6 +26,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_main_text")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op2_packed_ids")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "packed")
