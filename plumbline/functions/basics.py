@@ -61,11 +61,10 @@ def first_match(c: Column, pattern: str, group: int = 1) -> Column:
     return F.try_element_at(F.regexp_extract_all(c, F.lit(pattern), F.lit(group)), F.lit(1))
 
 
-def last_match_of(c: Column, patterns: list[str], tail: int = 4000) -> Column:
+def last_match_of(c: Column, patterns: list[str]) -> Column:
     """Over several patterns the match that starts latest.
 
-    The last ``tail`` characters are searched first and the whole text only
-    where they hold no match. A later pattern wins when two start together.
+    A later pattern wins when two start together.
     """
 
     def latest(text: Column) -> Column:
@@ -82,7 +81,7 @@ def last_match_of(c: Column, patterns: list[str], tail: int = 4000) -> Column:
             )
         return F.array_max(F.array_compact(F.array(*found)))["value"]
 
-    return F.coalesce(latest(F.right(c, F.lit(tail))), latest(c))
+    return latest(c)
 
 
 def count_literal(c: Column, text: str) -> Column:
@@ -94,6 +93,12 @@ def workload(length: Column) -> Column:
     return F.lit(24576) * length + length * length
 
 
+def hash48(*parts: Column) -> Column:
+    """48 bits of a digest of the inputs: the same on any engine, and exact as a double."""
+    digest = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary"))
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint")
+
+
 def uniform01(*parts: Column) -> Column:
     """Deterministic uniform number in [0, 1) from a hash of its inputs."""
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 30)).cast("double") / F.lit(float(1 << 30))
+    return hash48(*parts).cast("double") / F.lit(float(1 << 48))

@@ -242,12 +242,11 @@ def is_idk(c: Column) -> Column:
 
 
 def gsm8k_answer(c: Column, mode: str = "strict") -> Column:
-    """Final number of a worked solution, from its last 300 characters."""
-    tail = F.right(c, F.lit(300))
+    """Final number of a worked solution, wherever it stands."""
     if mode == "strict":
-        found = last_match(tail, r"#### (\-?[0-9\.\,]+)")
+        found = last_match(c, r"#### (\-?[0-9\.\,]+)")
         return F.replace(F.replace(found, F.lit(","), F.lit("")), F.lit("$"), F.lit(""))
-    numbers = F.regexp_extract_all(tail, F.lit(r"(\-?[0-9\.\,]+)"), F.lit(1))
+    numbers = F.regexp_extract_all(c, F.lit(r"(\-?[0-9\.\,]+)"), F.lit(1))
     return let(
         numbers,
         lambda all_: F.coalesce(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.registry import ADVANTAGES, register_advantage
-from plumbline.operators.scale import attach_group, backward_scan, lookup, with_group_stats
+from plumbline.operators.scale import attach_group, backward_scan, lookup, match, with_group_stats
 
 EPS = 1e-6
 WHITEN_EPS = 1e-8
@@ -229,10 +229,10 @@ def prime_rloo(tokens: DataFrame, dpo_coef: float = 1.0, gt_coef: float = 1.0) -
     group = seq.groupBy("uid").agg(
         F.count(F.lit(1)).alias("__n"), F.sum("__rm").alias("__rm_sum"), F.sum("__acc").alias("__acc_sum")
     )
-    sized = tokens.groupBy("uid").agg(F.count(F.lit(1)).alias("__size")).join(group, "uid")
+    sized = match(tokens.groupBy("uid").agg(F.count(F.lit(1)).alias("__size")), group, ["uid"])
     with_group = attach_group(tokens, sized, ["uid"], "__size", ["seq_id", "pos"]).drop("__size")
     lasts = seq.select("uid", "seq_id", "__last")
-    rows = with_group.join(lasts, ["uid", "seq_id"], "left")
+    rows = match(with_group, lasts, ["uid", "seq_id"], "left")
     n = F.col("__n")
     rm = F.col("rm_score") * n / (n - 1) - F.col("__rm_sum") / (n - 1)
     acc = F.col("acc") * n / (n - 1) - F.col("__acc_sum") / (n - 1)

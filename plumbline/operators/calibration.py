@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from plumbline.operators.scale import running_sum
+from plumbline.operators.scale import match, running_sum
 
 # Numeric guards and grids of the metric definitions.
 NLL_EPS = 1e-10
@@ -158,13 +158,21 @@ def threshold_sweep(counts: DataFrame, by: list[str], thresholds: list[float]) -
     ladder = F.array(*[F.lit(t) for t in steps])
     level = F.size(F.filter(ladder, lambda t: t <= F.col("c"))) - 1
     filed = counts.groupBy(*by, level.alias("level")).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    whole = filed.groupBy(*by).agg(F.sum("n").alias("total"), F.sum("pos").alias("total_pos"))
-    rungs = whole.select(*by, "total", "total_pos", F.posexplode(ladder).alias("level", "t"))
-    cells = rungs.join(filed, [*by, "level"], "left")
-    above = W.partitionBy(*by).orderBy(F.desc("level")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    answered = F.sum(F.coalesce("n", F.lit(0))).over(above)
-    right = F.sum(F.coalesce("pos", F.lit(0))).over(above)
-    swept = cells.select(*by, "level", "t", "total", "total_pos", answered.alias("answered"), right.alias("right"))
+    # Every group gets an empty cell per rung; its cells are then summed from the top.
+    groups = filed.groupBy(*by).agg(F.lit(0).cast("long").alias("n"))
+    nothing = groups.select(*by, F.posexplode(ladder).alias("level", "t"), "n", F.col("n").alias("pos"))
+    cells = filed.unionByName(nothing.drop("t")).groupBy(*by, "level").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    every = W.partitionBy(*by)
+    above = every.orderBy(F.desc("level")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    swept = cells.select(
+        *by,
+        "level",
+        F.get(ladder, F.col("level")).alias("t"),
+        F.sum("n").over(every).alias("total"),
+        F.sum("pos").over(every).alias("total_pos"),
+        F.sum("n").over(above).alias("answered"),
+        F.sum("pos").over(above).alias("right"),
+    ).where("level >= 0")
     return swept.withColumn("wrong", F.col("answered") - F.col("right"))
 
 
@@ -199,7 +207,7 @@ def snr_gain(df: DataFrame, by=None, thresholds=None, c="confidence", y="correct
 def _on(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     """Join two one-row-per-group results; without groups both are one row."""
     if by:
-        return a.join(b, by)
+        return match(a, b, by)
     return a.withColumn("__one", F.lit(1)).join(b.withColumn("__one", F.lit(1)), "__one").drop("__one")
 
 

@@ -4,13 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from plumbline.functions.basics import log_sigmoid, sigmoid
-from plumbline.operators.scale import attach_group, range_bucket, running_sum, with_group_stats
-
-# A pair sum needs one running column per distinct accuracy.
-MAX_LEVELS = 32
+from plumbline.operators.scale import attach_group, match, range_bucket, running_sum, with_group_stats
 
 
 def mark_chosen(rollouts: DataFrame, score: str = "score") -> DataFrame:
@@ -64,52 +60,48 @@ def pairwise_preference_accuracy(
     others, with accuracies a < b, "score of i above score of j" must agree with
     "accuracy of i above accuracy of j": when the better response comes first it
     must score strictly higher, when it comes second it must not score lower.
-    Counting needs one running total per accuracy level over the responses
-    ordered by score, so the accuracies must take few values (0 and 1 for
-    graded answers); each level is a column of sums.
+
+    Accuracies may take any number of values. Each gets its rank within the
+    prompt; two ranks part at one binary digit, the smaller one having 0 there.
+    So every row is listed once per digit, under the digits in front of it, and
+    a row with digit 1 counts the rows with digit 0 that come before it when the
+    list is ordered by score and then by position.
     """
-    levels = rollouts.select(F.col(acc).cast("double").alias("a")).distinct().orderBy("a").limit(MAX_LEVELS + 1)
-    values = [r.a for r in levels.collect()]
-    if len(values) > MAX_LEVELS:
-        raise ValueError("accuracy takes too many values for pair counting; round it first")
     base = rollouts.select(uid, F.col(score).alias("s"), F.col(acc).cast("double").alias("a"), F.col(order).alias("o"))
-    return _pair_agreement(base, uid, values).agg(F.avg("accuracy").alias("accuracy"))
-
-
-def _pair_agreement(base: DataFrame, uid: str, levels: list[float]) -> DataFrame:
-    counted = base
-    for i, level in enumerate(levels):
-        counted = counted.withColumn(f"__is{i}", (F.col("a") == level).cast("bigint"))
-    # Agreement of a row with every strictly worse row: those scored strictly
-    # lower agree always, equal scores agree only when the worse row is earlier.
-    cut = range_bucket(counted, "s", "__bucket")
-    names = {f"__below{i}": f"__is{i}" for i in range(len(levels))}
-    ties = cut.groupBy(uid, "__bucket", "s").agg(*[F.sum(v).alias(v) for v in names.values()])
-    below = running_sum(ties, [uid], "__bucket", [F.col("s")], names, inclusive=False)
-    below = below.select(uid, "s", *names, *[F.col(v).alias(v.replace("__is", "__tie")) for v in names.values()])
-    sizes = base.groupBy(uid, "s").agg(F.count(F.lit(1)).alias("__size"))
-    placed = attach_group(counted, below.join(sizes, [uid, "s"]), [uid, "s"], "__size", ["o"])
-    # Earlier rows with the same score, per level: ordered within (uid, s).
-    tie_cut = range_bucket(placed, "o", "__tie_bucket")
-    earlier = {f"__early{i}": f"__is{i}" for i in range(len(levels))}
-    ordered = running_sum(tie_cut, [uid, "s"], "__tie_bucket", [F.col("o")], earlier, inclusive=False)
-    agree = F.lit(0.0)
-    for i, level in enumerate(levels):
-        gain = F.col("a") - F.lit(level)
-        count = F.col(f"__below{i}") + F.col(f"__early{i}")
-        agree = agree + F.when(gain > 0, gain * count).otherwise(0.0)
-    totals = base.groupBy(uid, "a").agg(F.count(F.lit(1)).alias("n"))
-    along = W.partitionBy(uid).orderBy("a").rowsBetween(W.unboundedPreceding, -1)
-    spread = totals.select(
-        uid,
-        (
-            F.col("n") * F.col("a") * F.coalesce(F.sum("n").over(along), F.lit(0))
-            - F.col("n") * F.coalesce(F.sum(F.col("n") * F.col("a")).over(along), F.lit(0.0))
-        ).alias("w"),
+    return _pair_agreement(base, uid).agg(F.avg("accuracy").alias("accuracy"))
+
+
+def _pair_agreement(base: DataFrame, uid: str) -> DataFrame:
+    for value, bucket in (("a", "__ab"), ("s", "__sb"), ("o", "__ob")):
+        base = range_bucket(base, value, bucket)
+    sizes = base.groupBy(uid, "a", "__ab").agg(F.count(F.lit(1)).alias("__n"))
+    sizes = sizes.withColumns({"__na": F.col("__n") * F.col("a"), "__one": F.lit(1)})
+    before = {"__rank": "__one", "__fewer": "__n", "__fewer_a": "__na"}
+    ranked = running_sum(sizes, [uid], "__ab", [F.col("a")], before, inclusive=False)
+    weight = ranked.groupBy(uid).agg(
+        F.sum(F.col("__na") * F.col("__fewer") - F.col("__n") * F.col("__fewer_a")).alias("weight"), F.max("__rank").cast("long").alias("__top")
     )
-    weight = spread.groupBy(uid).agg(F.sum("w").alias("weight"))
-    agreed = ordered.groupBy(uid).agg(F.sum(agree).alias("agree"))
-    return agreed.join(weight, uid).select(
+    ranks = match(ranked.select(uid, "a", "__n", F.col("__rank").cast("long").alias("__rank")), weight.select(uid, "__top"), [uid])
+    placed = attach_group(base, ranks, [uid, "a"], "__n", ["o"]).where("__top > 0")
+    listed = placed.withColumn("__digit", F.explode(F.sequence(F.lit(0), F.length(F.bin("__top")) - 1)))
+    listed = listed.withColumns(
+        {
+            "__front": F.expr("shiftright(__rank, __digit + 1)"),
+            "__zero": F.expr("1 - (shiftright(__rank, __digit) & 1)"),
+        }
+    ).withColumn("__a0", F.col("__zero") * F.col("a"))
+    keys = [uid, "__digit", "__front"]
+    sums = {"__below": "__zero", "__below_a": "__a0"}
+    # Rows scored strictly lower, counted once per distinct score.
+    ties = listed.groupBy(*keys, "s", "__sb").agg(F.count(F.lit(1)).alias("__size"), *[F.sum(v).alias(v) for v in sums.values()])
+    below = running_sum(ties, keys, "__sb", [F.col("s")], sums, inclusive=False).select(*keys, "s", "__size", *sums)
+    met = attach_group(listed, below, [*keys, "s"], "__size", ["o"])
+    # Rows of the same score that come earlier.
+    early = {"__early": "__zero", "__early_a": "__a0"}
+    ordered = running_sum(met, [*keys, "s"], "__ob", [F.col("o")], early, inclusive=False)
+    gain = F.col("a") * (F.col("__below") + F.col("__early")) - F.col("__below_a") - F.col("__early_a")
+    agreed = ordered.where("__zero = 0").groupBy(uid).agg(F.sum(gain).alias("agree"))
+    return match(weight, agreed, [uid], "left").select(
         uid, F.when(F.col("weight") > 0, F.col("agree") / F.col("weight")).otherwise(F.lit(0.5)).alias("accuracy")
     )
 

@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from plumbline.operators.scale import HOT_SHARE, REPLICAS
 
 # Query matrices up to this many values (64 MiB of doubles) are sent to tasks.
 BROADCAST_VALUES = 8 << 20
 QUERY_BLOCK = 4096
 CORPUS_CELL = 65536
+# Postings of a term above this share are spread over this many salts.
+HOT_SHARE, REPLICAS = 0.001, 64
 # Documents scored at once: a block of term counts stays near 100 MB.
 DOC_BLOCK = 1024
 TOPK_SCHEMA = "query_id BIGINT, doc_id BIGINT, score DOUBLE"

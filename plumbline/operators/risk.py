@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.calibration import _by, _on, collapse, threshold_sweep, trapz
+from plumbline.operators.scale import match
 
 
 def _rates(df: DataFrame, by: list[str], thresholds: list[float], c: str, y: str) -> DataFrame:
@@ -53,11 +54,8 @@ def tp_fn_curve(df: DataFrame, thresholds: list[float], by=None, c="confidence",
 def behavioral_report(df: DataFrame, thresholds: list[float], by=None, c="confidence", y="correct") -> DataFrame:
     """All curves and the accuracy as ``(by…, t, metric, value)``."""
     by = _by(by)
-    wide = (
-        adaptive_risk(df, thresholds, by, c, y)
-        .join(hallucination_curve(df, thresholds, by, c, y), [*by, "t"])
-        .join(tp_fn_curve(df, thresholds, by, c, y), [*by, "t"])
-    )
+    wide = match(adaptive_risk(df, thresholds, by, c, y), hallucination_curve(df, thresholds, by, c, y), [*by, "t"])
+    wide = match(wide, tp_fn_curve(df, thresholds, by, c, y), [*by, "t"])
     names = ["abstention_rate", "hallucination_rate", "snr", "snr_gain", "tp", "fn"]
     curves = wide.unpivot([*by, "t"], names, "metric", "value")
     accuracy = df.groupBy(*by).agg(F.avg(F.col(y).cast("double")).alias("value"))
@@ -122,7 +120,7 @@ def risk_sweep(
     counts = _flag_counts(stated, [*by, "t"])
     if t0_df is not None:
         zero = _flag_counts(t0_df, by)
-        missing = zero.join(counts.where(F.col("t") == 0.0), by, "left_anti") if by else zero.where(
+        missing = match(zero, counts.where(F.col("t") == 0.0).select(*by), by, "left_anti") if by else zero.where(
             counts.where(F.col("t") == 0.0).agg(F.count(F.lit(1))).scalar() == 0
         )
         counts = counts.unionByName(missing.withColumn("t", F.lit(0.0)))

@@ -9,15 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.basics import uniform01
+from plumbline.functions.basics import hash48, uniform01
 from plumbline.operators.scale import range_bucket, row_index, running_sum
 
 CELLS = 1 << 12
 
 
 def shuffle_key(row_id: str, seed: int, *more) -> Column:
-    """31-bit hash order, exact as a double so that it can be bucketed."""
-    return F.pmod(F.xxhash64(F.col(row_id), F.lit(seed), *more), F.lit(1 << 31))
+    """Hash order, exact as a double so that it can be bucketed."""
+    return hash48(F.col(row_id), F.lit(seed), *more)
 
 
 def sample_n(df: DataFrame, n: int, row_id: str, shuffle: bool = False, seed: int = 0) -> DataFrame:
@@ -33,7 +33,7 @@ def sample_n(df: DataFrame, n: int, row_id: str, shuffle: bool = False, seed: in
 
 def preview(df: DataFrame, n: int, text: str, seed: int = 42) -> DataFrame:
     """A seeded handful of rows for looking at."""
-    return df.orderBy(F.xxhash64(F.col(text), F.lit(seed)), text).limit(n)
+    return df.orderBy(hash48(F.col(text), F.lit(seed)), text).limit(n)
 
 
 def split_random(df: DataFrame, test_size: float, row_id: str, seed: int = 0) -> DataFrame:

@@ -14,10 +14,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-HOT_SHARE = 0.001
-HOT_FLOOR = 100_000
-REPLICAS = 64
+HOT_SHARE = 1e-5
+HOT_FLOOR = 1_000_000
 CHUNK = 512
+ROWS_PER_BUCKET = 1_000_000
+MAX_EDGES = 4096
+
+
+def match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, NULL being a key like any other, as it is for groupBy."""
+    names = {k: f"__r_{k}" for k in keys}
+    on = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"`{n}`")) for k, n in names.items()])
+    return left.join(right.withColumnsRenamed(names), on, how).drop(*names.values())
 
 
 def attach_group(
@@ -28,27 +36,24 @@ def attach_group(
     spread_by: list[str],
     hot_share: float = HOT_SHARE,
     hot_floor: int = HOT_FLOOR,
-    replicas: int = REPLICAS,
 ) -> DataFrame:
-    """Left-join one-row-per-key ``stats`` back to ``rows``.
+    """Left-join one-row-per-key ``stats`` back to ``rows``; NULL keys match.
 
-    A key with more than ``max(hot_floor, hot_share * all rows)`` rows is hot.
-    There are at most ``1 / hot_share`` of those, whatever the table size, so
-    their list may be broadcast; their rows are spread over ``replicas`` salts
-    and their single stats row is repeated once per salt.
+    A task should get no more than ``max(hot_floor, hot_share * all rows)`` rows
+    of one key. A key with more is hot: its rows are spread over as many salts as
+    that takes, and its single stats row is repeated once per salt. There are at
+    most ``1 / hot_share`` hot keys, whatever the table size, so their list may
+    be broadcast.
     """
     total = stats.agg(F.sum(size).alias("n"))
     limit = F.greatest(F.lit(float(hot_floor)), total.scalar() * F.lit(hot_share))
-    hot = stats.where(F.col(size) > limit).select(*keys, F.lit(True).alias("__hot"))
-    spread = stats.withColumn(
-        "__salt",
-        F.explode(F.sequence(F.lit(0), F.when(F.col(size) > limit, F.lit(replicas - 1)).otherwise(F.lit(0)))),
+    sized = stats.withColumn("__salts", F.greatest(F.ceil(F.col(size) / limit), F.lit(1)).cast("int"))
+    hot = sized.where("__salts > 1").select(*keys, "__salts")
+    spread = sized.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop("__salts")
+    salted = match(rows, F.broadcast(hot), keys, "left").withColumn(
+        "__salt", F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("__salts")).cast("int"), F.lit(0))
     )
-    salted = rows.join(F.broadcast(hot), keys, "left").withColumn(
-        "__salt",
-        F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread_by), F.lit(replicas)).cast("int")).otherwise(F.lit(0)),
-    )
-    return salted.join(spread, [*keys, "__salt"], "left").drop("__hot", "__salt")
+    return match(salted, spread, [*keys, "__salt"], "left").drop("__salts", "__salt")
 
 
 def with_group_stats(
@@ -60,29 +65,41 @@ def with_group_stats(
 
 
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], **hot) -> DataFrame:
-    """Left-join a table with unique keys to rows that may pile up on a key."""
+    """Left-join a table with unique keys to rows that may pile up on a key; NULL finds nothing."""
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
     spread_by = [c for c in rows.columns if c not in keys] or keys
     return attach_group(rows, sizes.join(table, keys), keys, "__size", spread_by, **hot).drop("__size")
 
 
 def range_bucket(df: DataFrame, key: str, out: str = "__bucket", buckets: int | None = None) -> DataFrame:
-    """Order-preserving bucket of a numeric key from approximate quantiles.
+    """Order-preserving bucket of a numeric key, sized by rows.
 
-    Only ``buckets`` edges come back to the driver. Rows with the same key share
-    a bucket, so the key should be (nearly) unique.
+    Approximate quantiles cut the table into at most ``MAX_EDGES`` parts, the only
+    numbers that come back to the driver. A larger table cuts each part evenly
+    once more, so that a bucket has about ``ROWS_PER_BUCKET`` rows at any size.
+    Rows with the same key share a bucket, so the key should be (nearly) unique.
     """
-    if buckets is None:
-        buckets = min(4096, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
-    probs = [i / buckets for i in range(1, buckets)]
     numeric = df.withColumn("__key", F.col(key).cast("double"))
-    edges = sorted(set(numeric.approxQuantile("__key", probs, 1 / (4 * buckets))))
+    parts = buckets or MAX_EDGES
+    probs = [i / parts for i in range(1, parts)]
+    found = numeric.agg(
+        F.count("__key").alias("n"), F.min("__key").alias("lo"), F.max("__key").alias("hi"), F.percentile_approx("__key", probs or [0.5], 4 * parts).alias("cuts")
+    ).first()
+    wanted = buckets or max(2, -(-found["n"] // ROWS_PER_BUCKET))
+    step = max(1, parts // min(parts, wanted))
+    edges = sorted({e for e in (found["cuts"] or [])[step - 1 :: step] if e < found["hi"]}) if parts > 1 else []
+    finer = -(-wanted // parts)
     if not edges:
         return df.withColumn(out, F.lit(0.0))
-    cut = Bucketizer(
-        splits=[-float("inf"), *edges, float("inf")], inputCol="__key", outputCol=out, handleInvalid="keep"
-    )
-    return cut.transform(numeric).drop("__key")
+    splits = [-float("inf"), *edges, float("inf")]
+    cut = Bucketizer(splits=splits, inputCol="__key", outputCol=out, handleInvalid="keep").transform(numeric)
+    if finer > 1:
+        low, high = [found["lo"], *edges], [*edges, found["hi"]]
+        at = lambda ends: F.get(F.array(*[F.lit(float(e)) for e in ends]), F.col(out).cast("int"))
+        share = (F.col("__key") - at(low)) / F.nullif(at(high) - at(low), F.lit(0.0))
+        inner = F.least(F.lit(finer - 1), F.greatest(F.lit(0), F.floor(share * finer)))
+        cut = cut.withColumn(out, F.col(out) + F.coalesce(inner, F.lit(0)) / F.lit(float(finer)))
+    return cut.drop("__key")
 
 
 def running_sum(
@@ -107,7 +124,7 @@ def running_sum(
     offsets = totals.select(
         *keys, bucket, *[F.coalesce(F.sum(f"__t_{o}").over(before), F.lit(0)).alias(f"__o_{o}") for o in values]
     )
-    joined = df.join(offsets, [*keys, bucket])
+    joined = match(df, offsets, [*keys, bucket])
     for out, value in values.items():
         joined = joined.withColumn(out, F.col(f"__o_{out}") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return joined.drop(*[f"__o_{o}" for o in values])

@@ -44,7 +44,6 @@ from plumbline.operators.filters import is_maths, is_qa, norm_source
 from plumbline.operators.registry import SCORERS, register_scorer
 
 NOTHING = "<NO_ANSWER>"
-MATHS_TAIL = 300
 
 
 def score(df: DataFrame, strategy: str, out: str = "result", **options) -> DataFrame:
@@ -99,7 +98,7 @@ def _qa_attempt(answer: Column) -> Column:
 def score_binary(df: DataFrame) -> Column:
     """+1 for right, −1 for everything else, abstention included."""
     maths = let(
-        minerva(F.right(_response(), F.lit(MATHS_TAIL)), _gold()),
+        minerva(_response(), _gold()),
         lambda m: _result(_sign(m["correct"]), m["correct"], m["pred"], abstained=m["abstained"]),
     )
     qa = let(
@@ -126,7 +125,7 @@ def score_explicit_risk(df: DataFrame) -> Column:
     # Largest usable threshold for mathematics and for questions.
     t_maths, t_qa = _risk(df, 0.999999), _risk(df, 0.999)
     maths = let(
-        minerva(F.right(_response(), F.lit(MATHS_TAIL)), _gold()),
+        minerva(_response(), _gold()),
         lambda m: _result(
             F.when(m["abstained"], 0.0).when(m["correct"], 1.0).otherwise(-t_maths / (1 - t_maths)),
             m["correct"],
@@ -164,7 +163,7 @@ def jeffreys_rule(p: Column, ok: Column) -> Column:
 
 def _confidence_rule(rule, name: str, qa_allowed: bool = True) -> Column:
     """Apply a proper scoring rule to the stated confidence of a response."""
-    tail = F.right(_response(), F.lit(MATHS_TAIL))
+    tail = _response()
     maths = let(
         F.struct(minerva(tail, _gold(), fallbacks=True).alias("m"), confidence(tail).alias("p")),
         lambda x: _result(rule(x["p"], x["m"]["correct"]), x["m"]["correct"], x["m"]["pred"], x["p"]),
@@ -208,7 +207,7 @@ def score_critic_value(df: DataFrame, rescale: bool = True) -> Column:
     v = F.col("critic_value").cast("double")
     mapped = F.when((v < 0) | (v > 1), (v + 1) / 2).otherwise(v) if rescale else v
     valued = let(
-        minerva(F.right(_response(), F.lit(1 << 30)), _gold()),
+        minerva(_response(), _gold()),
         lambda m: let(
             clip(mapped, 0.0, 1.0),
             lambda p: _result(brier_rule(p, m["correct"]), m["correct"], m["pred"], p, m["abstained"]),
@@ -301,7 +300,7 @@ def score_math_dapo(df: DataFrame, strict: bool = False) -> Column:
             strict_box_pred(_response()),
             lambda b: let(F.coalesce(b == _gold(), F.lit(False)), lambda ok: _result(_sign(ok), ok, b)),
         )
-    tail = F.right(_response(), F.lit(MATHS_TAIL))
+    tail = _response()
     return let(
         minerva(tail, _gold()),
         lambda m: let(

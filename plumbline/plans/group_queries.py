@@ -27,6 +27,11 @@ def adv_sql(expr: str) -> str:
     return f"{G}, {STATS} select seq_id, uid, {r(expr)} as advantage from s"
 
 
+def hash48(*parts):
+    """The draw of ``functions.basics.hash48`` in SQL."""
+    return f"('0x' || substr(md5(concat_ws('|', {', '.join(map(str, parts))})), 1, 12))::bigint"
+
+
 @query("adv_grpo", adv_sql("case when n = 1 then score / (1 + 1e-6) else (score - m) / (sqrt(v) + 1e-6) end"))
 def adv_grpo(spark, sf):
     return adv(spark, sf, "grpo")
@@ -532,22 +537,34 @@ def sample_n(spark, sf):
     return sampling.sample_n(derive(spark, sf, PREDICTIONS), 500, "event_id").select("event_id")
 
 
-@query("sample_n_shuffled")
+@query(
+    "sample_n_shuffled",
+    f"with p as {plain(PREDICTIONS)} select * from p order by {hash48('event_id', 3)}, event_id limit 500",
+)
 def sample_n_shuffled(spark, sf):
     return sampling.sample_n(derive(spark, sf, PREDICTIONS), 500, "event_id", shuffle=True, seed=3)
 
 
-@query("seeded_preview")
+@query(
+    "seeded_preview",
+    f"select doc_id, text from documents order by {hash48('text', 42)}, text limit 10",
+)
 def seeded_preview(spark, sf):
     return sampling.preview(spark.read.parquet(f"{sf}/documents.parquet"), 10, "text").select("doc_id", "text")
 
 
-@query("train_val_split_random")
+@query(
+    "train_val_split_random",
+    f"select case when {hash48('event_id', 7)} / 281474976710656e0 < 0.1e0 then 'test' else 'train' end as split, count(*) as count from events group by 1",
+)
 def train_val_split_random(spark, sf):
     return sampling.split_random(derive(spark, sf, PREDICTIONS), 0.1, "event_id", 7).groupBy("split").count()
 
 
-@query("shuffled_order")
+@query(
+    "shuffled_order",
+    f"select event_id, {hash48('event_id', 1, 2)} as order_key from events",
+)
 def shuffled_order(spark, sf):
     return sampling.epoch_order(derive(spark, sf, PREDICTIONS).select("event_id"), "event_id", 1, 2)
 
@@ -562,12 +579,15 @@ def curriculum_order(spark, sf):
     return sampling.curriculum_order(events.select("event_id"), scores, "event_id").select("event_id", "order_key")
 
 
-@query("mini_batches")
+@query(
+    "mini_batches",
+    f"with k as (select e.event_id, ep, row_number() over (partition by ep order by {hash48('event_id', 5, 'ep')}, event_id) - 1 as i from events e, (values (0), (1)) as v(ep)) select ep as epoch, i // 100 as batch, count(*) as n, cast(sum(event_id) as bigint) as ids from k group by 1, 2",
+)
 def mini_batches(spark, sf):
-    """Batches of every epoch hold equally many rows."""
+    """Size and members of every batch."""
     df = derive(spark, sf, PREDICTIONS).select("event_id")
     dealt = sampling.mini_batches(df, 100, 2, "event_id", 5)
-    return dealt.groupBy("epoch", "batch").agg(F.count(F.lit(1)).alias("n"))
+    return dealt.groupBy("epoch", "batch").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
 
 @query("reweighted_resample")
@@ -575,7 +595,10 @@ def reweighted_resample(spark, sf):
     return sampling.pf_resample(rollouts(spark, sf).select("seq_id", "score"), "pow", 2.0)
 
 
-@query("assign_risk_t")
+@query(
+    "assign_risk_t",
+    f"select event_id, round({hash48('event_id', 11)} / 281474976710656e0, 3) as risk_t from events",
+)
 def assign_risk_t(spark, sf):
     df = derive(spark, sf, PREDICTIONS).select("event_id")
     return sampling.assign_risk_t(df, "event_id", seed=11)

@@ -28,11 +28,15 @@ def local_session(app: str = "plumbline", cpus: int | str = "*", **conf) -> Spar
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``.
+    """A fresh folder below ``spark.checkpoint.dir``, which every executor reaches.
 
-    A local folder is made up only where the cluster names none, as in tests.
+    Only a single-machine session may go without the setting; it gets a temporary
+    folder. On a cluster a missing setting is an error, for no local folder of
+    the driver can stand in for a shared one.
     """
     root = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
     if root is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors share")
         root = tempfile.mkdtemp(prefix="plumbline-")
     return f"{root}/{name}-{uuid.uuid4().hex}"

@@ -144,13 +144,15 @@ def test_best_of_n_closed_form(spark):
 def test_pair_accuracy_against_all_pairs(spark):
     rng = random.Random(5)
     rows = [(u, i, float(rng.randint(0, 3)), float(rng.randint(0, 1))) for u in range(6) for i in range(7)]
+    # More distinct accuracies than any fixed number of levels, and a prompt without differences.
+    rows += [(6, i, float(rng.randint(0, 9)), rng.random()) for i in range(60)] + [(7, i, float(i), 0.5) for i in range(3)]
     df = spark.createDataFrame(rows, "uid BIGINT, seq_id BIGINT, score DOUBLE, acc DOUBLE")
     per = []
-    for u in range(6):
+    for u in range(8):
         group = [r for r in rows if r[0] == u]
         hit = weight = 0.0
-        for i in range(7):
-            for j in range(i + 1, 7):
+        for i in range(len(group)):
+            for j in range(i + 1, len(group)):
                 d = group[i][3] - group[j][3]
                 weight += abs(d)
                 hit += abs(d) * ((group[i][2] - group[j][2] > 0) == (d > 0))

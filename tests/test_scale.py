@@ -2,9 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import balancing, filters, retrieval, sampling, tokens
+from plumbline.operators import balancing, calibration, filters, retrieval, risk, sampling, scale, tokens
 from plumbline.operators.scale import attach_group, backward_scan, row_index, running_sum, with_group_stats
 
 
@@ -16,7 +17,7 @@ def skewed(spark, n=900):
 
 def test_group_stats_with_hot_key(spark):
     rows, df = skewed(spark)
-    got = with_group_stats(df, ["k"], [F.sum("v").alias("s")], ["id"], hot_floor=20, hot_share=0.01, replicas=8)
+    got = with_group_stats(df, ["k"], [F.sum("v").alias("s")], ["id"], hot_floor=20, hot_share=0.01)
     sums = {}
     for _, k, v in rows:
         sums[k] = sums.get(k, 0.0) + v
@@ -24,10 +25,41 @@ def test_group_stats_with_hot_key(spark):
 
 
 def test_hot_key_is_spread(spark):
-    _, df = skewed(spark)
-    stats = df.groupBy("k").agg(F.count("*").alias("n"))
-    plan = attach_group(df, stats, ["k"], "n", ["id"], hot_floor=20, replicas=8)._jdf.queryExecution().toString()
-    assert "__salt" in plan and "BroadcastHashJoin" in plan or "SortMergeJoin" in plan
+    """The most rows that meet one stats row do not grow with the key."""
+    for n in (900, 3600):
+        _, df = skewed(spark, n)
+        stats = df.groupBy("k").agg(F.count("*").alias("n"))
+        joined = attach_group(df, stats, ["k"], "n", ["id"], hot_floor=40)
+        plan = joined._jdf.queryExecution().optimizedPlan().toString()
+        assert "__salt" in plan and joined.count() == n
+        salts = F.ceil(F.lit(n / 3) / 40)
+        most = df.where("k = 0").groupBy(F.pmod(F.xxhash64("id"), salts)).count().agg(F.max("count")).first()[0]
+        assert most < 100
+
+
+def test_null_keys_form_a_group(spark):
+    df = spark.createDataFrame([(1, None, 1.0), (2, None, 3.0), (3, "a", 5.0)], "id BIGINT, k STRING, v DOUBLE")
+    got = with_group_stats(df, ["k"], [F.sum("v").alias("s")], ["id"])
+    assert sorted((r.id, r.s) for r in got.collect()) == [(1, 4.0), (2, 4.0), (3, 5.0)]
+
+
+def test_null_groups_keep_their_metrics(spark):
+    rows = [(None, 0.9, True), (None, 0.2, False), ("a", 0.8, False), ("a", 0.6, True)]
+    df = spark.createDataFrame(rows, "data_source STRING, confidence DOUBLE, correct BOOLEAN")
+    named = df.withColumn("data_source", F.coalesce("data_source", F.lit("none")))
+    for metric in (calibration.calibration_report, calibration.confidence_auc, calibration.snr_gain, calibration.smoothed_ece):
+        with_null = {r[0] or "none": tuple(r)[1:] for r in metric(df, ["data_source"]).collect()}
+        assert with_null == {r[0]: pytest.approx(tuple(r)[1:]) for r in metric(named, ["data_source"]).collect()}
+    swept = {(r.data_source or "none", r.t): r.abstention_rate for r in risk.adaptive_risk(df, [0.5], ["data_source"]).collect()}
+    assert swept == {("none", 0.5): 0.5, ("a", 0.5): 0.0}
+
+
+def test_finer_buckets_keep_the_order(spark, monkeypatch):
+    monkeypatch.setattr(scale, "MAX_EDGES", 4)
+    monkeypatch.setattr(scale, "ROWS_PER_BUCKET", 10)
+    cut = scale.range_bucket(spark.range(500).withColumn("v", F.col("id") * F.col("id")), "v", "b")
+    rows = sorted((r.v, r.b) for r in cut.collect())
+    assert [b for _, b in rows] == sorted(b for _, b in rows) and len({b for _, b in rows}) > 20
 
 
 def test_running_sum_over_buckets(spark):
