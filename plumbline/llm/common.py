@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.session import shared_folder
@@ -73,6 +73,8 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
 
     Null counts as empty. ``lower`` lowers A-Z only.
     """
+    if texts.offset:  # the kernels below misread arrays that do not start at 0
+        texts = texts.take(pa.array(range(len(texts)), pa.int64()))
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     words = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     ends = np.asarray(words.offsets) - words.offsets[0].as_py()
@@ -114,25 +116,17 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
     Alternates large-star and small-star steps: every node hangs its larger
     neighbours, then its smaller ones, on its smallest neighbour until nothing
     moves. Each step aggregates before it joins, so a node with very many
-    neighbours is split like any skewed join key, and each result is a written
-    table. Null ends and loops are dropped; an empty input gives no rows.
+    neighbours is split like any skewed join key, and each round is one written
+    table, whose count and checksum are observed as it is written. Null ends and
+    loops are dropped; an empty input gives no rows.
     """
     links = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
     links = links.where("src is not null and dst is not null and src <> dst")
-    links = stored(
-        links.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), name
-    )
-    seen = _mark(links)
+    seen = None
     while True:
         both = links.union(links.select("dst", "src"))
         least = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("low"))
-        large = (
-            both.join(least, "src")
-            .where("dst > src and dst <> low")
-            .select(F.col("dst").alias("src"), F.col("low").alias("dst"))
-            .distinct()
-        )
-        large = stored(large, name)
+        large = both.join(least, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
         low = large.groupBy("src").agg(F.min("dst").alias("low"))
         small = (
             large.join(low, "src")
@@ -141,14 +135,11 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
             .union(low.select("src", F.col("low").alias("dst")))
             .distinct()
         )
-        links = stored(small, name)
-        mark = _mark(links)
-        if mark == seen:
+        watch = Observation()
+        marks = F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("src", "dst")).alias("sum")
+        links = stored(small.observe(watch, *marks), name)
+        if watch.get == seen:
             break
-        seen = mark
+        seen = watch.get
     found = links.select(F.col("src").alias("id"), F.col("dst").alias("component"))
     return found.union(links.select(F.col("dst").alias("id"), F.col("dst").alias("component")).distinct())
-
-
-def _mark(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("src", "dst"))).first())

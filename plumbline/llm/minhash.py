@@ -6,10 +6,10 @@ all; a coordinate keeps the smallest value of the first round that reached it.
 So every coordinate is filled, most documents need one or two rounds, and the
 share of equal coordinates is concentrated around the Jaccard similarity.
 
-Bands of four coordinates name buckets. Inside a bucket a pivot is compared with
-the members that are not yet in its component; what is still apart after some
-pivots is compared in full. Every candidate is confirmed on whole shingle sets
-(64-bit hashes of the shingles).
+Bands of four coordinates name buckets. In each bucket a pivot is compared with
+the other members, which joins most of a large group in one step; what is still
+apart in a bucket is compared in tiles of bounded size. Every link is confirmed on
+whole shingle sets (64-bit hashes of the shingles).
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ PLANES = 4
 #: Pairs of which fewer of the 128 cut coordinates agree are not looked at: at
 #: similarity 0.75 the count has mean 98 and deviation 4.8.
 LEAST_AGREEING = 64
-#: Pivots per bucket before what is left is compared in full.
-PIVOTS = 3
+#: Documents of a tile, about; members from which a component has its own tiles; shingles multiplied at once.
+TILE, LARGE, COLUMNS = 256, 64, 8_192
 
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 BITS = [f"bits{i}" for i in range(PLANES * COORDINATES // 64)]
@@ -80,7 +80,7 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
 
 def _bands(sketches: np.ndarray) -> np.ndarray:
     """One hash per band, with the band's number in it."""
-    rows = sketches.reshape(len(sketches), -1, ROWS)
+    rows = sketches.reshape(len(sketches), COORDINATES // ROWS, ROWS)
     total = np.broadcast_to(np.arange(rows.shape[1], dtype=np.uint64), rows.shape[:2])
     for place in range(ROWS):
         total = mix(total ^ rows[:, :, place]) + np.uint64(place + 1)
@@ -99,7 +99,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = shingle_sets(part.column("text"))
             full = [i for i, s in enumerate(sets) if len(s)]
             made = sketch([sets[i] for i in full])
-            bands, planes = _bands(made).tolist(), _planes(made) if full else np.empty((0, len(BITS)), np.int64)
+            bands, planes = _bands(made).tolist(), _planes(made)
             rows = dict(zip(full, range(len(full))))
             bits = np.zeros((len(sets), len(BITS)), np.int64)
             bits[full] = planes
@@ -147,6 +147,88 @@ def _agreeing(a: str, b: str) -> Column:
     return reduce(lambda x, y: x + y, same)
 
 
+def _intersections(one: list[np.ndarray], two: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of ``one[i]`` and ``two[j]``."""
+    if len(i) <= 4 * (len(one) + len(two)):
+        return np.array([len(np.intersect1d(one[a], two[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist())], np.int64)
+    values, place = np.unique(np.concatenate([*one, *two]), return_inverse=True)
+    rows = np.repeat(np.arange(len(one) + len(two)), [len(s) for s in [*one, *two]])
+    total = np.zeros((len(one), len(two)), np.float32)
+    order = np.argsort(place, kind="stable")
+    place, rows = place[order], rows[order]
+    for start in range(0, len(values), COLUMNS):
+        a, b = np.searchsorted(place, [start, start + COLUMNS])
+        held = np.zeros((len(one) + len(two), COLUMNS), np.float32)
+        held[rows[a:b], place[a:b] - start] = 1
+        total += held[: len(one)] @ held[len(one) :].T
+    return total[i, j].astype(np.int64)
+
+
+def _compare_tiles(rows: pa.Table) -> pa.Table:
+    """Links between the documents of a pair of tiles, as edges to the smallest id met."""
+    side, ids, known = (rows[c].to_numpy() for c in ("side", "doc_id", "component"))
+    bits = np.column_stack([rows[b].to_numpy() for b in BITS])
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["shingles"].combine_chunks()]
+    sizes = np.array([len(s) for s in sets])
+    one, two = np.flatnonzero(side <= 1), np.flatnonzero(side != 1)
+    half = COORDINATES // 64
+    agree = np.zeros((len(one), len(two)), np.int64)
+    for word in range(half):
+        differ = np.zeros(agree.shape, np.int64)
+        for plane in range(PLANES):
+            column = bits[:, plane * half + word]
+            differ |= column[one][:, None] ^ column[two][None, :]
+        agree += 64 - np.bitwise_count(differ.view(np.uint64)).astype(np.int64)
+    small, large = np.minimum(sizes[one][:, None], sizes[two][None, :]), np.maximum(sizes[one][:, None], sizes[two][None, :])
+    open_ = (agree >= LEAST_AGREEING) & (100 * small >= 75 * large) & (known[one][:, None] != known[two][None, :])
+    if (side == 0).all():
+        open_ = np.triu(open_, 1)
+    i, j = np.nonzero(open_)
+    both = _intersections([sets[k] for k in one], [sets[k] for k in two], i, j)
+    i, j = one[i], two[j]
+    sure = 100 * both >= 75 * (sizes[i] + sizes[j] - both)
+    i, j = i[sure], j[sure]
+    low = ids.copy()
+    while True:
+        before, least = low.copy(), np.minimum(low[i], low[j])
+        np.minimum.at(low, i, least)
+        np.minimum.at(low, j, least)
+        if (before == low).all():
+            break
+    met = np.flatnonzero(low != ids)
+    return pa.table({"src": ids[met], "dst": low[met]})
+
+
+def _compared(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Every link between components of the buckets in ``rest``, in tiles of bounded size.
+
+    Documents of a large component share tiles, others those of their fullest
+    bucket. Two tiles are compared once if some bucket holds documents of both.
+    """
+    docs = rest.groupBy("doc_id").agg(
+        F.max(F.struct("n", "key")).alias("full"), F.min("component").alias("component"), *[F.first(b).alias(b) for b in BITS]
+    )
+    sized = docs.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    docs = docs.join(sized, "component")
+    own = F.col("size") >= LARGE
+    home = F.when(own, F.xxhash64(F.lit("c"), "component")).otherwise(F.xxhash64(F.lit("b"), "full.key"))
+    salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.when(own, F.col("size")).otherwise(F.col("full.n")) / TILE))
+    docs = stored(docs.select("doc_id", "component", *BITS, F.xxhash64(home, salt).alias("tile"), own.alias("pure")), "tiles")
+    where = rest.select("key", "doc_id").join(docs.select("doc_id", "tile", "pure", "component"), "doc_id")
+    spots = stored(where.select("key", "tile", F.when(F.col("pure"), F.col("component")).alias("only")).distinct(), "spots")
+    a, b = spots.alias("a"), spots.alias("b")
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.tile") <= F.col("b.tile")) & ~(F.coalesce(F.col("a.only") == F.col("b.only"), F.lit(False))))
+    met = met.select(F.col("a.tile").alias("one"), F.col("b.tile").alias("two")).distinct().withColumn("pair", F.xxhash64("one", "two"))
+    same = F.col("one") == F.col("two")
+    ends = F.array(
+        F.struct(F.col("one").alias("tile"), F.when(same, 0).otherwise(1).alias("side")),
+        F.when(~same, F.struct(F.col("two").alias("tile"), F.lit(2).alias("side"))),
+    )
+    homes = stored(met.select("pair", F.explode(ends).alias("e")).where("e is not null").select("pair", "e.*"), "homes")
+    rows = docs.drop("pure").join(sets, "doc_id").join(homes, "tile").select("pair", "side", "doc_id", "component", *BITS, "shingles")
+    return stored(rows.groupBy("pair").applyInArrow(_compare_tiles, "src long, dst long"), "links")
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs``.
 
@@ -174,10 +256,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def confirmed(pairs: DataFrame) -> DataFrame:
         one = sets.select(F.col("doc_id").alias("src"), F.col("shingles").alias("one"))
         two = sets.select(F.col("doc_id").alias("dst"), F.col("shingles").alias("two"))
-        full = stored(pairs.distinct(), "pairs").join(one, "src").join(two, "dst").select("src", "dst", "one", "two")
+        full = pairs.distinct().join(one, "src").join(two, "dst").select("src", "dst", "one", "two")
         return mapped(full, _confirm, "src long, dst long", "links", rows=256)
 
-    links: list[DataFrame] = []
     component: DataFrame | None = None
 
     def placed(members: DataFrame) -> DataFrame:
@@ -186,31 +267,20 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         known = component.select(F.col("id").alias("doc_id"), "component")
         return members.join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
-    for _ in range(PIVOTS):
-        members = placed(live)
-        pivots = members.groupBy("key").agg(
-            F.min(F.struct("doc_id", "component", *BITS)).alias("p"), F.min("component").alias("lo"), F.max("component").alias("hi")
-        )
-        held = stored(members.join(pivots.where("lo < hi").select("key", "p"), "key").where("doc_id <> p.doc_id"), "open")
-        pairs = held.alias("m").where("component <> p.component").where(_agreeing("m", "p") >= LEAST_AGREEING)
-        links.append(confirmed(pairs.select(F.col("p.doc_id").alias("src"), F.col("m.doc_id").alias("dst"))))
-        component = connected(reduce(DataFrame.union, links))
-        live = held.select("doc_id", "key", *BITS)
-        if live.isEmpty():
-            break
+    def grown(links: DataFrame) -> DataFrame:
+        known = links if component is None else links.union(component.select("id", "component"))
+        return connected(known)
+
     members = placed(live)
-    apart = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    rest = stored(members.join(apart.select("key"), "key"), "rest")
-    a, b = rest.alias("a"), rest.alias("b")
-    pairs = a.join(
-        b,
-        (F.col("a.key") == F.col("b.key"))
-        & (F.col("a.doc_id") < F.col("b.doc_id"))
-        & (F.col("a.component") != F.col("b.component"))
-        & (_agreeing("a", "b") >= LEAST_AGREEING),
-    )
-    links.append(confirmed(pairs.select(F.col("a.doc_id").alias("src"), F.col("b.doc_id").alias("dst"))))
-    component = connected(reduce(DataFrame.union, links))
+    # Each bucket draws its own pivot, so a group that shares many buckets meets many of its members.
+    draw = F.struct(F.xxhash64("doc_id", "key").alias("draw"), "doc_id", *BITS)
+    pivots = members.groupBy("key").agg(F.min(draw).alias("p"))
+    pairs = members.alias("m").join(pivots, "key").where("doc_id <> p.doc_id").where(_agreeing("m", "p") >= LEAST_AGREEING)
+    component = grown(confirmed(pairs.select(F.least("p.doc_id", "m.doc_id").alias("src"), F.greatest("p.doc_id", "m.doc_id").alias("dst"))))
+    members = placed(live)
+    ends = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
+    rest = stored(members.join(ends.where("lo < hi").select("key", "n"), "key"), "rest")
+    component = grown(_compared(rest, sets))
     named = placed(speakers.select("set_key", "doc_id")).select("set_key", "component")
     return (
         rows.select("doc_id", "n_shingles", "set_key")
