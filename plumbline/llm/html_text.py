@@ -185,10 +185,12 @@ def main_text(page: str | None, weight: dict[str, float]) -> str:
     marked = _labelled(tokens)
     scores = []
     for run in tokens:
-        if run.text is None:
+        if marked and run.content:  # every kind of tag lies in marked content; boilerplate there is left out, not held against it
+            scores.append(-LEAST if run.text is None else 0.0 if run.boiler else run.words * weight["inside"])
+        elif run.text is None:
             scores.append(weight.get(run.kind, -LEAST))
         elif marked and not run.boiler:
-            scores.append(run.words * weight["inside" if run.content else "outside"])
+            scores.append(run.words * weight["outside"])
         else:
             scores.append(run.words * weight.get(run.kind, 0.0))
     start, stop = region(scores)
