@@ -54,7 +54,7 @@ def features(texts: pa.Array) -> np.ndarray:
     at_least = np.maximum(n, 1)
     owner = np.repeat(np.arange(len(raw)), n)
     lengths = np.array([len(w) for w in words], float)
-    marked = np.array([not w[-1].isalpha() and w[-1] not in ".,;:?'\")" for w in words], float)
+    marked = np.array([not w[-1:].isalpha() and w[-1:] not in ".,;:?'\")" for w in words], float)
     shouted = np.array([len(w) > 1 and w.isupper() for w in words], float)
     per_text = lambda of_word: np.bincount(owner, of_word[codes] if len(codes) else None, minlength=len(raw)) / at_least
     distinct, top, repeated, lines = (np.zeros(len(raw)) for _ in range(4))
@@ -125,19 +125,22 @@ def _tree(g: np.ndarray, h: np.ndarray, depth: int = 2) -> np.ndarray:
 
 
 def _pair_tree(g: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """A split along one feature, then one along the other on each side."""
-
-    def along_rows(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
-        cut = _cut(g.sum(axis=1), h.sum(axis=1))
-        parts, gain = [], 0.0
-        for rows in (slice(0, cut), slice(cut, None)) if cut else (slice(None),):
-            a, b = g[rows], h[rows]
-            values = _tree(a.sum(axis=0), b.sum(axis=0), 1)
-            gain += float((values * a.sum(axis=0)).sum())
-            parts.append(np.broadcast_to(values, a.shape))
-        return gain, np.concatenate(parts)
-
-    one, two = along_rows(g, h), along_rows(g.T, h.T)
+    """A split along one feature and one along the other on each side, the best of all first splits."""
+
+    def best(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
+        found, out = -1.0, np.zeros_like(g)
+        for cut in range(len(g)):
+            parts, gain = [], 0.0
+            for a, b in ((g[:cut], h[:cut]), (g[cut:], h[cut:])) if cut else ((g, h),):
+                across = a.sum(axis=0)
+                values = _tree(across, b.sum(axis=0), 1)
+                gain += float((values * across).sum())
+                parts.append(np.broadcast_to(values, a.shape))
+            if gain > found:
+                found, out = gain, np.concatenate(parts)
+        return found, out
+
+    one, two = best(g, h), best(g.T, h.T)
     return one[1] if one[0] >= two[0] else two[1].T
 
 
