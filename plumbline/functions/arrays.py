@@ -51,7 +51,8 @@ def response_mask(ids: Column, eos_ids: list[int]) -> Column:
 
 
 def slice_mask(mask: Column, response_length: int) -> Column:
-    return F.slice(mask, F.lit(-response_length), F.lit(response_length))
+    """The last ``response_length`` entries, or all if there are fewer."""
+    return F.slice(mask, F.greatest(F.size(mask) - response_length + 1, F.lit(1)), F.lit(response_length))
 
 
 def position_ids(mask: Column) -> Column:

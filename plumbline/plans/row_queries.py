@@ -169,9 +169,9 @@ def truncate_keep_tail(spark, sf):
     return token_arrays(spark, sf).select("doc_id", joined(Y.truncate_keep_tail(F.col("ids"), 32)).alias("ids"))
 
 
-@query("mask_from_attention", f"{TOK} select doc_id, {listed('list_transform(ids[-8:], lambda v: case when v > 4 then 1 else 0 end)')} as mask from d where len(ids) >= 8")
+@query("mask_from_attention", f"{TOK} select doc_id, {listed('list_transform(ids[-8:], lambda v: case when v > 4 then 1 else 0 end)')} as mask from d")
 def mask_from_attention(spark, sf):
-    df = token_arrays(spark, sf).where(F.size("ids") >= 8)
+    df = token_arrays(spark, sf)
     mask = F.transform("ids", lambda v: (v > 4).cast("int"))
     return df.select("doc_id", joined(Y.slice_mask(mask, 8)).alias("mask"))
 
@@ -224,11 +224,11 @@ def slice_rows(spark, sf):
     return filters.slice_rows(numbered(spark, sf), 10, 900, 3).select("event_id")
 
 
-@query("select_rows", "select user_id as ordinal, e.event_id, e.event_type from events e join (select event_id as ordinal_id, user_id from events) i on e.event_id = (i.ordinal_id * 7) % 1000".replace("user_id as ordinal", "i.ordinal_id as ordinal"))
+@query("select_rows", "select user_id as ordinal, e.event_id, e.event_type from events e join (select event_id as ordinal_id, user_id from events) i on e.event_id = (i.ordinal_id * 7) % (select count(*) from events)".replace("user_id as ordinal", "i.ordinal_id as ordinal"))
 def select_rows(spark, sf):
     """Every row names a row to take; some are taken many times."""
     df = events(spark, sf).select(F.col("event_id").alias("row"), "event_id", "event_type")
-    ids = df.select(F.col("row").alias("ordinal"), ((F.col("row") * 7) % 1000).alias("row"))
+    ids = df.select(F.col("row").alias("ordinal"), ((F.col("row") * 7) % df.agg(F.count(F.lit(1))).scalar()).alias("row"))
     return filters.select_rows(df, ids).select("ordinal", "event_id", "event_type")
 
 
@@ -345,27 +345,27 @@ UNIT = "select vec_id, label, list_transform(embedding, lambda x: cast(x as doub
 
 @query(
     "dense_topk",
-    f"""with u as ({UNIT}), s as (select q.vec_id as query_id, d.vec_id as doc_id, round(list_inner_product(q.v, d.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(d.v, d.v))), 12) as score from u q, u d where q.label = 1),
+    f"""with u as ({UNIT}), s as (select q.vec_id as query_id, d.vec_id as doc_id, round(list_inner_product(q.v, d.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(d.v, d.v))), 12) as score from u q, u d where q.vec_id % 20 = 0),
 k as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s)
 select query_id, doc_id, cast(rank as int) as rank, {r('score')} as score from k where rank <= 3""",
 )
 def dense_topk(spark, sf):
     vectors = table(spark, sf, "embeddings")
-    queries = vectors.where("label = 1").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     corpus = vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     return rounded(retrieval.dense_topk(queries, corpus, 3))
 
 
 @query(
     "dense_topk_blocks",
-    f"""with u as ({UNIT}), s as (select q.vec_id as query_id, d.vec_id as doc_id, round(list_inner_product(q.v, d.v), 12) as score from u q, u d where q.label = 2),
+    f"""with u as ({UNIT}), s as (select q.vec_id as query_id, d.vec_id as doc_id, round(list_inner_product(q.v, d.v), 12) as score from u q, u d where q.vec_id % 20 = 0),
 k as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s)
 select query_id, doc_id, cast(rank as int) as rank, {r('score')} as score from k where rank <= 5""",
 )
 def dense_topk_blocks(spark, sf):
     """The way taken when the queries are too many to send around."""
     vectors = table(spark, sf, "embeddings")
-    queries = vectors.where("label = 2").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     corpus = vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     return rounded(retrieval.dense_topk(queries, corpus, 5, False, query_block=64, corpus_cell=256, broadcast_values=0))
 

@@ -545,9 +545,9 @@ def score_geo(spark, sf):
     return scored(boxed(spark, sf, F.concat(F.lit("\\frac{"), "gold", F.lit("}{7}"))), "geo3k", "score")
 
 
-@query("score_math_lenient", f"{E} select event_id, case when {BOX_OK} then 1e0 else 0e0 end as score from e where event_id % 8 <> 0")
+@query("score_math_lenient", f"{E} select event_id, case when {BOX_OK} then 1e0 else 0e0 end as score from e")
 def score_math_lenient(spark, sf):
-    df = boxed(spark, sf, F.concat(F.lit("\\frac{"), "gold", F.lit("}{7}"))).where(F.col("event_id") % 8 != 0)
+    df = boxed(spark, sf, F.concat(F.lit("\\frac{"), "gold", F.lit("}{7}")))
     return scored(df, "prime_math", "score")
 
 
@@ -715,9 +715,9 @@ def _load_counter():
     return lambda text: [len(word) for word in text.split()]
 
 
-@query("tokenizer_hook", "select doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) as n_tokens from documents where lang = 'en'")
+@query("tokenizer_hook", "select doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) as n_tokens from documents")
 def tokenizer_hook(spark, sf):
-    docs = table(spark, sf, "documents").where("lang = 'en'")
+    docs = table(spark, sf, "documents")
     return registry.with_token_ids(docs, _load_counter, "text").select("doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"))
 
 
@@ -746,9 +746,9 @@ def register_scorer(spark, sf):
     return docs.select("doc_id", scorers.get("length")(docs).alias("score"))
 
 
-@query("drop_overlong_prompts", "select doc_id from documents where len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) <= 200 and lang = 'en'")
+@query("drop_overlong_prompts", "select doc_id from documents where len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) <= 200")
 def drop_overlong_prompts(spark, sf):
-    docs = table(spark, sf, "documents").where("lang = 'en'")
+    docs = table(spark, sf, "documents")
     sized = docs.withColumn("n_tokens", F.size(whitespace_tokens(F.col("text"))))
     return filters.drop_overlong(sized, 200, "n_tokens").select("doc_id")
 
