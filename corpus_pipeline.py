@@ -13,7 +13,9 @@ from plumbline.llm.common import batches_of, stored, table
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the quality classifier accepts; it learns from ``labels`` of ``sf_dir``."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs.withColumn("__row", F.struct(*docs.columns)), model).where("predicted = 1").select("__row.*")
+    others = F.struct(*[c for c in docs.columns if c != "text"]).alias("__row")
+    kept = quality.score(docs.select("text", others), model).where("predicted = 1")
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
