@@ -38,6 +38,11 @@ API_CONFIDENCE = [
     r"(?i)confidence[:\s]+([0-9]*\.?[0-9]+)",
     r"置信度[:\s：]+([0-9]*\.?[0-9]+)",
 ]
+SOLVED_NUMBER = r"#### (\-?[0-9\.\,]+)"
+ANY_NUMBER = r"(\-?[0-9\.\,]+)"
+CHOICE_LINE = r"(?iU)Answer[ \t]*:[ \t]*\$?([A-D])\$?"
+THINK_THEN_ANSWER = r"(?sU)^\s*<think>(?:(?!</?(?:think|answer)>).)*</think>\s*<answer>(?:(?!</?(?:think|answer)>).)*</answer>\s*$"
+THINK_THEN_BOX = r"(?s)^<think>.*</think>.*\\boxed\{.*\}.*$"
 IDK_TOKEN = "<IDK>"
 IDK_SPELLINGS = ["<idk>", "<idk/>", "idk", "i don't know", "i do not know", "unknown"]
 QUESTION_MARKERS = ["Question:", "Question："]
@@ -244,9 +249,9 @@ def is_idk(c: Column) -> Column:
 def gsm8k_answer(c: Column, mode: str = "strict") -> Column:
     """Final number of a worked solution, wherever it stands."""
     if mode == "strict":
-        found = last_match(c, r"#### (\-?[0-9\.\,]+)")
+        found = last_match(c, SOLVED_NUMBER)
         return F.replace(F.replace(found, F.lit(","), F.lit("")), F.lit("$"), F.lit(""))
-    numbers = F.regexp_extract_all(c, F.lit(r"(\-?[0-9\.\,]+)"), F.lit(1))
+    numbers = F.regexp_extract_all(c, F.lit(ANY_NUMBER), F.lit(1))
     return let(
         numbers,
         lambda all_: F.coalesce(
@@ -257,17 +262,16 @@ def gsm8k_answer(c: Column, mode: str = "strict") -> Column:
 
 def choice_answer(c: Column) -> Column:
     """Letter of a multiple-choice answer line."""
-    return first_match(c, r"(?iU)Answer[ \t]*:[ \t]*\$?([A-D])\$?")
+    return first_match(c, CHOICE_LINE)
 
 
 def is_valid_think_answer(c: Column) -> Column:
     """Exactly one think block followed by one answer block, blanks between."""
-    shape = r"(?sU)^\s*<think>(?:(?!</?(?:think|answer)>).)*</think>\s*<answer>(?:(?!</?(?:think|answer)>).)*</answer>\s*$"
-    return c.rlike(shape)
+    return c.rlike(THINK_THEN_ANSWER)
 
 
 def think_boxed_format(c: Column) -> Column:
-    return c.rlike(r"(?s)^<think>.*</think>.*\\boxed\{.*\}.*$").cast("double")
+    return c.rlike(THINK_THEN_BOX).cast("double")
 
 
 def clean_brackets(c: Column) -> Column:

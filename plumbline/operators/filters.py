@@ -25,8 +25,20 @@ QA_SOURCES = [
     "simpleqa_gtgrpo",
     "hotpot_qa",
     "nq_hotpotqa_searchr1",
-    *QA_NAMES,
-    *[f"flashrag_{name}" for name in QA_NAMES],
+    "popqa",
+    "nq",
+    "hotpotqa",
+    "musique",
+    "2wikimultihopqa",
+    "triviaqa",
+    "bamboogle",
+    "flashrag_popqa",
+    "flashrag_nq",
+    "flashrag_hotpotqa",
+    "flashrag_musique",
+    "flashrag_2wikimultihopqa",
+    "flashrag_triviaqa",
+    "flashrag_bamboogle",
 ]
 
 

@@ -17,7 +17,13 @@ EM_SETS = [
     "nq_hotpotqa_searchr1",
     "hotpotqa",
     "hotpot_qa",
-    *[f"flashrag_{n}" for n in ("nq", "triviaqa", "popqa", "hotpotqa", "2wikimultihopqa", "musique", "bamboogle")],
+    "flashrag_nq",
+    "flashrag_triviaqa",
+    "flashrag_popqa",
+    "flashrag_hotpotqa",
+    "flashrag_2wikimultihopqa",
+    "flashrag_musique",
+    "flashrag_bamboogle",
 ]
 
 

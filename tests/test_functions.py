@@ -8,6 +8,7 @@ from plumbline.functions import dialogue as D
 from plumbline.functions import maths as M
 from plumbline.functions import prompts, qa
 from plumbline.functions import text as X
+from plumbline.operators import scoring
 
 
 @pytest.mark.parametrize(
@@ -136,3 +137,15 @@ def test_risk_prompt_states_percent_and_penalty(one):
     text = one(prompts.build_prompt(F.lit("q?"), "explicit_risk", F.lit(False), F.lit(0.8)))
     assert "80 percent" in text and "4.00 points" in text and "q?" in text
     assert "inf points" in one(prompts.build_prompt(F.lit("q"), "explicit_risk", F.lit(True), F.lit(1.0)))
+
+
+def test_long_tails_are_read_whole(spark, one):
+    """What follows an answer, however long, does not hide it."""
+    tail = " and so the matter is closed" * 250
+    assert one(X.gsm8k_answer(F.lit("#### 42" + tail))) == "42"
+    assert one(M.strict_box(F.lit("\\boxed{7}" + tail), F.lit("7"))) == 1
+    row = ("Answer: 42\n" + tail, ["42"], "math_dapo", "Confidence: 0.5\nAnswer: 42\n" + tail)
+    df = spark.createDataFrame([row], "response STRING, ground_truth ARRAY<STRING>, data_source STRING, long STRING")
+    assert scoring.score(df, "math_dapo").first()["result"]["score"] == 1.0
+    stated = df.drop("response").withColumnRenamed("long", "response")
+    assert scoring.score(stated, "verbalized_brier").first()["result"]["score"] == 0.75
