@@ -202,18 +202,20 @@ def _compare_tiles(rows: pa.Table) -> pa.Table:
 def _compared(rest: DataFrame, sets: DataFrame) -> DataFrame:
     """Every link between components of the buckets in ``rest``, in tiles of bounded size.
 
-    Documents of a large component share tiles, others those of their fullest
-    bucket. Two tiles are compared once if some bucket holds documents of both.
+    Documents of a large component share tiles, others those of the largest
+    component they meet in a bucket. Two tiles are compared once if some bucket
+    holds documents of both.
     """
-    docs = rest.groupBy("doc_id").agg(
-        F.max(F.struct("n", "key")).alias("full"), F.min("component").alias("component"), *[F.first(b).alias(b) for b in BITS]
-    )
+    docs = stored(rest.groupBy("doc_id").agg(F.min("component").alias("component"), *[F.first(b).alias(b) for b in BITS]), "members")
     sized = docs.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    docs = docs.join(sized, "component")
+    tops = rest.select("key", "component").join(sized, "component").groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"))
+    near = rest.select("key", "doc_id").join(tops, "key").groupBy("doc_id").agg(F.max("top")["component"].alias("by"))
     own = F.col("size") >= LARGE
-    home = F.when(own, F.xxhash64(F.lit("c"), "component")).otherwise(F.xxhash64(F.lit("b"), "full.key"))
-    salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.when(own, F.col("size")).otherwise(F.col("full.n")) / TILE))
-    docs = stored(docs.select("doc_id", "component", *BITS, F.xxhash64(home, salt).alias("tile"), own.alias("pure")), "tiles")
+    home = F.when(own, F.xxhash64(F.lit("own"), "component")).otherwise(F.xxhash64(F.lit("near"), "by"))
+    docs = docs.join(sized, "component").join(near, "doc_id").select("doc_id", "component", *BITS, home.alias("home"), own.alias("pure"))
+    full = docs.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("salts"))
+    tile = F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), F.col("salts")))
+    docs = stored(docs.join(full, "home").select("doc_id", "component", *BITS, tile.alias("tile"), "pure"), "tiles")
     where = rest.select("key", "doc_id").join(docs.select("doc_id", "tile", "pure", "component"), "doc_id")
     spots = stored(where.select("key", "tile", F.when(F.col("pure"), F.col("component")).alias("only")).distinct(), "spots")
     a, b = spots.alias("a"), spots.alias("b")
@@ -278,8 +280,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     pairs = members.alias("m").join(pivots, "key").where("doc_id <> p.doc_id").where(_agreeing("m", "p") >= LEAST_AGREEING)
     component = grown(confirmed(pairs.select(F.least("p.doc_id", "m.doc_id").alias("src"), F.greatest("p.doc_id", "m.doc_id").alias("dst"))))
     members = placed(live)
-    ends = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
-    rest = stored(members.join(ends.where("lo < hi").select("key", "n"), "key"), "rest")
+    ends = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    rest = stored(members.join(ends.where("lo < hi").select("key"), "key"), "rest")
     component = grown(_compared(rest, sets))
     named = placed(speakers.select("set_key", "doc_id")).select("set_key", "component")
     return (
