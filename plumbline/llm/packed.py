@@ -33,8 +33,9 @@ END_ID = 1
 #: Words of ids in a block, unless one document has more.
 BLOCK_WORDS = 1 << 16
 #: Words a worker remembers with their ids, in each of two generations.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 MARK = "\x01"
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 BLOCKS = "part int, block int, first_doc long, start long, doc_ids array<long>, n_tokens array<long>, offsets array<long>, words binary"
 
 
@@ -49,13 +50,14 @@ def pack(ids: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarray, n
     ends = np.array([size]) if ends is None else np.asarray(ends)
     if not size:
         return ids, np.zeros(len(ends), np.int64)
-    places = np.arange(size)
-    stop = np.repeat(ends, np.diff(ends, prepend=0))
-    reach, chosen = np.ones(size, np.int64), np.full(size, ESCAPE, np.int64)
+    places = np.arange(size, dtype=np.int32)
+    stop = np.repeat(ends, np.diff(ends, prepend=0)).astype(np.int32)
+    reach, chosen = np.ones(size, np.int32), np.full(size, ESCAPE, np.int8)
+    widths = np.searchsorted(np.uint64(1) << np.arange(61, dtype=np.uint64), ids, side="right").astype(np.int8)
     for selector in range(len(COUNTS) - 1, -1, -1):
         if selector == ESCAPE:
             continue
-        wide = np.where(ids >> np.uint64(WIDTHS[selector]) != 0, places, size)
+        wide = np.where(widths > WIDTHS[selector], places, np.int32(size))
         wide = np.minimum.accumulate(wide[::-1])[::-1]
         fits = np.minimum(wide, stop) - places >= COUNTS[selector]
         if not fits.any() and COUNTS[selector] > 8:
@@ -134,26 +136,37 @@ class Encoder:
             self.old: dict[str, bytes] = {}
 
     def words(self, words: list[str]) -> list[bytes]:
+        """Ids of every word. A letter ends a piece where a mark follows it, so closing marks are looked up apart."""
+        marks, heads = set(MARKS), list(words)
+        tails: dict[int, str] = {}
+        for i in [i for i, word in enumerate(words) if word[-1:] in marks]:
+            head = words[i].rstrip(MARKS)
+            if head[-1:].isalpha():
+                heads[i], tails[i] = head, words[i][len(head) :]
+        ids = self.pieces(list({*heads, *tails.values()} - {""}))
+        ids[""] = b""
+        out = [ids[h] for h in heads]
+        for i, tail in tails.items():
+            out[i] += ids[tail]
+        return out
+
+    def pieces(self, words: list[str]) -> dict[str, bytes]:
         young, old = self.young, self.old
-        found = [young[w] if w in young else old.get(w) for w in words]
-        new = [i for i, ids in enumerate(found) if ids is None]
-        plain = [i for i in new if MARK not in words[i]]
-        if len(self.mark) != 1:
-            plain = []
+        found = {w: young[w] if w in young else old.get(w) for w in words}
+        new = [w for w, ids in found.items() if ids is None]
+        plain = [w for w in new if MARK not in w] if len(self.mark) == 1 else []
         for start in range(0, len(plain), 1 << 14):
             group = plain[start : start + (1 << 14)]
-            text = f" {MARK} ".join(words[i] for i in group)
+            text = f" {MARK} ".join(group)
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            for i, own in zip(group, np.split(ids, np.flatnonzero(ids == self.mark[0]))):
-                found[i] = (own[1:] if len(own) and own[0] == self.mark[0] else own).tobytes()
-        apart = set(plain)
-        for i in new:
-            if i not in apart:
-                found[i] = np.array(self.tokenizer.encode(words[i], add_special_tokens=False).ids, np.uint32).tobytes()
-            if len(young) >= REMEMBERED:
-                self.old = old = young
-                self.young = young = {}
-            young[words[i]] = found[i]
+            for word, own in zip(group, np.split(ids, np.flatnonzero(ids == self.mark[0]))):
+                found[word] = (own[1:] if len(own) and own[0] == self.mark[0] else own).tobytes()
+        for word in new:
+            if found[word] is None:
+                found[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
+            if len(self.young) >= REMEMBERED:
+                self.old, self.young = self.young, {}
+            self.young[word] = found[word]
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
