@@ -89,20 +89,22 @@ def key_words(text: str, threshold: float) -> set[str]:
     """Words of which any matching segment has one.
 
     A match shares at least ``size * threshold / (2 - threshold)`` bigrams, so it
-    has one of any that are more than the rest; those without common words go first.
+    has one of any that are more than the rest. Those with the longest uncommon
+    word are taken, for long words are rare, and of each its longest such word.
     """
     pairs = [b.split()[:2] for b in template_bigrams(text)]
     needed = -int(-size_bounds(len(pairs), threshold)[0] // 1)
-    pairs.sort(key=lambda p: (p[0] in COMMON) + (p[1] in COMMON))
-    return {a if a not in COMMON else b for a, b in pairs[: len(pairs) - needed + 1]}
+    telling = [max(p, key=lambda w: (w not in COMMON, len(w))) for p in pairs]
+    telling.sort(key=lambda w: (w in COMMON, -len(w)))
+    return set(telling[: len(pairs) - needed + 1])
 
 
-def segments(text: Column) -> Column:
-    """Word lists of the lines, the sentences and the whole of a text, each once."""
+def segments(text: Column, pattern: str) -> Column:
+    """Word lists of the lines, the sentences and the whole of a text that match ``pattern``."""
     plain = F.regexp_replace(F.translate(text, UPPER, LOWER), "[^a-z0-9.!?;\n]+", " ")
     pieces = F.concat(F.split(plain, "\n"), F.split(plain, "\n|[.!?;] "), F.array(plain))
-    spaced = F.transform(F.array_distinct(pieces), lambda s: F.translate(s, ".!?;\n", "     "))
-    return F.array_distinct(F.transform(spaced, lambda s: F.filter(F.split(s, " "), lambda w: w != "")))
+    named = F.filter(F.array_distinct(pieces), lambda s: s.rlike(pattern))
+    return F.transform(named, lambda s: F.filter(F.split(F.translate(s, ".!?;\n", "     "), " "), lambda w: w != ""))
 
 
 def bigrams(words: Column) -> Column:
@@ -131,6 +133,8 @@ def scan(
     keys = sorted(set().union(*[key_words(t, threshold) for _, t in templates])) or [""]
     bounds = [size_bounds(n, threshold) for n in sizes]
     could = F.array(*[F.lit(k) for k in keys])
+    # Any match has one of the key words; a text or piece without them is not taken apart.
+    pattern = "(?<![a-z0-9])(?:" + "|".join(keys) + ")(?![a-z0-9])"
     low, high = min(b[0] for b in bounds), max(b[1] for b in bounds)
 
     def likely(words: Column) -> Column:
@@ -155,7 +159,9 @@ def scan(
 
     docs = docs.drop("licences")
     # Each step names what the next one uses more than once.
-    near = F.transform(F.filter(segments(F.coalesce(F.col(text_col), F.lit(""))), likely), lambda w: F.struct(bigrams(w).alias("pairs"), w.alias("words")))
+    close = F.filter(segments(F.coalesce(F.col(text_col), F.lit("")), pattern), likely)
+    close = F.transform(F.array_distinct(F.transform(close, lambda w: F.array_join(w, " "))), lambda s: F.split(s, " "))
+    near = F.transform(close, lambda w: F.struct(bigrams(w).alias("pairs"), w.alias("words")))
     near = F.transform(near, lambda x: F.struct(numbered(x["pairs"]).alias("own"), x["words"].alias("words")))
     found = F.transform(near, lambda x: F.struct(best(x["own"]).alias("b"), x["words"].alias("words")))
     hits = F.array_sort(
@@ -165,7 +171,9 @@ def scan(
         )
     )
     named = F.transform(hits, lambda x: F.struct((-x["rank"]).alias("score"), x["licence"].alias("licence"), x["words"].alias("words")))
-    return docs.withColumn("licences", named)
+    nothing = F.array().cast("array<struct<score:double,licence:string,words:string>>")
+    has_key = F.translate(F.col(text_col), UPPER, LOWER).rlike(pattern)
+    return docs.withColumn("licences", F.when(has_key, named).otherwise(nothing))
 
 
 def oracle_sql(templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> str:
