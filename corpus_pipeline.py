@@ -30,8 +30,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn so that source, language and topic have their target shares of tokens."""
-    return mixing.sample(docs.withColumn("__row", F.struct(*docs.columns))).where("kept").select("__row.*")
+    """Documents drawn, those of scarce cells repeated, so that source, language and topic have their target shares of tokens."""
+    return mixing.repeated(mixing.sample(docs.withColumn("__row", F.struct(*docs.columns)))).select("__row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

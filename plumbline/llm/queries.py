@@ -106,4 +106,4 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_mixing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.sample(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "kept")
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "copies", "kept")

@@ -375,6 +375,21 @@ def test_mixing(spark, docs, empty):
     assert mixing.sample(odd.where("false")).count() == 0
 
 
+def test_mixing_repeats_scarce_cells(spark):
+    rows = mixing.sample(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("doc_id", "source", "lang", "topic", "text", "n_tokens")
+    scarce = rows.where("topic <> 'tabular'").union(rows.where("topic = 'tabular'").orderBy("doc_id").limit(2))
+    frame = mixing.sample(scarce)
+    mixed = frame.toPandas()
+    total = mixed["n_tokens"].sum()
+    assert mixed["weight"].max() > 10 and mixed["copies"].max() >= int(mixing.KEEP * mixed["weight"].max())
+    assert abs((mixed["copies"] * mixed["n_tokens"]).sum() / total - mixing.KEEP) < 0.05
+    drawn = (mixed["copies"] * mixed["n_tokens"]).groupby(mixed["topic"]).sum() / (mixed["copies"] * mixed["n_tokens"]).sum()
+    assert abs(drawn["tabular"] - mixing.TARGETS["topic"]["tabular"]) < 0.01
+    assert ((mixed["copies"] > 0) == mixed["kept"]).all() and mixing.repeated(frame).count() == mixed["copies"].sum()
+    whole = mixing.sample(scarce, keep=1.0).toPandas()
+    assert abs((whole["copies"] * whole["n_tokens"]).sum() / total - 1) < 0.1
+
+
 # 10 --------------------------------------------------------------------------
 
 
