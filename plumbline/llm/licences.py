@@ -85,15 +85,24 @@ def size_bounds(size: int, threshold: float) -> tuple[float, float]:
     return size * threshold / (2 - threshold), size * (2 - threshold) / threshold
 
 
+def whole_bounds(size: int, threshold: float) -> tuple[int, int]:
+    """``size_bounds`` in whole bigrams, by the very comparison that scores make, so that none at the threshold is lost."""
+    if not size:
+        return 1, 0
+    low, high = (round(b) for b in size_bounds(size, threshold))
+    low = next(n for n in range(max(1, low - 2), size + 1) if 2.0 * n / (n + size) >= threshold)
+    return low, next(n for n in range(high + 2, size - 1, -1) if 2.0 * size / (n + size) >= threshold)
+
+
 def key_words(text: str, threshold: float) -> set[str]:
     """Words of which any matching segment has one.
 
-    A match shares at least ``size * threshold / (2 - threshold)`` bigrams, so it
-    has one of any that are more than the rest. Those with the longest uncommon
+    A match shares at least as many bigrams as ``whole_bounds`` has for the smallest
+    segment, so it has one of any that are more than the rest. Those with the longest uncommon
     word are taken, for long words are rare, and of each its longest such word.
     """
     pairs = [b.split()[:2] for b in template_bigrams(text)]
-    needed = -int(-size_bounds(len(pairs), threshold)[0] // 1)
+    needed = whole_bounds(len(pairs), threshold)[0]
     telling = [max(p, key=lambda w: (w not in COMMON, len(w))) for p in pairs]
     telling.sort(key=lambda w: (w in COMMON, -len(w)))
     return set(telling[: len(pairs) - needed + 1])
@@ -131,7 +140,7 @@ def scan(
     """
     sizes = [len(template_bigrams(t)) for _, t in templates]
     keys = sorted(set().union(*[key_words(t, threshold) for _, t in templates])) or [""]
-    bounds = [size_bounds(n, threshold) for n in sizes]
+    bounds = [whole_bounds(n, threshold) for n in sizes]
     could = F.array(*[F.lit(k) for k in keys])
     # Any match has one of the key words; a text or piece without them is not taken apart.
     pattern = "(?<![a-z0-9])(?:" + "|".join(keys) + ")(?![a-z0-9])"
@@ -143,7 +152,7 @@ def scan(
 
     table = F.array(
         *[
-            F.struct(F.lit(name).alias("licence"), F.lit(n).alias("size"), F.lit(float(lo)).alias("low"), F.lit(float(hi)).alias("high"),
+            F.struct(F.lit(name).alias("licence"), F.lit(n).alias("size"), F.lit(lo).alias("low"), F.lit(hi).alias("high"),
                      F.array(*[F.lit(b) for b in template_bigrams(text)]).alias("pairs"))
             for (name, text), n, (lo, hi) in zip(templates, sizes, bounds)
         ]

@@ -324,6 +324,16 @@ def test_licences(spark, docs, empty):
     assert licences.scan(empty).count() == 0 and licences.scan(docs).where("size(licences) > 0").count() == 0
 
 
+def test_licences_at_the_threshold(spark):
+    texts = ["It is licensed under the MIT License.", "CC BY-SA 4.0", "Our work is licensed under CC BY-SA 4.0."]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = table_of(licences.scan(frame), "doc_id", "licences")
+    assert [[(h["licence"], h["score"]) for h in got[i][0]] for i in range(3)] == [[("MIT", 0.8)], [("CC-BY-SA-4.0", 0.8)], [("CC-BY-SA-4.0", 0.8)]]
+    for size in range(1, 300):
+        fits = [n for n in range(1, 2 * size) if 2 * 10 * min(n, size) >= 8 * (n + size)]
+        assert licences.whole_bounds(size, 0.8) == (fits[0], fits[-1])
+
+
 def test_licence_scan_runs_no_python(spark):
     plan = queries.QUERIES["op7_licences"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "Exchange"))
