@@ -1,14 +1,17 @@
 """Licence scan: normalised text against templates by Dice over word bigrams.
 
 Lines, sentences and the whole text of a document are compared with every
-template whose size lets it reach the threshold. All of it is array functions on
-the row, so a scan shuffles nothing and runs no Python.
+template whose size lets it reach the threshold, and so are runs of consecutive
+atoms, the pieces between line and sentence ends: paragraphs, wrapped sentences
+and runs of lines or of sentences are all such runs. All of it is array functions
+on the row, so a scan shuffles nothing and runs no Python.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -108,12 +111,70 @@ def key_words(text: str, threshold: float) -> set[str]:
     return set(telling[: len(pairs) - needed + 1])
 
 
+def normal(text: Column) -> Column:
+    return F.regexp_replace(F.translate(text, UPPER, LOWER), "[^a-z0-9.!?;\n]+", " ")
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def words_of(piece: Column) -> Column:
+    return F.filter(F.split(F.translate(piece, ".!?;\n", "     "), " "), lambda w: w != "")
+
+
 def segments(text: Column, pattern: str) -> Column:
     """Word lists of the lines, the sentences and the whole of a text that match ``pattern``."""
-    plain = F.regexp_replace(F.translate(text, UPPER, LOWER), "[^a-z0-9.!?;\n]+", " ")
+    plain = normal(text)
     pieces = F.concat(F.split(plain, "\n"), F.split(plain, "\n|[.!?;] "), F.array(plain))
     named = F.filter(F.array_distinct(pieces), lambda s: s.rlike(pattern))
-    return F.transform(named, lambda s: F.filter(F.split(F.translate(s, ".!?;\n", "     "), " "), lambda w: w != ""))
+    return F.transform(named, words_of)
+
+
+def joined(text: Column, known: list[str], low: int, high: int, threshold: float) -> Column:
+    """(first, last, words) of runs of two atoms or more that could reach the threshold.
+
+    Of a run's bigrams ``threshold / (2 - threshold)`` must be ``known``, those of
+    the templates. An atom at an end with known bigrams for less than half the
+    threshold of its words only lowers a score, so the run without it, which is
+    looked at too, stands for the longer one. ``first`` and ``last`` are atom numbers.
+    """
+    share = threshold / (2 - threshold) - 1e-9
+    atoms = F.filter(F.transform(F.split(normal(text), "\n|[.!?;] "), words_of), lambda w: F.size(w) > 0)
+
+    def counted(a: Column) -> Column:
+        # Known bigrams that start in an atom, with the one that leads into the next.
+        def one(w: Column, i: Column) -> Column:
+            on = F.concat(w, F.coalesce(F.slice(F.get(a, i + 1), 1, 1), F.array().cast("array<string>")))
+            hits = let(on, lambda x: F.when(F.size(x) > 1, F.size(F.filter(bigrams(x), lambda b: b.isin(known)))).otherwise(0))
+            return F.struct(F.size(w).alias("n"), hits.alias("g"))
+
+        return F.transform(a, one)
+
+    def firm(c: Column) -> Column:
+        return c["g"] >= c["n"] * (threshold / 2 - 1e-9)
+
+    def from_(counts: Column, start: Column) -> Column:
+        """Last atoms of the runs from ``start``."""
+        begin = F.struct(F.lit(0).alias("n"), F.lit(0).alias("g"), F.lit(-1).alias("k"), F.array().cast("array<int>").alias("ends"))
+
+        def grow(s: Column, c: Column) -> Column:
+            n, g, k = s["n"] + c["n"], s["g"] + c["g"], s["k"] + 1
+            good = (k > 0) & (n - 1 >= low) & (n - 1 <= high) & firm(c) & (g >= (n - 1) * share)
+            return F.struct(n.alias("n"), g.alias("g"), k.alias("k"), F.when(good, F.concat(s["ends"], F.array(start + k))).otherwise(s["ends"]).alias("ends"))
+
+        return F.aggregate(F.slice(counts, start + 1, F.lit(high + 1)), begin, grow, lambda s: s["ends"])
+
+    def runs(a: Column, counts: Column) -> Column:
+        starts = F.filter(F.transform(counts, lambda c, i: F.when(firm(c), i)), lambda i: i.isNotNull())
+        ends = F.transform(starts, lambda i: F.transform(from_(counts, i), lambda j: F.struct(i.alias("first"), j.alias("last"))))
+        return F.transform(
+            F.flatten(ends),
+            lambda e: F.struct(e["first"].alias("first"), e["last"].alias("last"), F.flatten(F.slice(a, e["first"] + 1, e["last"] - e["first"] + 1)).alias("words")),
+        )
+
+    return let(atoms, lambda a: let(counted(a), lambda c: runs(a, c)))
 
 
 def bigrams(words: Column) -> Column:
@@ -133,7 +194,10 @@ def scan(
     """``docs`` with ``licences``: an array of (score, licence, words), best first.
 
     There is one entry for each distinct segment that reaches the threshold with a
-    template, with its best template (the first name in the alphabet on a tie).
+    template, with its best template (the first name in the alphabet on a tie). Of
+    runs of atoms that share one, only the best counts (then the first, then the
+    shortest), and only if it scores above every line, sentence or text that lies
+    within it or around it.
     Null and empty texts and texts without a match have an empty array; every row
     is scanned by itself, so repeated rows repeat. An existing column ``licences``
     is replaced.
@@ -166,19 +230,42 @@ def scan(
         )
         return F.array_min(F.filter(rated, lambda r: r["rank"] <= -threshold))
 
+    def rated(near: Column) -> Column:
+        """(rank, licence, first, last, words) of the (first, last, words) that match."""
+        step = F.transform(near, lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"), x["words"].alias("words"), bigrams(x["words"]).alias("pairs")))
+        step = F.transform(step, lambda x: x.withField("pairs", numbered(x["pairs"])))
+        step = F.transform(step, lambda x: F.struct(best(x["pairs"]).alias("b"), x["first"].alias("first"), x["last"].alias("last"), x["words"].alias("words")))
+        return F.array_sort(
+            F.transform(
+                F.filter(step, lambda x: x["b"].isNotNull()),
+                lambda x: F.struct(x["b"]["rank"].alias("rank"), x["b"]["licence"].alias("licence"), x["first"].alias("first"), x["last"].alias("last"), F.array_join(x["words"], " ").alias("words")),
+            )
+        )
+
+    def apart(runs: Column) -> Column:
+        """The best of runs that overlap."""
+        none = F.array().cast("array<struct<rank:double,licence:string,first:int,last:int,words:string>>")
+        meets = lambda x, y: (x["first"] <= y["last"]) & (y["first"] <= x["last"])
+        return F.aggregate(runs, none, lambda kept, x: F.when(F.exists(kept, lambda y: meets(x, y)), kept).otherwise(F.concat(kept, F.array(x))))
+
+    def within(a: Column, b: Column) -> Column:
+        return F.concat(F.lit(" "), b["words"], F.lit(" ")).contains(F.concat(F.lit(" "), a["words"], F.lit(" ")))
+
     docs = docs.drop("licences")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    known = sorted({b.rsplit(" ", 1)[0] for _, t in templates for b in template_bigrams(t)}) or [""]
     # Each step names what the next one uses more than once.
-    close = F.filter(segments(F.coalesce(F.col(text_col), F.lit("")), pattern), likely)
+    close = F.filter(segments(text, pattern), likely)
     close = F.transform(F.array_distinct(F.transform(close, lambda w: F.array_join(w, " "))), lambda s: F.split(s, " "))
-    near = F.transform(close, lambda w: F.struct(bigrams(w).alias("pairs"), w.alias("words")))
-    near = F.transform(near, lambda x: F.struct(numbered(x["pairs"]).alias("own"), x["words"].alias("words")))
-    found = F.transform(near, lambda x: F.struct(best(x["own"]).alias("b"), x["words"].alias("words")))
-    hits = F.array_sort(
-        F.transform(
-            F.filter(found, lambda x: x["b"].isNotNull()),
-            lambda x: F.struct(x["b"]["rank"].alias("rank"), x["b"]["licence"].alias("licence"), F.array_join(x["words"], " ").alias("words")),
-        )
-    )
+    single = rated(F.transform(close, lambda w: F.struct(F.lit(0).alias("first"), F.lit(0).alias("last"), w.alias("words"))))
+    runs = rated(joined(text, known, low, high, threshold))
+
+    def together(alone: Column, runs: Column) -> Column:
+        better = F.filter(runs, lambda x: ~F.exists(alone, lambda y: (y["rank"] <= x["rank"]) & (within(x, y) | within(y, x))))
+        bare = lambda hits: F.transform(hits, lambda x: F.struct(x["rank"].alias("rank"), x["licence"].alias("licence"), x["words"].alias("words")))
+        return F.array_sort(F.array_distinct(F.concat(bare(alone), bare(apart(better)))))
+
+    hits = let(single, lambda alone: let(runs, lambda r: together(alone, r)))
     named = F.transform(hits, lambda x: F.struct((-x["rank"]).alias("score"), x["licence"].alias("licence"), x["words"].alias("words")))
     nothing = F.array().cast("array<struct<score:double,licence:string,words:string>>")
     has_key = F.translate(F.col(text_col), UPPER, LOWER).rlike(pattern)

@@ -3,6 +3,7 @@ import hashlib
 import os
 import random
 import sys
+import textwrap
 import zlib
 
 import numpy as np
@@ -334,6 +335,21 @@ def test_licences_at_the_threshold(spark):
         assert licences.whole_bounds(size, 0.8) == (fits[0], fits[-1])
 
 
+def test_licences_wrapped_in_longer_documents(spark):
+    long = [(name, text) for name, text in licences.TEMPLATES if len(text.split()) > 15]
+    rows = [(len(long), "BSD", licences.TEMPLATES[13][1].replace("or without", "or without\n"))]
+    rows += [(i, name, "\n".join(textwrap.wrap(text, 60))) for i, (name, text) in enumerate(long)]
+    rows += [(len(long) + 1, "MIT", "We like it. " + "\n# ".join(textwrap.wrap(long[0][1], 40)) + " So it goes.")]
+    rows += [(len(long) + 2, "MIT", "Ours is released under the\nMIT License. Read on.")]
+    rows = [(i, name, f"{prose(200, i)}\n{text}\n{prose(200, i + 50)}") for i, name, text in rows]
+    frame = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    got = table_of(licences.scan(frame), "doc_id", "licences")
+    for i, name, _ in rows:
+        best = got[i][0][0]
+        assert best["licence"] == name and best["score"] >= 0.8
+        assert abs(max(plain.dice(plain.bag(best["words"]), plain.bag(t)) for _, t in licences.TEMPLATES) - best["score"]) < 1e-12
+
+
 def test_licence_scan_runs_no_python(spark):
     plan = queries.QUERIES["op7_licences"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "Exchange"))
