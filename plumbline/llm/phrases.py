@@ -22,9 +22,9 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from plumbline.llm.common import batches_of, mapped, mix, slices, split_words, stored, word_hashes
+from plumbline.operators.scale import attach_group
 
 WINDOW = 13
 ANCHOR = 6
@@ -80,7 +80,9 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owner = np.repeat(np.arange(len(digests)), np.diff(ends))[at]
             new = np.ones(len(at), bool)
             new[1:] = (anchors[1:] != anchors[:-1]) | (owner[1:] != owner[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(anchors[new]), pa.array(_short(digests)[owner[new]])], names=["anchor", "seq"])
+            anchors, owner = anchors[new], owner[new]
+            _, first, times = np.unique(anchors.view(np.uint64) ^ mix(owner.astype(np.uint64) + np.uint64(1)), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(anchors[first]), pa.array(_short(digests)[owner[first]]), pa.array(times)], names=["anchor", "seq", "n"])
 
 
 def _passages(shards: int):
@@ -260,11 +262,13 @@ def repeated_runs(given: DataFrame) -> DataFrame:
         .select("doc_id", "seq", F.lit(0).cast("long").alias("at"), F.col("n_words").alias("stop"))
     )
     with batches_of(spark, 1024):
-        rows = given.where("doc_id is not null").mapInArrow(_anchor_rows, "anchor long, seq long")
-        over = W.partitionBy("anchor")
-        rows = rows.withColumn("low", F.min("seq").over(over)).withColumn("high", F.max("seq").over(over))
-        rows = rows.withColumn("n", F.count(F.lit(1)).over(over)).where("low < high")
-        recurring = stored(rows.select("anchor", "seq", "n"), "anchors")
+        rows = given.where("doc_id is not null").mapInArrow(_anchor_rows, "anchor long, seq long, n long")
+        # Copies have the same anchors, so each distinct text has one row per anchor.
+        pairs = stored(rows.groupBy("anchor", "seq").agg(F.max("n").alias("n")), "pairs")
+    totals = pairs.groupBy("anchor").agg(F.min("seq").alias("low"), F.max("seq").alias("high"), F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"))
+    totals = stored(totals.where("low < high").select("anchor", "texts", "n"), "totals")
+    met = attach_group(pairs.select("anchor", "seq"), totals, ["anchor"], "texts", ["seq"], hot_floor=SHARD_ROWS)
+    recurring = stored(met.where("n is not null").select("anchor", "seq", "n"), "anchors")
     lists = recurring.groupBy("seq").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("n").alias("sizes"))
     wanted = stored(lists.join(speakers.select("seq", "doc_id"), "seq"), "lists")
     shards = max(LEAST_SHARDS, -(-recurring.count() // SHARD_ROWS))

@@ -373,6 +373,23 @@ def test_repeats_of_odd_ids(spark):
     assert got == sorted([(None, 0), (5, 0), (5, 0), (5, 0), (9, 120)], key=str)
 
 
+def test_repeats_list_anchors_once_per_text(spark, monkeypatch):
+    lists, keep = {}, phrases.stored
+
+    def seen(df, name):
+        lists[name] = keep(df, name)
+        return lists[name]
+
+    monkeypatch.setattr(phrases, "stored", seen)
+    monkeypatch.setattr(phrases, "SHARD_ROWS", 2)
+    rows = [(i, BASE) for i in range(30)] + [(40 + i, prose(20, i) + " " + " ".join(BASE.split()[:30])) for i in range(6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = table_of(phrases.remove_repeats(frame).withColumn("sha", F.sha2("kept_text", 256)), "doc_id", "n_words", "n_removed", "sha")
+    assert got == plain.without_repeats(dict(rows))
+    found = lists["lists"].collect()
+    assert len(found) == 7 and all(len(r["anchors"]) == len(set(r["anchors"])) < 20 for r in found)
+
+
 # 9 ---------------------------------------------------------------------------
 
 
