@@ -65,32 +65,96 @@ class Run:
     breaks: bool = False
 
 
-def _is_boiler(name: str, rest: str, in_content: bool) -> bool:
+def _boiler(name: str, rest: str, in_content: bool, in_boiler: bool = False) -> str:
+    """"hard" or "soft" for an element that is boilerplate, else empty.
+
+    Forms and elements that only a part of their class or id speaks against are
+    soft: what they hold may overrule it. Such a name alone never speaks against
+    ``article`` and ``main``, only inside other boilerplate against an ``article``.
+    """
     if name in ("body", "html") or name in CONTENT and not rest:
-        return False
-    if name in BOILER and not (name == "header" and in_content):
-        return True
+        return ""
+    if name in BOILER and name != "form" and not (name == "header" and in_content):
+        return "hard"
+    soft = "soft" if name == "form" else ""
     if not rest.strip():
-        return False
+        return soft
     for key, *values in ATTRIBUTE.findall(rest):
         key, value = key.lower(), "".join(values)
         if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
+            return "hard"
         if key == "role" and value.lower() in BOILER_ROLES:
-            return True
-        if key in ("class", "id") and name not in ("main", "a", "h1") and BOILER_NAMES & {p.lower() for p in PART.findall(value)}:
-            return True
+            return "hard"
         if key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+            return "hard"
+        named = name not in ("main", "a", "h1") and (name != "article" or in_boiler)
+        if key in ("class", "id") and named and BOILER_NAMES & {p.lower() for p in PART.findall(value)}:
+            soft = "soft"
+    return soft
+
+
+def _holders(page: str) -> set[int]:
+    """Where soft boilerplate elements open that hold an h1 or most of the page's plain words."""
+    opened: dict[str, list[tuple[str, int, int, int]]] = {}
+    words = headings = hard = link = at = 0
+    ended: list[tuple[int, int]] = []
+    found = set()
+
+    def end(kind: str, place: int, words_then: int, headings_then: int) -> None:
+        if kind == "soft":
+            ended.append((place, words - words_then))
+            if headings > headings_then:
+                found.add(place)
+
+    for match in TOKEN.finditer(page):
+        if not hard and not link:
+            words += len(html.unescape(page[at : match.start()]).split())
+        at = match.end()
+        if not match["name"]:
+            continue
+        name = match["name"].lower()
+        if match["close"]:
+            if opened.get(name):
+                last = opened[name].pop()
+                hard -= last[0] == "hard" and hard > 0
+                end(*last)
+        elif name not in VOID:
+            if name in CONTENT:
+                hard = 0
+            kind = _boiler(name, match["rest"], False)
+            hard += kind == "hard"
+            headings += name == "h1" and not hard
+            opened.setdefault(name, []).append((kind, match.start(), words, headings))
+        if name == "a":
+            link = 0 if match["close"] else 1
+        elif name in BLOCKS and name != "li":
+            link = 0
+    if not hard and not link:
+        words += len(html.unescape(page[at:]).split())
+    for left in opened.values():
+        for one in left:
+            end(*one)
+    return found | {place for place, inside in ended if 2 * inside > words}
 
 
 def runs(page: str) -> list[Run]:
     """Tags and word runs of a page, each with what surrounds it."""
+    out, doubtful = _runs(page, frozenset())
+    return _runs(page, _holders(page))[0] if doubtful else out
+
+
+def _runs(page: str, holders: set[int] | frozenset[int]) -> tuple[list[Run], bool]:
+    """``runs`` with ``holders`` not taken for boilerplate, and whether soft boilerplate may hold the text."""
     out: list[Run] = []
     content, link = 0, 0
     boiler: str | None = None  # name of the open boilerplate element, and how many of that name are open in it
     depth = 0
+    soft = heading = False
+    counted = {"plain": 0, "soft": 0}
+
+    def judge(match: re.Match, name: str, inside: bool = False) -> str:
+        kind = _boiler(name, match["rest"], content > 0, inside)
+        return "" if kind == "soft" and match.start() in holders else kind
 
     def words(text: str) -> None:
         if not text or text.isspace():
@@ -100,6 +164,8 @@ def runs(page: str) -> list[Run]:
         text = html.unescape(text)
         kind = "boiler" if boiler else "link" if link else "plain"
         out.append(Run(kind, text, len(text.split()), content > 0, boiler is not None))
+        if kind != "link" and (soft or not boiler):
+            counted["soft" if boiler else "plain"] += out[-1].words
 
     at = 0
     for match in TOKEN.finditer(page):
@@ -113,9 +179,11 @@ def runs(page: str) -> list[Run]:
             if boiler:
                 depth += name == boiler
                 if name in CONTENT and name != boiler:  # content never sits in an element that was left open before it
-                    boiler, depth = (name, 1) if _is_boiler(name, match["rest"], content > 0) else (None, 0)
-            elif _is_boiler(name, match["rest"], content > 0):
-                boiler, depth = name, 1
+                    kind = judge(match, name, True)
+                    boiler, depth, soft = (name, 1, kind == "soft") if kind else (None, 0, False)
+            elif kind := judge(match, name):
+                boiler, depth, soft = name, 1, kind == "soft"
+            heading = heading or name == "h1" and boiler is not None and soft
         was_boiler = boiler is not None
         if closing and boiler == name:
             depth -= 1
@@ -133,7 +201,7 @@ def runs(page: str) -> list[Run]:
         if name == "br":
             out.append(Run("space", " "))
     words(page[at:])
-    return out
+    return out, heading or counted["soft"] > counted["plain"]
 
 
 def _labelled(page: list[Run]) -> bool:
@@ -234,7 +302,8 @@ def extract(
 
     Null, empty and markup-only pages give an empty text; each row is read by
     itself, so repeated rows repeat and null ids stay. Unclosed elements end with
-    the page, an unclosed boilerplate element at the next content element. Other
+    the page, an unclosed boilerplate element at the next content element. A form,
+    or an element named like boilerplate, is kept if it holds an h1 or most words. Other
     columns are not read. Weights are learnt from ``pages`` unless given.
     """
     weight = weight or learn(pages, html_col)

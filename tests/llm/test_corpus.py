@@ -127,6 +127,23 @@ def test_main_text():
     assert html_text.region([-1.0]) == (0, 0)
 
 
+def test_main_text_in_wrappers_named_like_boilerplate():
+    weight, body = html_text.weights({}), "<p>Many words of the text stand here in a row.</p><p>And more of them.</p>"
+    text = "Many words of the text stand here in a row.\n\nAnd more of them."
+    for opening, closing in (
+        ("<article class='post category-cookies'>", "</article>"),
+        ("<div class='layout-sidebar-left'>", "</div>"),
+        ("<div class='has-comments content'><div id='related-wrap'>", "</div></div>"),
+        ("<form action='/'>", "</form>"),
+        ("<main id='sidebar'><article class='reply'>", "</article></main>"),
+    ):
+        page = f"<html><body><nav>Home</nav>{opening}{body}<div class='ad'>Buy now</div>{closing}<footer>me</footer></body></html>"
+        assert html_text.main_text(page, weight) == text
+    comments = f"<article>{body}<ol class='comment-list'><li><article class='comment'><p>nice one</p></article></li></ol></article>"
+    assert html_text.main_text(comments, weight) == text
+    assert html_text.main_text(f"<div style='display:none' class='x'>{body}</div>", weight) == ""
+
+
 def test_main_text_of_a_table(spark):
     rows = [(1, "u", PAGE, 9), (1, "u", PAGE, 9), (2, None, None, 9), (None, "v", "<p>plain</p>", 9)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text long")
