@@ -30,8 +30,8 @@ def score_by_source(df: DataFrame, responses: str = "responses", scorer=None, sc
 
 def subset_sizes(n: Column) -> Column:
     """2, 4, 8, … below n, then n itself; empty for a single response."""
-    powers = F.filter(F.array(*[F.lit(1 << i) for i in range(1, 31)]), lambda k: k < n)
-    return F.when(n > 1, F.array_append(powers, n.cast("int"))).otherwise(F.array().cast("array<int>"))
+    powers = F.filter(F.array(*[F.lit(1 << i).cast("bigint") for i in range(1, 63)]), lambda k: k < n)
+    return F.when(n > 1, F.array_append(powers, n.cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _long(df: DataFrame, variables: list[str]) -> DataFrame:
@@ -179,7 +179,7 @@ def val_metric_names(metrics: DataFrame) -> DataFrame:
     Core: the core variable (``acc`` where a source has it, else ``reward``),
     a mean, majority or best metric, at the largest n of that variable.
     """
-    sized = metrics.withColumn("__n", F.regexp_extract("metric", r"@(\d+)", 1).cast("int"))
+    sized = metrics.withColumn("__n", F.regexp_extract("metric", r"@(\d+)", 1).cast("bigint"))
     tops = sized.groupBy("data_source", "var").agg(F.max("__n").alias("__top"))
     cores = metrics.groupBy("data_source").agg(
         F.when(F.bool_or(F.col("var") == "acc"), "acc").otherwise(F.lit("reward")).alias("__core")

@@ -72,9 +72,13 @@ def stream_reliability(
     ).select(F.col("w.start").alias("start"), "bucket", "n", "pos", "conf")
 
 
-def metrics_from_buckets(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Bucketed ECE and AUC of finished windows (``foreachBatch`` side)."""
-    counts = rows.select(*by, (F.col("bucket") / F.lit(float(BUCKETS))).alias("c"), "n", "pos", "conf")
+def metrics_from_buckets(rows: DataFrame, by: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """Bucketed ECE and AUC of finished windows (``foreachBatch`` side).
+
+    ``buckets`` is what ``stream_reliability`` was given. Confidences within a
+    bucket count as one, so both are approximate.
+    """
+    counts = rows.select(*by, (F.col("bucket") / F.lit(float(buckets))).alias("c"), "n", "pos", "conf")
     gap = F.abs(F.col("pos") - F.col("conf"))
     ece = counts.groupBy(*by).agg((F.sum(gap) / F.sum("n")).alias("ece"))
     return ece.join(auc_from_counts(counts, by), by)

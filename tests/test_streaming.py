@@ -5,6 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from plumbline.operators.validation import subset_sizes
 from plumbline.streaming import jobs
 
 SCHEMA = "ts TIMESTAMP, confidence DOUBLE, correct INT"
@@ -32,3 +33,20 @@ def test_late_rows_are_dropped(spark, tmp_path):
     table = jobs.stream_calibration(spark.read.schema(SCHEMA).json(source).where(F.col("confidence") != 0.1))
     closed = {(r.start, r.n_samples) for r in out.collect()}
     assert closed <= {(r.start, r.n_samples) for r in table.collect()}
+
+
+def test_buckets_are_carried_through(spark):
+    rows = spark.sql("select timestamp'2024-01-01 00:00:00' as ts, id / 1000D as confidence, cast(id % 3 = 0 as int) as correct from range(1000)")
+    found = jobs.stream_reliability(rows, buckets=1000)
+    counts = []
+    jobs_auc, keep = jobs.auc_from_counts, lambda c, by: counts.append(c) or jobs_auc(c, by)
+    jobs.auc_from_counts = keep
+    try:
+        assert jobs.metrics_from_buckets(found, ["start"], buckets=1000).count() == 1
+    finally:
+        jobs.auc_from_counts = jobs_auc
+    assert counts[0].agg(F.max("c")).first()[0] <= 1.0
+
+
+def test_sizes_beyond_int(one):
+    assert one(subset_sizes(F.lit(5_000_000_000)))[-3:] == [1 << 31, 1 << 32, 5_000_000_000]
