@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, exact, html_text, licences, minhash, mixing, packed, phrases, quality, vectors
+from plumbline.llm import bpe, codes, exact, html_text, licences, minhash, mixing, packed, phrases, quality, vectors
 from plumbline.llm.common import batches_of, stored, table
+from plumbline.operators.scale import attach_group
 from plumbline.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +108,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.sample(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "copies", "kept")
+
+
+@query("op12_codes")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    sums = coded.groupBy("label").agg(F.sum("error").alias("label_error"), F.count(F.lit(1)).alias("__size"))
+    rows = attach_group(coded, sums, ["label"], "__size", ["vec_id"])
+    code = F.lower(F.hex("code")).alias("code")
+    return rows.select("vec_id", code, "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -73,3 +74,29 @@ def bag(text):
 def dice(a, b):
     total = sum(a.values()) + sum(b.values())
     return 2 * sum((a & b).values()) / total if total else 0.0
+
+
+def vector_codes(rows, parts=16, entries=64, rounds=2):
+    """rows: (vec_id, vector of numbers); every distance compared, in Python integers."""
+    ints = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    width = len(ints[0][1]) // parts
+    cut = lambda v, p: v[p * width : (p + 1) * width]
+    first = [v for _, v in sorted(ints)[:entries]]
+    books = [[cut(v, p) for v in first] for p in range(parts)]
+
+    def nearest(v, p):
+        return min((sum((a - b) ** 2 for a, b in zip(cut(v, p), e)), k) for k, e in enumerate(books[p]))
+
+    for _ in range(rounds):
+        homes = [[nearest(v, p)[1] for _, v in ints] for p in range(parts)]
+        for p in range(parts):
+            for k in range(len(first)):
+                own = [cut(v, p) for (_, v), h in zip(ints, homes[p]) if h == k]
+                if own:
+                    books[p][k] = [sum(c) // len(own) for c in zip(*own)]
+    out = []
+    for i, v in ints:
+        best = [nearest(v, p) for p in range(parts)]
+        out.append((i, bytes(k for _, k in best).hex(), sum(d for d, _ in best)))
+    text = ",".join(str(c) for b in books for e in b for c in e)
+    return out, hashlib.sha256(text.encode()).hexdigest()
