@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, codes, exact, html_text, licences, minhash, mixing, packed, phrases, quality, vectors
+from plumbline.llm import bpe, codes, exact, html_text, licences, minhash, mixing, packed, phrases, quality, search, vectors
 from plumbline.llm.common import batches_of, stored, table
 from plumbline.operators.scale import attach_group
 from plumbline.session import shared_folder
@@ -110,6 +110,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "copies", "kept")
 
 
+@query("op11_search")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "postings")
+    search.build(table(spark, sf_dir, "documents"), path)
+    return search.search(spark, path, table(spark, sf_dir, "benchmark"))
+
+
 @query("op12_codes")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = codes.compress(table(spark, sf_dir, "embeddings"))

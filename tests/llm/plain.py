@@ -100,3 +100,27 @@ def vector_codes(rows, parts=16, entries=64, rounds=2):
         out.append((i, bytes(k for _, k in best).hex(), sum(d for d, _ in best)))
     text = ",".join(str(c) for b in books for e in b for c in e)
     return out, hashlib.sha256(text.encode()).hexdigest()
+
+
+def terms(text):
+    found = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text or "")
+    return [t.translate({c: c + 32 for c in range(65, 91)}) for t in found]
+
+
+def ranked(docs, items, k=50):
+    """docs, items: lists of (id, text); every document scored for every item."""
+    own = [(i, Counter(terms(t))) for i, t in docs]
+    sizes = [sum(c.values()) for _, c in own]
+    n, length = sum(s > 0 for s in sizes), sum(sizes)
+    df = Counter(t for _, c in own for t in c)
+    out = []
+    for item, text in items:
+        weights = {t: math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) for t in set(terms(text)) if df[t]}
+        scored = []
+        for (i, c), size in zip(own, sizes):
+            m = 50 + (50 * size * n) // max(1, length)
+            score = sum(w * ((1000000000 * c[t]) // (1000 * c[t] + 20 * m)) for t, w in weights.items() if t in c)
+            if score > 0 and i is not None:
+                scored.append((-score, i))
+        out += [(item, r, i, -s) for r, (s, i) in enumerate(sorted(scored)[:k], 1)]
+    return out
