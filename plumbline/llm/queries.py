@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, codes, exact, html_text, licences, minhash, mixing, packed, phrases, quality, search, vectors
+from plumbline.llm import bpe, codes, exact, html_text, licences, minhash, mixing, packed, phrases, quality, search, suffixes, vectors
 from plumbline.llm.common import batches_of, stored, table
 from plumbline.operators.scale import attach_group
 from plumbline.session import shared_folder
@@ -124,3 +124,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = attach_group(coded, sums, ["label"], "__size", ["vec_id"])
     code = F.lower(F.hex("code")).alias("code")
     return rows.select("vec_id", code, "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
+@query("op13_suffixes")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    with batches_of(spark, 1024):
+        return stored(cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")), "op13")

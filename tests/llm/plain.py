@@ -124,3 +124,20 @@ def ranked(docs, items, k=50):
                 scored.append((-score, i))
         out += [(item, r, i, -s) for r, (s, i) in enumerate(sorted(scored)[:k], 1)]
     return out
+
+
+def without_repeated_strings(rows, width=200):
+    """rows: (doc_id, text), each a document; sorted (doc_id, n_bytes, n_removed, n_spans, sha256)."""
+    own = [(text or "").encode() for _, text in rows]
+    seen = Counter(t[k : k + width] for t in own for k in range(len(t) - width + 1))
+    out = []
+    for (i, _), text in zip(rows, own):
+        gone, last = bytearray(len(text)), 0
+        for k in range(len(text) - width + 1):
+            if seen[text[k : k + width]] > 1:
+                gone[max(k, last) : k + width] = b"\1" * (k + width - max(k, last))
+                last = k + width
+        kept = bytes(b for b, g in zip(text, gone) if not g)
+        spans = sum(1 for k, g in enumerate(gone) if g and not (k and gone[k - 1]))
+        out.append((i, len(text), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
