@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from plumbline.functions.basics import hash48, uniform01
-from plumbline.operators.scale import range_bucket, row_index, running_sum
+from plumbline.operators.draws import multinomial
+from plumbline.operators.scale import range_bucket, running_sum, written
 
-CELLS = 1 << 12
+#: Rows, and draws, of one range of weights; draws made by one row of a plan.
+RANGE_ROWS, DRAW_BLOCK = 1_000_000, 65_536
 
 
 def shuffle_key(row_id: str, seed: int, *more) -> Column:
@@ -98,31 +101,50 @@ def resample_weights(score: Column, method: str, power: float, lo: Column, hi: C
     return F.greatest(w + 1e-8, F.lit(1e-8))
 
 
-def pf_resample(df: DataFrame, method: str = "pow", power: float = 2.0, row_id: str = "seq_id", score: str = "score", seed: int = 0):
-    """As many rows as the input has, drawn with replacement by weight.
+def pf_resample(
+    df: DataFrame, method: str = "pow", power: float = 2.0, row_id: str = "seq_id", score: str = "score", seed: int = 0, rows: int = RANGE_ROWS
+):
+    """As many rows as the input has, drawn with replacement by weight: ``(draw, columns…)``.
 
-    Weights become intervals of a running total; draw i is a stratified-free
-    hash uniform over the whole total. Draws and intervals meet on equal-width
-    cells of the total, with the interval test as residual. Only an interval
-    wider than a cell touches more than two cells.
+    Rows are dealt by hash of their id to ranges of about ``rows`` rows, within
+    which weights become shares of the range's weight, running up in the order of
+    the ids. Ranges get their draws by one multinomial draw. Draw i of a range is a
+    uniform number ``hash48(range, i, seed)``; a range with many draws is cut evenly
+    into cells of about ``rows`` of them, and a row is listed in each cell its share
+    reaches into. In a cell, rows and draws are sorted together and a draw takes the
+    last row that starts at or before it. So neither a row that holds most of the
+    weight nor many rows that hold none of it meet in one task. Ids are unique.
     """
-    ends = df.agg(F.struct(F.min(score).alias("lo"), F.max(score).alias("hi")).alias("s")).scalar()
-    weighted = df.withColumn("__w", resample_weights(F.col(score), method, power, ends["lo"], ends["hi"]))
-    cut = range_bucket(weighted, row_id, "__bucket").withColumn("__g", F.lit(0))
-    summed = running_sum(cut, ["__g"], "__bucket", [F.col(row_id)], {"__hi": "__w"}).drop("__bucket", "__g")
-    size = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    total = summed.agg(F.max("__hi").alias("t")).scalar()
-    cells = F.greatest(F.lit(1), F.least(F.lit(CELLS * 256), F.ceil(size / 4)))
-
-    def cell(x: Column) -> Column:
-        return F.least(F.floor(x / total * cells), cells - 1)
-
-    spans = summed.withColumn("__lo", F.col("__hi") - F.col("__w")).withColumn(
-        "__cell", F.explode(F.sequence(F.greatest(cell(F.col("__lo")) - 1, F.lit(0)), cell(F.col("__hi"))))
+    facts = df.agg(F.struct(F.min(score).alias("lo"), F.max(score).alias("hi"), F.count(F.lit(1)).alias("n")).alias("f")).first()["f"]
+    weighted = df.select(
+        F.struct(*df.columns).alias("__row"),
+        F.pmod(hash48(F.col(row_id)), F.lit(max(1, -(-facts["n"] // rows)))).alias("__range"),
+        resample_weights(F.col(score), method, power, F.lit(facts["lo"]), F.lit(facts["hi"])).alias("__w"),
     )
-    draws = row_index(df.select(row_id), row_id, "draw").select(
-        "draw", (uniform01(F.col("draw"), F.lit(seed)) * total).alias("__u")
+    totals = written(weighted.groupBy(F.lit(0).alias("__all"), "__range").agg(F.sum("__w").alias("c")), "ranges")
+    asked = totals.groupBy("__all").agg(F.lit(facts["n"]).alias("n"))
+    dealt = multinomial(totals, asked, ["__all"], "__range", "n", seed).join(totals, ["__all", "__range"])
+    before = F.sum("x").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1))
+    cells = F.ceil(F.col("x") / rows).cast("bigint")
+    parts = dealt.select("__range", "c", F.col("x").alias("__draws"), F.coalesce(before, F.lit(0)).alias("__first"), cells.alias("__cells"))
+    parts = written(parts, "parts")
+    # Draws are made in blocks that are dealt out before they become rows.
+    blocks = parts.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__draws") - 1, F.lit(DRAW_BLOCK).cast("bigint"))))
+    blocks = blocks.repartition("__range", "__from")
+    last = F.least(F.col("__from") + DRAW_BLOCK, F.col("__draws")) - 1
+    draws = blocks.withColumn("__i", F.explode(F.sequence("__from", last)))
+    draws = draws.withColumn("__at", uniform01(F.col("__range"), F.col("__i"), F.lit(seed)))
+    draws = draws.select(
+        "__range", F.floor(F.col("__at") * F.col("__cells")).alias("__cell"), "__at", (F.col("__first") + F.col("__i")).alias("draw")
     )
-    hit = draws.withColumn("__cell", cell(F.col("__u"))).join(spans, "__cell")
-    inside = (F.col("__u") >= F.col("__lo")) & (F.col("__u") < F.col("__hi"))
-    return hit.where(inside).select("draw", *df.columns)
+    upward = W.partitionBy("__range").orderBy(F.col(f"__row.{row_id}")).rowsBetween(W.unboundedPreceding, -1)
+    starts = weighted.withColumn("__lo", F.coalesce(F.sum("__w").over(upward), F.lit(0.0)))
+    shares = starts.join(parts.select("__range", "c", "__cells"), "__range").withColumns(
+        {"__at": F.col("__lo") / F.col("c"), "__to": (F.col("__lo") + F.col("__w")) / F.col("c")}
+    )
+    reach = [F.least(F.floor(F.col(c) * F.col("__cells")), F.col("__cells") - 1) for c in ("__at", "__to")]
+    listed = shares.select("__range", F.explode(F.sequence(*reach)).alias("__cell"), "__at", "__row")
+    order = [F.col("__at"), F.col("draw").isNotNull(), F.col(f"__row.{row_id}")]
+    upto = W.partitionBy("__range", "__cell").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    met = listed.unionByName(draws, allowMissingColumns=True).withColumn("__hit", F.last("__row", ignorenulls=True).over(upto))
+    return met.where("draw is not null").select("draw", "__hit.*")

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from plumbline.session import shared_folder
+
 HOT_SHARE = 1e-5
 HOT_FLOOR = 1_000_000
 CHUNK = 512
@@ -21,6 +23,13 @@ ROWS_PER_BUCKET = 1_000_000
 MAX_EDGES = 4096
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: what follows reads it instead of computing it again."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on ``keys``, NULL being a key like any other, as it is for groupBy."""
     names = {k: f"__r_{k}" for k in keys}

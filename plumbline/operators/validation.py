@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.basics import uniform01
+from plumbline.functions.basics import hash48
+from plumbline.operators.draws import multinomial
 from plumbline.operators.scale import attach_group, range_bucket, running_sum, union_all
 from plumbline.operators.votes import majority_value
 
 KEYS = ["data_source", "uid"]
-# Draw slots are made in blocks, so that no array grows with a group.
-SLOT_BLOCK = 4096
 
 
 def score_by_source(df: DataFrame, responses: str = "responses", scorer=None, score: str = "score") -> DataFrame:
@@ -57,8 +56,8 @@ def validation_metrics(df: DataFrame, variables: list[str], vote: str | None = N
 
     mean@N and std@N are exact. best@n and worst@n of n draws with replacement
     have a closed form on order statistics, Σ v·[(hi/N)ⁿ − (lo/N)ⁿ], which
-    replaces resampling. maj@n (when ``vote`` names a column) is resampled with
-    hash draws.
+    replaces resampling. maj@n (when ``vote`` names a column) draws counts per
+    vote by hash.
     """
     stats = order_statistics(_long(df, variables))
     keys = [*KEYS, "var"]
@@ -118,37 +117,26 @@ def validation_metrics(df: DataFrame, variables: list[str], vote: str | None = N
     return per_prompt.groupBy("data_source", "var", "metric").agg(F.avg("value").alias("value"))
 
 
-def bootstrap_draws(df: DataFrame, keys: list[str], order: str, draws: int, seed: int) -> DataFrame:
-    """Rows drawn with replacement: ``(keys…, k, draw, slot, row columns)``.
+def _requests(values: DataFrame, keys: list[str], draws: int) -> DataFrame:
+    """One request per group, subset size k and draw, for k draws."""
+    sizes = values.groupBy(*keys).agg(F.sum("c").alias("n"))
+    wanted = sizes.withColumn("k", F.explode(subset_sizes(F.col("n"))))
+    return wanted.select(*keys, "k", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"), F.col("k").alias("n"))
 
-    Every group is drawn ``draws`` times at each of its subset sizes. A slot
-    picks a row number from a hash of group, size, draw and seed, so the same
-    input always gives the same draws.
-    """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    cut = range_bucket(df, order, "__bucket").withColumn("__one", F.lit(1))
-    numbered = running_sum(cut, keys, "__bucket", [F.col(order)], {"pick": "__one"}, inclusive=False)
-    numbered = numbered.withColumn("pick", F.col("pick").cast("bigint")).drop("__bucket", "__one")
-    slots = (
-        sizes.withColumn("k", F.explode(subset_sizes(F.col("n"))))
-        .withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-        .withColumn("__from", F.explode(F.sequence(F.lit(1), F.col("k"), F.lit(SLOT_BLOCK))))
-        .withColumn("slot", F.explode(F.sequence("__from", F.least(F.col("__from") + SLOT_BLOCK - 1, F.col("k")))))
-        .drop("__from")
-    )
-    u = uniform01(*[F.col(key) for key in keys], F.col("k"), F.col("draw"), F.col("slot"), F.lit(seed))
-    picked = slots.withColumn("pick", F.floor(u * F.col("n")).cast("bigint")).drop("n")
-    return picked.join(numbered, [*keys, "pick"])
 
+def bootstrap(df: DataFrame, value: str, draws: int = 1000, seed: int = 42, keys: list[str] | None = None) -> DataFrame:
+    """Mean and population deviation of max, min and mean over the draws.
 
-def bootstrap(
-    df: DataFrame, value: str, draws: int = 1000, seed: int = 42, keys: list[str] | None = None, order: str = "seq_id"
-) -> DataFrame:
-    """Mean and population deviation of max, min and mean over the draws."""
+    Every group is drawn ``draws`` times at each of its subset sizes, with
+    replacement. A draw is held as how often it hit each distinct value; NULLs
+    are drawn but do not count.
+    """
     keys = keys or KEYS
-    drawn = bootstrap_draws(df.select(*keys, order, value), keys, order, draws, seed)
+    values = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
+    drawn = multinomial(values, _requests(values, keys, draws), keys, value, "n", seed)
+    known = F.when(F.col(value).isNotNull(), F.col("x"))
     per_draw = drawn.groupBy(*keys, "k", "draw").agg(
-        F.max(value).alias("best"), F.min(value).alias("worst"), F.avg(value).alias("mean")
+        F.max(value).alias("best"), F.min(value).alias("worst"), (F.sum(F.col(value) * F.col("x")) / F.sum(known)).alias("mean")
     )
     aggs = []
     for name in ("best", "worst", "mean"):
@@ -156,11 +144,22 @@ def bootstrap(
     return per_draw.groupBy(*keys, "k").agg(*aggs)
 
 
-def majority_at(df: DataFrame, value: str, vote: str, draws: int, seed: int, order: str = "seq_id") -> DataFrame:
-    """maj@n: value of the most frequent vote within each draw."""
-    drawn = bootstrap_draws(df.select(*KEYS, order, vote, F.col(value).cast("double").alias("__v")), KEYS, order, draws, seed)
-    winners = majority_value(drawn, [*KEYS, "k", "draw"], vote, "__v", "slot")
-    per_k = winners.groupBy(*KEYS, "k").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
+def majority_at(df: DataFrame, value: str, vote: str, draws: int, seed: int) -> DataFrame:
+    """maj@n: value of the most frequent vote within each draw.
+
+    Counts per vote are drawn; of equally frequent votes any may be seen first in
+    a draw with the same chance, so a hash decides. The first value seen with the
+    winning vote is one draw from that vote's values.
+    """
+    rows = df.select(*KEYS, F.col(vote).alias("vote"), F.col(value).cast("double").alias("value"))
+    votes = rows.groupBy(*KEYS, "vote").agg(F.count(F.lit(1)).alias("c"))
+    drawn = multinomial(votes, _requests(votes, KEYS, draws), KEYS, "vote", "n", seed)
+    tie = hash48(*[F.col(c) for c in (*KEYS, "k", "draw", "vote")], F.lit(seed), F.lit("tie"))
+    winners = drawn.groupBy(*KEYS, "k", "draw").agg(F.max_by(F.struct("vote"), F.struct("x", tie)).alias("w"))
+    asked = winners.select(*KEYS, F.col("w.vote").alias("vote"), "k", "draw", F.lit(1).cast("bigint").alias("n"))
+    values = rows.groupBy(*KEYS, "vote", "value").agg(F.count(F.lit(1)).alias("c"))
+    picked = multinomial(values, asked, [*KEYS, "vote"], "value", "n", seed)
+    per_k = picked.groupBy(*KEYS, "k").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
     size = F.col("k").cast("string")
     return per_k.select(
         *KEYS,

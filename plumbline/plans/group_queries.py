@@ -317,15 +317,70 @@ def name_val_metrics(spark, sf):
     return rounded(validation.val_metric_names(metrics), 9)
 
 
-@query("bootstrap_metric")
+def multinomial_sql(name: str, names: str, places: int, seed: int = 42) -> str:
+    """CTEs that chain binomials over the values (place i, weight c, rest from there on) of each request.
+
+    Needs ``{name}_v(names of the group, i, v, c, rest)`` and ``{name}_r(names, n)``
+    joined as ``{name}_m(names, n, i, v, c, rest)``; gives ``{name}(names, v, x)``.
+    The distribution function is summed from logarithms of factorials, once for each
+    number of draws and weight that can occur.
+    """
+    u = f"{hash48(names, 0, 0, seed, 'i')} / 281474976710656e0"
+    stages = [f"{name}_0 as (select {names}, n as rem, cast(null as bigint) as x, -1 as i from {name}_r)"]
+    for i in range(places):
+        stages.append(
+            f"""{name}_{i + 1} as (select p.{names.replace(', ', ', p.')}, p.rem - q.x as rem, q.x, {i} as i
+  from {name}_{i} p join {name}_m m on m.i = {i} and {' and '.join(f'm.{c} is not distinct from p.{c}' for c in names.split(', '))}
+  join {name}_q q on q.n = p.rem and q.c = m.c and q.rest = m.rest and m.u >= q.lo and m.u < q.hi)"""
+        )
+    every = " union all ".join(f"select {names}, x, i from {name}_{i + 1}" for i in range(places))
+    return f"""{name}_m as (select *, {u} as u from {name}_w),
+{name}_p as (select distinct n, c, rest, least(c, rest - c) / rest as p, 2 * c > rest as flip from (select distinct c, rest from {name}_m), range(0, (select max(n) + 1 from {name}_r)) t(n)),
+{name}_f as (select *, case when p = 0 then case when y = 0 then 1e0 else 0e0 end
+    else exp(lgamma(n + 1) - lgamma(y + 1) - lgamma(n - y + 1) + y * ln(p) + (n - y) * ln(1 - p)) end as mass from {name}_p, range(0, (select max(n) + 1 from {name}_r)) t(y) where y <= n),
+{name}_c as (select *, sum(mass) over (partition by n, c, rest order by y) as f from {name}_f),
+{name}_q as (select n, c, rest, cast(case when flip then n - y else y end as bigint) as x, coalesce(lag(f) over w, -1) as lo, case when y = n then 2 else f end as hi from {name}_c window w as (partition by n, c, rest order by y)),
+{', '.join(stages)},
+{name} as (select e.*, m.v from ({every}) e join {name}_m m on m.i = e.i and {' and '.join(f'm.{c} is not distinct from e.{c}' for c in names.split(', '))} where e.x > 0)"""
+
+
+def requests_sql(group: str, draws: int) -> str:
+    """Requests for every draw of every subset size below and at a group's size."""
+    return f"""z as (select {group}, count(*) as size from g group by {group}),
+k as (select {group}, 1 << i as k from z, range(1, 20) t(i) where 1 << i < size union all select {group}, size from z where size > 1),
+d as (select {group}, k, draw, k as n from k, range(1, {draws + 1}) t(draw))"""
+
+
+@query(
+    "bootstrap_metric",
+    f"""{G}, {requests_sql('uid', 20)}, b_r as (select * from d),
+b_w as (select d.*, i, v, c, rest from d join (select uid, score as v, count(*) as c, row_number() over (partition by uid order by score) - 1 as i,
+  cast(sum(count(*)) over (partition by uid order by score desc) as bigint) as rest from g group by 1, 2) using (uid)),
+{multinomial_sql('b', 'uid, k, draw', 5)},
+p as (select uid, k, draw, max(v) as best, min(v) as worst, sum(v * x) / sum(x) as mean from b group by 1, 2, 3)
+select uid, k, {', '.join(f"{r(f'avg({c})', 9)} as {c}_mean, {r(f'stddev_pop({c})', 9)} as {c}_std" for c in ('best', 'worst', 'mean'))} from p group by 1, 2""",
+)
 def bootstrap_metric(spark, sf):
-    """Hash draws have no counterpart in other engines: rows only."""
-    return rounded(validation.bootstrap(rollouts(spark, sf), "score", draws=20, keys=["uid"]))
+    return rounded(validation.bootstrap(rollouts(spark, sf), "score", draws=20, keys=["uid"]), 9)
 
 
-@query("maj_at_n")
+@query(
+    "maj_at_n",
+    f"""{G}, {requests_sql('data_source, uid', 10)}, b_r as (select * from d),
+b_w as (select d.*, i, v, c, rest from d join (select data_source, uid, pred as v, count(*) as c, row_number() over (partition by data_source, uid order by pred) - 1 as i,
+  cast(sum(count(*)) over (partition by data_source, uid order by pred desc) as bigint) as rest from g group by 1, 2, 3) using (data_source, uid)),
+{multinomial_sql('b', 'data_source, uid, k, draw', 4)},
+won as (select data_source, uid, k, draw, v as vote from (select *, row_number() over (partition by data_source, uid, k, draw
+  order by x desc, {hash48('data_source', 'uid', 'k', 'draw', 'v', 42, "'tie'")} desc) as rn from b) where rn = 1),
+e_r as (select data_source, uid, vote, k, draw, cast(1 as bigint) as n from won),
+e_w as (select e_r.*, i, v, c, rest from e_r join (select data_source, uid, pred as vote, acc as v, count(*) as c, row_number() over (partition by data_source, uid, pred order by acc) - 1 as i,
+  cast(sum(count(*)) over (partition by data_source, uid, pred order by acc desc) as bigint) as rest from g group by 1, 2, 3, 4) using (data_source, uid, vote)),
+{multinomial_sql('e', 'data_source, uid, vote, k, draw', 2)},
+s as (select data_source, uid, k, avg(v) as m, stddev_pop(v) as s from e group by 1, 2, 3)
+select data_source, uid, 'maj@' || k || '/mean' as metric, {r('m', 9)} as value from s union all select data_source, uid, 'maj@' || k || '/std', {r('s', 9)} from s""",
+)
 def maj_at_n(spark, sf):
-    return rounded(validation.majority_at(rollouts(spark, sf), "acc", "pred", draws=10, seed=42))
+    return rounded(validation.majority_at(rollouts(spark, sf), "acc", "pred", draws=10, seed=42), 9)
 
 
 @query(
@@ -590,7 +645,13 @@ def mini_batches(spark, sf):
     return dealt.groupBy("epoch", "batch").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
 
-@query("reweighted_resample")
+@query(
+    "reweighted_resample",
+    f"""{G}, w as (select seq_id, score, greatest(pow(abs(score), 2) + 1e-8, 1e-8) as w from g),
+t as (select seq_id, score, coalesce(sum(w) over (order by seq_id rows between unbounded preceding and 1 preceding), 0) / (select sum(w) from w) as at from w),
+u as (select i as draw, {hash48('0', 'i', '0')} / 281474976710656e0 as at from range(0, (select count(*) from g)) x(i))
+select draw, seq_id, score from u asof join t on u.at >= t.at""",
+)
 def reweighted_resample(spark, sf):
     return sampling.pf_resample(rollouts(spark, sf).select("seq_id", "score"), "pow", 2.0)
 
