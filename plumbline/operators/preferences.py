@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.basics import log_sigmoid, sigmoid
-from plumbline.operators.scale import attach_group, match, range_bucket, running_sum, with_group_stats
+from plumbline.operators.scale import attach_group, match, ordered, running_sum, with_group_stats, written
 
 
 def mark_chosen(rollouts: DataFrame, score: str = "score") -> DataFrame:
@@ -61,28 +61,30 @@ def pairwise_preference_accuracy(
     "accuracy of i above accuracy of j": when the better response comes first it
     must score strictly higher, when it comes second it must not score lower.
 
+    So among rows put in order of score, then position, the better response of a
+    pair must come later: the agreeing weight is that of the pairs in order.
     Accuracies may take any number of values. Each gets its rank within the
     prompt; two ranks part at one binary digit, the smaller one having 0 there.
     So every row is listed once per digit, under the digits in front of it, and
-    a row with digit 1 counts the rows with digit 0 that come before it when the
-    list is ordered by score and then by position.
+    a row with digit 1 counts the rows with digit 0 before it, which is a merge of
+    two halves of the ranks. Rows are put in order once, as a written table cut
+    into buckets; a running total crosses buckets by their sums.
     """
     base = rollouts.select(uid, F.col(score).alias("s"), F.col(acc).cast("double").alias("a"), F.col(order).alias("o"))
     return _pair_agreement(base, uid).agg(F.avg("accuracy").alias("accuracy"))
 
 
 def _pair_agreement(base: DataFrame, uid: str) -> DataFrame:
-    for value, bucket in (("a", "__ab"), ("s", "__sb"), ("o", "__ob")):
-        base = range_bucket(base, value, bucket)
-    sizes = base.groupBy(uid, "a", "__ab").agg(F.count(F.lit(1)).alias("__n"))
+    rows = ordered(base, [uid, "s", "o"], "pair-rows")
+    sizes = ordered(rows.groupBy(uid, "a").agg(F.count(F.lit(1)).alias("__n")), [uid, "a"], "pair-sizes")
     sizes = sizes.withColumns({"__na": F.col("__n") * F.col("a"), "__one": F.lit(1)})
     before = {"__rank": "__one", "__fewer": "__n", "__fewer_a": "__na"}
-    ranked = running_sum(sizes, [uid], "__ab", [F.col("a")], before, inclusive=False)
-    weight = ranked.groupBy(uid).agg(
+    ranks = written(running_sum(sizes, [uid], "__bucket", [F.col("a")], before, inclusive=False).drop("__bucket", "__one"), "pair-ranks")
+    weight = ranks.groupBy(uid).agg(
         F.sum(F.col("__na") * F.col("__fewer") - F.col("__n") * F.col("__fewer_a")).alias("weight"), F.max("__rank").cast("long").alias("__top")
     )
-    ranks = match(ranked.select(uid, "a", "__n", F.col("__rank").cast("long").alias("__rank")), weight.select(uid, "__top"), [uid])
-    placed = attach_group(base, ranks, [uid, "a"], "__n", ["o"]).where("__top > 0")
+    tops = match(ranks.select(uid, "a", "__n", F.col("__rank").cast("long").alias("__rank")), weight.select(uid, "__top"), [uid])
+    placed = written(attach_group(rows, tops, [uid, "a"], "__n", ["o"]).where("__top > 0"), "pair-placed")
     listed = placed.withColumn("__digit", F.explode(F.sequence(F.lit(0), F.length(F.bin("__top")) - 1)))
     listed = listed.withColumns(
         {
@@ -90,17 +92,10 @@ def _pair_agreement(base: DataFrame, uid: str) -> DataFrame:
             "__zero": F.expr("1 - (shiftright(__rank, __digit) & 1)"),
         }
     ).withColumn("__a0", F.col("__zero") * F.col("a"))
-    keys = [uid, "__digit", "__front"]
-    sums = {"__below": "__zero", "__below_a": "__a0"}
-    # Rows scored strictly lower, counted once per distinct score.
-    ties = listed.groupBy(*keys, "s", "__sb").agg(F.count(F.lit(1)).alias("__size"), *[F.sum(v).alias(v) for v in sums.values()])
-    below = running_sum(ties, keys, "__sb", [F.col("s")], sums, inclusive=False).select(*keys, "s", "__size", *sums)
-    met = attach_group(listed, below, [*keys, "s"], "__size", ["o"])
-    # Rows of the same score that come earlier.
-    early = {"__early": "__zero", "__early_a": "__a0"}
-    ordered = running_sum(met, [*keys, "s"], "__ob", [F.col("o")], early, inclusive=False)
-    gain = F.col("a") * (F.col("__below") + F.col("__early")) - F.col("__below_a") - F.col("__early_a")
-    agreed = ordered.where("__zero = 0").groupBy(uid).agg(F.sum(gain).alias("agree"))
+    earlier = {"__below": "__zero", "__below_a": "__a0"}
+    merged = running_sum(listed, [uid, "__digit", "__front"], "__bucket", [F.col("s"), F.col("o")], earlier, inclusive=False)
+    gain = F.col("a") * F.col("__below") - F.col("__below_a")
+    agreed = merged.where("__zero = 0").groupBy(uid).agg(F.sum(gain).alias("agree"))
     return match(weight, agreed, [uid], "left").select(
         uid, F.when(F.col("weight") > 0, F.col("agree") / F.col("weight")).otherwise(F.lit(0.5)).alias("accuracy")
     )

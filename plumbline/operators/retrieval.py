@@ -1,130 +1,135 @@
-"""Exact dense top-k and BM25 top-k over a corpus table."""
+"""Exact dense top-k and BM25 top-k over a corpus table.
+
+Queries are answered in blocks of bounded size, each sent to the tasks while the
+corpus is scanned where it lies. A task cuts what it reads into tiles of documents.
+A bound per tile and query says whether a tile can still reach the k-th score, only
+the k best of a tile are looked for, and k rows per query leave a task.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-
-# Query matrices up to this many values (64 MiB of doubles) are sent to tasks.
-BROADCAST_VALUES = 8 << 20
-QUERY_BLOCK = 4096
-CORPUS_CELL = 65536
-# Postings of a term above this share are spread over this many salts.
-HOT_SHARE, REPLICAS = 0.001, 64
-# Documents scored at once: a block of term counts stays near 100 MB.
-DOC_BLOCK = 1024
-TOPK_SCHEMA = "query_id BIGINT, doc_id BIGINT, score DOUBLE"
+from plumbline.operators.scale import union_all, written
+
+#: Numbers of a block of query vectors, and query terms of a block of texts.
+BLOCK_VALUES, BLOCK_TERMS = 1 << 20, 1 << 18
+#: Documents of a tile.
+TILE = 2048
+#: Bounds are raised by this share of their size, so that rounding never skips a hit.
+SLACK = 1e-9
+TOPK = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
+TOPK_DDL = "query_id BIGINT, doc_id BIGINT, score DOUBLE"
+
+
+class Best:
+    """The k best documents of each query so far, highest score first, then lowest id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.scores = np.full((queries, k), -np.inf)
+        self.ids = np.full((queries, k), np.iinfo(np.int64).max)
+
+    @property
+    def least(self) -> np.ndarray:
+        return self.scores[:, -1]
+
+    def offer(self, at: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Scores of all documents ``ids`` (columns) for the queries ``at`` (rows)."""
+        keep = min(self.k, scores.shape[1])
+        edge = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1]
+        row, column = np.nonzero(scores >= np.maximum(edge, self.least[at])[:, None])
+        rows = np.concatenate([row, np.repeat(np.arange(len(at)), self.k)])
+        values = np.concatenate([scores[row, column], self.scores[at].ravel()])
+        names = np.concatenate([ids[column], self.ids[at].ravel()])
+        order = np.lexsort((names, -values, rows))
+        first = np.searchsorted(rows[order], np.arange(len(at)))
+        taken = order[first[:, None] + np.arange(self.k)]
+        self.scores[at], self.ids[at] = values[taken], names[taken]
+
+    def batch(self, query_ids: np.ndarray) -> pa.RecordBatch:
+        row, column = np.nonzero(np.isfinite(self.scores))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(query_ids[row]), pa.array(self.ids[row, column]), pa.array(self.scores[row, column])], schema=TOPK
+        )
 
 
-def _unit(vectors: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return vectors / np.where(norms == 0, 1.0, norms)
+def _ranked(parts: list[DataFrame], k: int) -> DataFrame:
+    by_score = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return union_all(parts).withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
 
 
-def _best(query_ids: np.ndarray, queries: np.ndarray, doc_ids: np.ndarray, docs: np.ndarray, k: int) -> pd.DataFrame:
-    """k best documents of one block per query, ties by document id."""
-    scores = np.round(queries @ docs.T, 12)
-    keep = min(k, len(doc_ids))
-    by_id = np.argsort(doc_ids, kind="stable")
-    order = by_id[np.argsort(-scores[:, by_id], axis=1, kind="stable")[:, :keep]]
-    picked = np.take_along_axis(scores, order, axis=1)
-    return pd.DataFrame(
-        {"query_id": np.repeat(query_ids, keep), "doc_id": doc_ids[order].ravel(), "score": picked.ravel()}
-    )
+def _in_blocks(queries: DataFrame, size: int, limit: int) -> Iterator[DataFrame]:
+    """Blocks of queries by hash of the id, of about ``limit`` of their ``size`` numbers."""
+    blocks = max(1, -(-size // limit))
+    for i in range(blocks):
+        yield queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
 
 
-def _matrix(column: pd.Series, normalize: bool) -> np.ndarray:
-    vectors = np.stack(column.to_numpy()).astype("float64")
-    return _unit(vectors) if normalize else vectors
+def _vectors(column: pa.Array, normalize: bool) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    if not normalize:
+        return flat
+    norms = np.linalg.norm(flat, axis=1, keepdims=True)
+    return flat / np.where(norms == 0, 1.0, norms)
 
 
-def dense_topk(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int,
-    normalize: bool = True,
-    query_block: int = QUERY_BLOCK,
-    corpus_cell: int = CORPUS_CELL,
-    broadcast_values: int = BROADCAST_VALUES,
-) -> DataFrame:
+def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, normalize: bool = True, block_values: int = BLOCK_VALUES, tile: int = TILE) -> DataFrame:
     """Exact inner-product search: ``(query_id, doc_id, score, rank)``.
 
-    Inputs are ``(query_id, vector)`` and ``(doc_id, vector)``. A query set
-    whose counted size fits the bound goes to every task and the corpus is
-    scanned in place. A larger one is cut into blocks which meet hashed corpus
-    cells of bounded size. Both ways a task multiplies matrices and emits only
-    its own k best per query, and a partial top-k runs before the last shuffle.
+    Inputs are ``(query_id, vector)`` and ``(doc_id, vector)``, vectors of one
+    length; rows without a vector are left out. Scores are rounded to 12 places,
+    ties go to the lower id. The vectors of a batch are put in order of their norm
+    and cut into tiles; with centre c, radius r and largest norm m, no vector of a
+    tile scores above ``min(|q| m, q·c + |q| r)`` for a query q, and a tile whose
+    bound misses the k-th score is not multiplied.
     """
-    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).first()
-    if size.n * (size.d or 0) <= broadcast_values:
-        local = _topk_in_place(queries, corpus, k, normalize)
-    else:
-        local = _topk_in_blocks(queries, corpus, k, normalize, query_block, corpus_cell)
-    by_score = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return local.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
-
-
-def _topk_in_place(queries: DataFrame, corpus: DataFrame, k: int, normalize: bool) -> DataFrame:
-    held = queries.select("query_id", "vector").toPandas()
-    if held.empty:
-        return corpus.sparkSession.createDataFrame([], TOPK_SCHEMA)
-    ids = held["query_id"].to_numpy()
-    matrix = _matrix(held["vector"], normalize)
+    asked = queries.select("query_id", "vector").where("vector is not null")
+    held = corpus.select("doc_id", "vector").where("vector is not null")
+    size = asked.agg(F.sum(F.size("vector"))).first()[0] or 0
+    parts = [_dense_block(block, held, k, normalize, tile) for block in _in_blocks(asked, size, block_values)]
+    return _ranked(parts, k)
+
+
+def _dense_block(block: DataFrame, corpus: DataFrame, k: int, normalize: bool, tile: int) -> DataFrame:
+    rows = block.collect()
+    if not rows:
+        return corpus.sparkSession.createDataFrame([], TOPK_DDL)
+    ids = np.array([r["query_id"] for r in rows], np.int64)
+    matrix = _vectors(pa.array([r["vector"] for r in rows], pa.list_(pa.float64())), normalize)
     shared = corpus.sparkSession.sparkContext.broadcast((ids, matrix))
+    return corpus.mapInArrow(_dense_scan(shared, k, normalize, tile), TOPK_DDL)
+
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, query_matrix = shared.value
-        best = None
+def _dense_scan(shared, k: int, normalize: bool, tile: int) -> Callable:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries = shared.value
+        lengths = np.linalg.norm(queries, axis=1)
+        best = Best(len(ids), k)
         for batch in batches:
-            if batch.empty:
+            if not batch.num_rows:
                 continue
-            found = _best(query_ids, query_matrix, batch["doc_id"].to_numpy(), _matrix(batch["vector"], normalize), k)
-            merged = found if best is None else pd.concat([best, found])
-            merged = merged.sort_values(["query_id", "score", "doc_id"], ascending=[True, False, True])
-            best = merged.groupby("query_id", sort=False).head(k)
-        if best is not None:
-            yield best
-
-    return corpus.select("doc_id", "vector").mapInPandas(scan, TOPK_SCHEMA)
-
-
-def _topk_in_blocks(
-    queries: DataFrame, corpus: DataFrame, k: int, normalize: bool, query_block: int, corpus_cell: int
-) -> DataFrame:
-    n_queries, n_docs = queries.count(), corpus.count()
-    blocks = max(1, -(-n_queries // query_block))
-    cells = max(1, -(-n_docs // corpus_cell))
-    left = queries.select(
-        "query_id",
-        "vector",
-        F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cells - 1).cast("bigint"))).alias("cell"),
-    )
-    right = corpus.select(
-        "doc_id",
-        "vector",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(cells)).alias("cell"),
-    )
-
-    def meet(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or d.empty:
-            return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
-        return _best(
-            q["query_id"].to_numpy(),
-            _matrix(q["vector"], normalize),
-            d["doc_id"].to_numpy(),
-            _matrix(d["vector"], normalize),
-            k,
-        )
-
-    return left.groupBy("block", "cell").cogroup(right.groupBy("block", "cell")).applyInPandas(meet, TOPK_SCHEMA)
+            vectors, names = _vectors(batch.column("vector"), normalize), batch.column("doc_id").to_numpy()
+            norms = np.linalg.norm(vectors, axis=1)
+            order = np.argsort(-norms, kind="stable")
+            for start in range(0, len(order), tile):
+                at = order[start : start + tile]
+                own = vectors[at]
+                centre = own.mean(axis=0)
+                radius = np.linalg.norm(own - centre, axis=1).max()
+                bound = np.minimum(lengths * norms[at[0]], queries @ centre + lengths * radius)
+                open_ = np.flatnonzero(bound + SLACK * (1 + np.abs(bound)) >= best.least)
+                if len(open_):
+                    best.offer(open_, np.round(queries[open_] @ own.T, 12), names[at])
+        yield best.batch(ids)
+
+    return scan
 
 
 def terms(text: Column) -> Column:
@@ -133,133 +138,81 @@ def terms(text: Column) -> Column:
 
 
 def bm25_topk(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int,
-    k1: float = 0.9,
-    b: float = 0.4,
-    hot_share: float = HOT_SHARE,
-    broadcast_values: int = BROADCAST_VALUES,
+    queries: DataFrame, corpus: DataFrame, k: int, k1: float = 0.9, b: float = 0.4, block_terms: int = BLOCK_TERMS, tile: int = TILE
 ) -> DataFrame:
     """BM25 with ``idf = ln(1 + (N − df + ½)/(df + ½))``: id, score and rank.
 
-    Inputs are ``(query_id, text)`` and ``(doc_id, text)``. A query set whose
-    counted term matrix fits the bound goes to every task; the corpus is scored
-    where it lies and only k documents per query leave a task. Beyond the bound
-    postings and query terms are joined.
+    Inputs are ``(query_id, text)`` and ``(doc_id, text)``; a query term counts
+    once. Only scores above 0 are returned, rounded to 9 places, ties by id. The
+    corpus is read once, into a table of its documents with the numbers of the
+    query terms in them. A tile of documents is a sparse matrix of term weights;
+    the largest weight per term bounds what any of its documents can score.
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    tokenised = corpus.select("doc_id", terms(F.col("text")).alias("ts"))
-    size = wanted.agg(F.count_distinct("term").alias("t"), F.count_distinct("query_id").alias("q")).first()
-    if size.t * size.q <= broadcast_values:
-        scored = _bm25_in_place(wanted, tokenised, k, k1, b)
-    else:
-        scored = _bm25_joined(wanted, tokenised, k1, b, hot_share)
-    by_score = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
-
-
-def _idf(n: Column) -> Column:
-    return F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-
-
-def _corpus_totals(tokenised: DataFrame) -> DataFrame:
-    return tokenised.agg(
-        F.struct(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("ts")).alias("avgdl")).alias("t")
-    )
-
-
-def _bm25_in_place(wanted: DataFrame, tokenised: DataFrame, k: int, k1: float, b: float) -> DataFrame:
-    """Term weights of a bounded query set against batches of documents."""
-    spark = tokenised.sparkSession
-    vocabulary = wanted.select("term").distinct().withColumn("known", F.lit(True))
-    # One scan for both: a row per document and distinct term, and one without a
-    # term per document that carries its length.
-    carried = F.struct(F.lit(None).cast("string").alias("term"), F.size("ts").alias("dl"))
-    listed = F.transform(F.array_distinct("ts"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("dl")))
-    marks = tokenised.select(F.explode(F.array_append(listed, carried)).alias("m")).select("m.*")
-    counted = marks.join(F.broadcast(vocabulary), "term", "left").where("known or term is null")
-    counts = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("dl")).toPandas()
-    whole = counts[counts["term"].isna()]
-    freq = counts[counts["term"].notna()].set_index("term")["df"]
-    held = wanted.toPandas()
-    held = held[held["term"].isin(freq.index)]
-    if held.empty:
-        return spark.createDataFrame([], TOPK_SCHEMA)
-    n, average = float(whole["df"].iloc[0]), float(whole["dl"].iloc[0]) / float(whole["df"].iloc[0])
-    query_no, ids = pd.factorize(held["query_id"].to_numpy(), sort=True)
-    df = held["term"].map(freq).to_numpy()
-    names = pd.Index(held["term"].unique())
-    weights = np.zeros((len(ids), len(names)))
-    weights[query_no, names.get_indexer(held["term"])] = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    shared = spark.sparkContext.broadcast((ids, weights, names))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, query_weights, term_index = shared.value
-        best = None
+    vocabulary = written(wanted.select("term").distinct().withColumn("no", F.monotonically_increasing_id()), "bm25-terms")
+    tokens = corpus.select("doc_id", terms(F.col("text")).alias("ts")).select("doc_id", F.size("ts").alias("dl"), F.explode_outer("ts").alias("term"))
+    found = tokens.join(vocabulary, "term", "left").groupBy("doc_id", "dl").agg(F.collect_list("no").alias("nos"))
+    held = Observation()
+    docs = written(found.observe(held, F.count(F.lit(1)).alias("n"), F.avg(F.greatest("dl", F.lit(0))).alias("average")), "bm25-docs")
+    n, average = held.get["n"], held.get["average"] or 1.0
+    freq = docs.select(F.explode(F.array_distinct("nos")).alias("no")).groupBy("no").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = wanted.join(vocabulary, "term").join(freq, "no").select("query_id", "no", idf.alias("idf"))
+    size = Observation()
+    asked = written(asked.observe(size, F.count(F.lit(1)).alias("n")), "bm25-queries")
+    parts = [_bm25_block(block, docs, k, k1, b, average, tile) for block in _in_blocks(asked, size.get["n"], block_terms)]
+    return _ranked(parts, k)
+
+
+def _bm25_block(block: DataFrame, docs: DataFrame, k: int, k1: float, b: float, average: float, tile: int) -> DataFrame:
+    held = block.orderBy("query_id", "no").toArrow()
+    if not held.num_rows:
+        return docs.sparkSession.createDataFrame([], TOPK_DDL)
+    nos, at = np.unique(held["no"].to_numpy(), return_inverse=True)
+    ids, starts = np.unique(held["query_id"].to_numpy(), return_index=True)
+    shared = docs.sparkSession.sparkContext.broadcast((ids, starts, at, held["idf"].to_numpy(), nos))
+    return docs.mapInArrow(_bm25_scan(shared, k, k1, b, average, tile), TOPK_DDL)
+
+
+def _stretches(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, … of several stretches, one after the other."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def _bm25_scan(shared, k: int, k1: float, b: float, average: float, tile: int) -> Callable:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, starts, at, idf, nos = shared.value
+        ends = np.append(starts[1:], len(at))
+        best = Best(len(ids), k)
         for batch in batches:
-            for at in range(0, len(batch), DOC_BLOCK):
-                found = _bm25_block(batch.iloc[at : at + DOC_BLOCK], query_ids, query_weights, term_index, k, k1, b, average)
-                merged = found if best is None else pd.concat([best, found])
-                merged = merged.sort_values(["query_id", "score", "doc_id"], ascending=[True, False, True])
-                best = merged.groupby("query_id", sort=False).head(k)
-        if best is not None:
-            yield best
-
-    return tokenised.select("doc_id", F.size("ts").alias("dl"), "ts").mapInPandas(scan, TOPK_SCHEMA)
-
-
-def _bm25_block(
-    block: pd.DataFrame, query_ids: np.ndarray, weights: np.ndarray, index: pd.Index, k: int, k1: float, b: float, avgdl: float
-) -> pd.DataFrame:
-    """k best documents of one block per query; documents without a hit stay out."""
-    sizes = block["ts"].map(len).to_numpy()
-    at = index.get_indexer(np.concatenate(block["ts"].to_numpy()))
-    doc_no = np.repeat(np.arange(len(block)), sizes)
-    cells = doc_no[at >= 0] * len(index) + at[at >= 0]
-    tf = np.bincount(cells, minlength=len(block) * len(index)).reshape(len(block), len(index))
-    length = block["dl"].to_numpy()[:, None]
-    weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avgdl))
-    scores = np.round(weights @ weight.T, 9)
-    doc_ids = block["doc_id"].to_numpy()
-    keep = min(k, len(doc_ids))
-    by_id = np.argsort(doc_ids, kind="stable")
-    order = by_id[np.argsort(-scores[:, by_id], axis=1, kind="stable")[:, :keep]]
-    picked = np.take_along_axis(scores, order, axis=1)
-    out = pd.DataFrame(
-        {"query_id": np.repeat(query_ids, keep), "doc_id": doc_ids[order].ravel(), "score": picked.ravel()}
-    )
-    return out[out["score"] > 0]
-
-
-def _bm25_joined(wanted: DataFrame, tokenised: DataFrame, k1: float, b: float, hot_share: float) -> DataFrame:
-    """Postings joined with query terms.
-
-    A term held by more than ``hot_share`` of the postings is spread over salts,
-    its query side repeated per salt; per-document scores are summed map-side.
-    """
-    totals = _corpus_totals(tokenised).scalar()
-    words = tokenised.select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
-    postings = words.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    # Counting on tf keeps this the same shuffle as the postings, so it is reused.
-    freq = postings.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
-    limit = F.greatest(F.lit(10_000.0), freq.agg(F.sum("df").alias("n")).scalar() * F.lit(hot_share))
-    hot = freq.where(F.col("df") > limit).select("term", F.lit(True).alias("__hot"))
-    salts = F.explode(F.sequence(F.lit(0), F.when(F.col("df") > limit, F.lit(REPLICAS - 1)).otherwise(F.lit(0))))
-    weighed = wanted.join(freq.select("term", "df", _idf(totals["n"]).alias("idf")), "term").withColumn("__salt", salts)
-    salted = postings.join(F.broadcast(hot), "term", "left").withColumn(
-        "__salt",
-        F.when(F.col("__hot"), F.pmod(F.xxhash64("doc_id"), F.lit(REPLICAS)).cast("int")).otherwise(F.lit(0)),
-    )
-    tf = F.col("tf")
-    weight = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / totals["avgdl"]))
-    return (
-        salted.join(weighed, ["term", "__salt"])
-        .groupBy("query_id", "doc_id")
-        .agg(F.round(F.sum(weight), 9).alias("score"))
-    )
-
-
-def short_queries(hits: DataFrame, k: int) -> DataFrame:
-    """Queries that got fewer than k hits."""
-    return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits")).where(F.col("n_hits") < k)
+            for part in (batch.slice(i, tile) for i in range(0, batch.num_rows, tile)):
+                rows, names = part.num_rows, part.column("doc_id").to_numpy()
+                lists = part.column("nos")
+                sizes = np.diff(lists.offsets.to_numpy())
+                flat = lists.flatten().to_numpy()
+                place = np.minimum(np.searchsorted(nos, flat), len(nos) - 1)
+                hit = nos[place] == flat
+                # Term by document, how often: the tile as sorted postings.
+                keys, times = np.unique(place[hit] * rows + np.repeat(np.arange(rows), sizes)[hit], return_counts=True)
+                if not len(keys):
+                    continue
+                term, doc = keys // rows, keys % rows
+                length = part.column("dl").to_numpy(zero_copy_only=False)[doc]
+                weight = times * (k1 + 1) / (times + k1 * (1 - b + b * length / average))
+                first = np.searchsorted(term, np.arange(len(nos) + 1))
+                most = np.zeros(len(nos))
+                some = np.flatnonzero(np.diff(first))
+                most[some] = np.maximum.reduceat(weight, first[some])
+                bound = np.add.reduceat(idf * most[at], starts)
+                for q in np.flatnonzero((bound > 0) & (bound * (1 + SLACK) + SLACK >= best.least)).tolist():
+                    own = at[starts[q] : ends[q]]
+                    size = first[own + 1] - first[own]
+                    where = _stretches(first[own], size)
+                    scores = np.bincount(doc[where], weight[where] * np.repeat(idf[starts[q] : ends[q]], size), rows)
+                    scores = np.round(scores, 9)
+                    met = np.flatnonzero(scores > 0)
+                    if len(met):
+                        best.offer(np.array([q]), scores[met][None, :], names[met])
+        yield best.batch(ids)
+
+    return scan

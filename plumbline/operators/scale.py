@@ -30,6 +30,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ordered(df: DataFrame, order: list[str], name: str, out: str = "__bucket") -> DataFrame:
+    """Written table with a bucket per row: consecutive ranges of rows in the order of the columns.
+
+    Rows are range-partitioned by Spark's own sample, so buckets hold about as many
+    rows however values repeat, as long as the columns together are nearly unique.
+    The bucket is read back with the row, never derived twice.
+    """
+    return written(df.repartitionByRange(*order).withColumn(out, F.spark_partition_id()), name)
+
+
 def match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on ``keys``, NULL being a key like any other, as it is for groupBy."""
     names = {k: f"__r_{k}" for k in keys}

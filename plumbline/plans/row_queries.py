@@ -363,11 +363,11 @@ k as (select *, row_number() over (partition by query_id order by score desc, do
 select query_id, doc_id, cast(rank as int) as rank, {r('score')} as score from k where rank <= 5""",
 )
 def dense_topk_blocks(spark, sf):
-    """The way taken when the queries are too many to send around."""
+    """Inner products, in several blocks of queries and small tiles."""
     vectors = table(spark, sf, "embeddings")
     queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     corpus = vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    return rounded(retrieval.dense_topk(queries, corpus, 5, False, query_block=64, corpus_cell=256, broadcast_values=0))
+    return rounded(retrieval.dense_topk(queries, corpus, 5, False, block_values=640, tile=64))
 
 
 BM25 = """with dt as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') as ts from documents),

@@ -41,3 +41,11 @@ def test_group_topk_is_limited_before_the_shuffle(spark):
 
 def test_python_only_where_it_is_the_feature():
     assert PYTHON_QUERIES <= set(catalog.QUERIES)
+
+
+SCANS = {"pair_compare": 4, "bm25_topk": 2, "bootstrap_metric": 8, "maj_at_n": 14, "reweighted_resample": 4}
+
+
+@pytest.mark.parametrize("name", sorted(SCANS))
+def test_scans_stay_few(spark, name):
+    assert plan_of(catalog.QUERIES[name](spark, SF)).count("FileScan") <= SCANS[name]

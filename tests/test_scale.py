@@ -1,5 +1,6 @@
 """Skew-proof helpers against plain loops, with hot keys forced."""
 
+import math
 import random
 
 import pytest
@@ -151,19 +152,19 @@ def test_filter_groups_keeps_varied_and_single(spark):
     assert sorted(r.seq_id for r in filters.filter_groups(df, "acc").collect()) == [1, 2, 5]
 
 
-def test_dense_topk_ways_agree(spark):
+def test_dense_topk_in_blocks_and_tiles(spark):
     rng = random.Random(9)
     vectors = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(90)]
     corpus = spark.createDataFrame(vectors, "doc_id BIGINT, vector ARRAY<DOUBLE>")
     queries = spark.createDataFrame(vectors[:20], "query_id BIGINT, vector ARRAY<DOUBLE>")
     small = retrieval.dense_topk(queries, corpus, 4)
-    large = retrieval.dense_topk(queries, corpus, 4, query_block=6, corpus_cell=20, broadcast_values=0)
+    large = retrieval.dense_topk(queries, corpus, 4, block_values=40, tile=7)
     pick = lambda df: sorted((r.query_id, r["rank"], r.doc_id) for r in df.collect())
     assert pick(small) == pick(large)
     assert all(r.doc_id == r.query_id for r in small.where("rank = 1").collect())
 
 
-def test_bm25_ways_agree(spark):
+def test_bm25_in_blocks_and_tiles(spark):
     rng = random.Random(4)
     words = ["w%d" % i for i in range(30)]
     docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(3, 25)))) for i in range(120)]
@@ -171,6 +172,94 @@ def test_bm25_ways_agree(spark):
     corpus = spark.createDataFrame(docs, "doc_id BIGINT, text STRING")
     queries = spark.createDataFrame(asks, "query_id BIGINT, text STRING")
     small = retrieval.bm25_topk(queries, corpus, 5)
-    large = retrieval.bm25_topk(queries, corpus, 5, broadcast_values=0)
+    large = retrieval.bm25_topk(queries, corpus, 5, block_terms=6, tile=9)
     pick = lambda df: sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 6)) for r in df.collect())
     assert pick(small) == pick(large)
+
+
+def test_pair_agreement_of_one_hot_prompt(spark, many_buckets):
+    import random
+
+    from plumbline.operators import preferences
+
+    own = random.Random(4)
+    rows = [(1, i, float(own.randint(0, 9)), own.random() if i % 3 else 0.5) for i in range(600)] + [(None, i, 1.0, 0.0) for i in range(4)]
+    df = spark.createDataFrame(rows, "uid long, seq_id long, score double, acc double").repartition(4)
+    prompt = [(i, s, a) for u, i, s, a in rows if u == 1]
+    weight = agree = 0.0
+    for n, (_, sb, ab) in enumerate(prompt):
+        for _, sa, aa in prompt[:n]:
+            weight += abs(aa - ab)
+            agree += abs(aa - ab) * ((sa > sb) == (aa > ab))
+    got = preferences.pairwise_preference_accuracy(df).first().accuracy
+    assert abs(got - (agree / weight + 0.5) / 2) < 1e-9
+
+
+@pytest.fixture
+def many_buckets(spark):
+    """Small tables keep as many buckets as shuffle partitions."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.set(key, "true")
+
+
+def test_ordered_buckets_split_equal_values(spark, many_buckets):
+    from plumbline.operators.scale import ordered
+
+    df = spark.range(20000).selectExpr("1.0 as s", "id as o")
+    cut = ordered(df, ["s", "o"], "cut").groupBy("__bucket").agg({"o": "min", "*": "count"}).collect()
+    assert len(cut) > 4 and max(r["count(1)"] for r in cut) < 8000
+    low = [r["min(o)"] for r in sorted(cut, key=lambda r: r["__bucket"])]
+    assert low == sorted(low)
+
+
+def test_bm25_many_long_queries_in_bounded_blocks(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randint(0, 60)))) for i in range(300)] + [(900, None), (901, "")]
+    asks = [(i, " ".join(rng.choices(words, k=300))) for i in range(120)] + [(500, None), (501, "zzz"), (502, "w1 w1 zzz")]
+    corpus = spark.createDataFrame(docs, "doc_id BIGINT, text STRING").repartition(3)
+    queries = spark.createDataFrame(asks, "query_id BIGINT, text STRING")
+    got = sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in retrieval.bm25_topk(queries, corpus, 7, block_terms=2000, tile=50).collect())
+    own = {i: (t or "").split() for i, t in docs}
+    average = sum(map(len, own.values())) / len(own)
+    df = {w: sum(w in set(t) for t in own.values()) for w in words}
+    want = []
+    for q, text in asks:
+        scores = []
+        for i, t in own.items():
+            score = 0.0
+            for w in set((text or "").split()):
+                tf = t.count(w)
+                if tf:
+                    score += math.log(1 + (len(own) - df[w] + 0.5) / (df[w] + 0.5)) * tf * 1.9 / (tf + 0.9 * (0.6 + 0.4 * len(t) / average))
+            if score > 0:
+                scores.append((-round(score, 9), i))
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(sorted(scores)[:7], 1)]
+    assert [g[:3] for g in got] == [w[:3] for w in sorted(want)]
+    assert all(abs(g[3] - w[3]) < 1e-6 for g, w in zip(got, sorted(want)))
+
+
+def test_dense_bounds_skip_tiles_and_keep_ties(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    class Shared:
+        value = (np.array([1, 2]), np.array([[1.0, 0.0], [0.0, 2.0]]))
+
+    own = np.random.default_rng(1)
+    vectors = own.normal(size=(500, 2)) * np.linspace(0.01, 5, 500)[:, None]
+    vectors[7] = vectors[499]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(500)), pa.array(vectors.tolist(), pa.list_(pa.float64()))], names=["doc_id", "vector"])
+    seen, keep = [], retrieval.Best.offer
+    retrieval.Best.offer = lambda self, at, scores, ids: seen.append(len(at)) or keep(self, at, scores, ids)
+    try:
+        (out,) = retrieval._dense_scan(Shared, 6, False, 20)(iter([batch]))
+    finally:
+        retrieval.Best.offer = keep
+    scores = np.round(Shared.value[1] @ vectors.T, 12)
+    for n, q in enumerate((1, 2)):
+        order = np.lexsort((np.arange(500), -scores[n]))[:6]
+        assert [r["doc_id"] for r in out.to_pylist() if r["query_id"] == q] == order.tolist()
+    assert sum(seen) < 30
