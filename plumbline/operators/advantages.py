@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.registry import ADVANTAGES, register_advantage
-from plumbline.operators.scale import attach_group, backward_scan, lookup, match, with_group_stats
+from plumbline.operators.scale import attach_group, backward_scan, lookup, match, with_group_stats, written
 
 EPS = 1e-6
 WHITEN_EPS = 1e-8
@@ -218,18 +218,21 @@ def gae(tokens: DataFrame, gamma: float = 1.0, lam: float = 1.0) -> DataFrame:
 def prime_rloo(tokens: DataFrame, dpo_coef: float = 1.0, gt_coef: float = 1.0) -> DataFrame:
     """Leave-one-out advantage from two reward sources, whitened.
 
+    A prompt without a valid token has no baseline and zero rewards.
+
     Token scores (``rm_score``) and accuracy on the last valid token (``acc``)
     each get the baseline Σ row means / (n − 1) of their prompt; the weighted
     sum becomes a reverse running total.
     """
     m = F.col("mask")
+    tokens = written(tokens, "tokens")
     seq = tokens.where(m > 0).groupBy("uid", "seq_id").agg(
         F.avg("rm_score").alias("__rm"), F.max("acc").alias("__acc"), F.max("pos").alias("__last")
     )
     group = seq.groupBy("uid").agg(
         F.count(F.lit(1)).alias("__n"), F.sum("__rm").alias("__rm_sum"), F.sum("__acc").alias("__acc_sum")
     )
-    sized = match(tokens.groupBy("uid").agg(F.count(F.lit(1)).alias("__size")), group, ["uid"])
+    sized = match(tokens.groupBy("uid").agg(F.count(F.lit(1)).alias("__size")), group, ["uid"], "left")
     with_group = attach_group(tokens, sized, ["uid"], "__size", ["seq_id", "pos"]).drop("__size")
     lasts = seq.select("uid", "seq_id", "__last")
     rows = match(with_group, lasts, ["uid", "seq_id"], "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.scale import attach_group, lookup, range_bucket, running_sum
+from plumbline.operators.scale import attach_group, lookup, lowest, written
 
 # Source names with a meaning of their own.
 MATH_SOURCES = [
@@ -137,10 +137,10 @@ def align_batch(df: DataFrame, prompts: int, max_rounds: int, uid: str = "uid",
     """The first ``prompts`` kept prompts in order of arrival.
 
     Arrival is ``(round, uid)``. Needing more than ``max_rounds`` rounds is an
-    error. Only one row per prompt is ordered, and only ``prompts`` are kept.
+    error. Only one row per prompt is looked at for that.
     """
     arrival = df.groupBy(uid).agg(F.min(round_col).alias("__r"))
-    first = arrival.orderBy("__r", uid).limit(prompts)
+    first = lowest(written(arrival, "arrivals"), prompts, ["__r", uid])
     used = first.agg(F.max("__r").alias("r"), F.count(F.lit(1)).alias("n"))
     state = used.select(F.when((F.col("n") < prompts) | (F.col("r") >= max_rounds), 1).otherwise(0).alias("bad"))
     message = F.raise_error(F.lit(f"no full batch of {prompts} prompts in {max_rounds} rounds")).cast("boolean")
@@ -160,35 +160,17 @@ def prioritized_downsample(
     """Keep 1/factor of the rows, groups that pass the filters first.
 
     A group passes with mean accuracy in [lo, hi] and longest response below
-    ``max_length − 1``. Order within passing and failing groups is by group.
+    ``max_length − 1``. Order within passing and failing groups is by group, and
+    by response within a group.
     """
     groups = df.groupBy(group_order).agg(
         F.avg(score).alias("__acc"), F.max(length).alias("__len"), F.count(F.lit(1)).alias("__n")
     )
     passed = F.col("__acc").between(lo, hi) & (F.col("__len") < max_length - 1)
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    flagged = groups.withColumn("__pass", passed.cast("int"))
-    cut = range_bucket(flagged, group_order, "__bucket").withColumn(
-        "__bucket", F.col("__bucket") + F.when(F.col("__pass") == 1, 0.0).otherwise(1e6)
-    )
-    ordered = running_sum(
-        cut.withColumn("__g", F.lit(0)), ["__g"], "__bucket", [F.col(group_order)], {"__before": "__n"}, inclusive=False
-    )
-    stats = ordered.select(group_order, "__n", "__before", (F.col("__pass") == 1).alias("passes"))
-    marked = attach_group(df, stats, [group_order], "__n", ["seq_id"])
-    keep = F.floor(total / factor)
-    whole = F.col("__before") + F.col("__n") <= keep
-    edge = marked.where(~whole & (F.col("__before") < keep))
-    # The group at the cut is numbered by response order, in buckets.
-    numbered = running_sum(
-        range_bucket(edge, "seq_id", "__b").withColumn("__one", F.lit(1)),
-        [group_order],
-        "__b",
-        [F.col("seq_id")],
-        {"__i": "__one"},
-    ).where(F.col("__before") + F.col("__i") <= keep)
-    columns = [*df.columns, "passes"]
-    return marked.where(whole).select(columns).unionByName(numbered.select(columns))
+    flagged = groups.select(group_order, "__n", F.coalesce(passed, F.lit(False)).alias("passes"))
+    marked = attach_group(df, flagged, [group_order], "__n", ["seq_id"]).drop("__n")
+    marked = written(marked.withColumn("__fails", (~F.col("passes")).cast("int")), "marked")
+    return lowest(marked, int(marked.count() // factor), ["__fails", group_order, "seq_id"]).drop("__fails")
 
 
 def resume_skip(todo: DataFrame, done: DataFrame, key: str = "index") -> DataFrame:

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from plumbline.functions.basics import clip
+from plumbline.functions.basics import clip, hash48
 from plumbline.operators.offpolicy import rollout_correction
 from plumbline.operators.registry import LOSSES, register_loss
-from plumbline.operators.tokens import MEAN_EPS, attach_sequence, kl, masked, take_largest
+from plumbline.operators.tokens import MEAN_EPS, attach_sequence, kl, masked, take_largest, with_covariance
 
 MODES = ("token-mean", "seq-mean-token-sum", "seq-mean-token-mean", "seq-mean-token-sum-norm")
 
@@ -113,15 +113,6 @@ def gpg_loss(tokens: DataFrame, mode: str = "token-mean") -> DataFrame:
     return aggregate_loss(tokens.withColumn("token_loss", _weighted(tokens, loss)), mode)
 
 
-def _with_covariance(tokens: DataFrame) -> tuple[DataFrame, Column]:
-    valid = tokens.where(F.col("mask") > 0)
-    means = valid.agg(
-        F.struct(F.avg("advantage").alias("a"), F.avg("log_prob").alias("l"), F.count(F.lit(1)).alias("n")).alias("s")
-    ).scalar()
-    cov = (F.col("advantage") - means["a"]) * (F.col("log_prob") - means["l"])
-    return tokens.withColumn("__cov", cov), means["n"]
-
-
 def _picked(tokens: DataFrame, chosen: DataFrame) -> DataFrame:
     marks = chosen.select("seq_id", "pos", F.lit(True).alias("__picked"))
     joined = tokens.join(marks, ["seq_id", "pos"], "left")
@@ -148,12 +139,11 @@ def clip_cov_loss(
     rho = F.exp(_delta())
     plain = -adv * rho
     clipped = -adv * F.greatest(F.lit(1 - clip_lo), F.least(F.lit(1 + clip_hi), rho))
-    scored, n = _with_covariance(tokens)
+    scored, n = with_covariance(tokens, "__cov")
     band = (F.col("__cov") > lb) & (F.col("__cov") < ub) & (F.col("mask") > 0) & ~(clipped > plain)
-    # 31 bits keep the hash exact as a double, so bucket and order agree.
-    draw = F.pmod(F.xxhash64("seq_id", "pos", F.lit(seed)), F.lit(1 << 31))
+    draw = hash48(F.col("seq_id"), F.col("pos"), F.lit(seed))
     candidates = scored.where(band).select("seq_id", "pos", draw.alias("__draw"))
-    chosen = take_largest(candidates, "__draw", ["seq_id", "pos"], F.greatest(F.floor(n * ratio), F.lit(1)))
+    chosen = take_largest(candidates, "__draw", ["seq_id", "pos"], max(1, int(n * ratio)))
     marked = _picked(scored, chosen)
     loss = F.when(F.col("__picked"), F.lit(0.0)).otherwise(F.greatest(plain, clipped))
     return aggregate_loss(
@@ -166,9 +156,9 @@ def clip_cov_loss(
 @register_loss("kl_cov")
 def kl_cov_loss(tokens: DataFrame, ratio: float = 0.0002, coef: float = 1.0, mode: str = "token-mean") -> DataFrame:
     """The tokens of largest covariance get a coef·|KL| penalty."""
-    scored, n = _with_covariance(tokens)
+    scored, n = with_covariance(tokens, "__cov")
     candidates = scored.where(F.col("mask") > 0).select("seq_id", "pos", "__cov")
-    chosen = take_largest(candidates, "__cov", ["seq_id", "pos"], F.greatest(F.floor(n * ratio), F.lit(1)))
+    chosen = take_largest(candidates, "__cov", ["seq_id", "pos"], max(1, int(n * ratio)))
     marked = _picked(scored, chosen)
     plain = -F.col("advantage") * F.exp(_delta())
     loss = plain + F.when(F.col("__picked"), coef * F.abs(_delta())).otherwise(F.lit(0.0))

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from plumbline.functions.basics import hash48, uniform01
 from plumbline.operators.draws import multinomial
-from plumbline.operators.scale import range_bucket, running_sum, written
+from plumbline.operators.scale import lowest, range_bucket, running_sum, written
 
 #: Rows, and draws, of one range of weights; draws made by one row of a plan.
 RANGE_ROWS, DRAW_BLOCK = 1_000_000, 65_536
@@ -26,12 +26,13 @@ def shuffle_key(row_id: str, seed: int, *more) -> Column:
 def sample_n(df: DataFrame, n: int, row_id: str, shuffle: bool = False, seed: int = 0) -> DataFrame:
     """First n rows by id, or n random rows; the whole table if n is negative.
 
-    Sort plus limit runs as a top-n per partition with one small merge.
+    The key of the n-th row is found first, then rows are kept by a filter.
     """
     if n < 0:
         return df
-    order = [shuffle_key(row_id, seed), F.col(row_id)] if shuffle else [F.col(row_id)]
-    return df.orderBy(*order).limit(n)
+    if not shuffle:
+        return lowest(df, n, [row_id])
+    return lowest(df.withColumn("__k", shuffle_key(row_id, seed)), n, ["__k", row_id]).drop("__k")
 
 
 def preview(df: DataFrame, n: int, text: str, seed: int = 42) -> DataFrame:

@@ -14,13 +14,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from plumbline.functions.basics import let
 from plumbline.session import shared_folder
 
 HOT_SHARE = 1e-5
 HOT_FLOOR = 1_000_000
-CHUNK = 512
+#: Positions of a chunk, and of a block within it.
+CHUNK, BLOCK = 1024, 32
 ROWS_PER_BUCKET = 1_000_000
-MAX_EDGES = 4096
+MAX_EDGES = 512
+#: Numbers one pass of a selection may return.
+CELLS = 4096
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -90,6 +94,45 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], **hot) -> DataFra
     return attach_group(rows, sizes.join(table, keys), keys, "__size", spread_by, **hot).drop("__size")
 
 
+def lowest(df: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """The first ``n`` rows in the order of numeric columns, NULL first, as a plain filter.
+
+    A histogram of the first column finds the cell with the n-th row, that cell is
+    cut finer until its keys are all equal, and the next column goes on among them:
+    a few narrow passes, each giving at most ``CELLS`` numbers. No row is sorted or
+    moved. Only where rows agree in every column is it open which of them are taken.
+    """
+    kept, window, left = F.lit(False), F.lit(True), n
+    if n <= 0:
+        return df.where("false")
+    for key in order:
+        c = F.col(f"`{key}`")
+        ends = [F.count(F.lit(1)).alias("n"), F.count(c).alias("known"), F.min(c).alias("lo"), F.max(c).alias("hi")]
+        found = df.where(window).agg(*ends).first()
+        if found.n <= left:
+            return df.where(kept | window)
+        if found.n - found.known >= left:
+            window = window & c.isNull()
+            continue
+        kept, left = kept | (window & c.isNull()), left - (found.n - found.known)
+        lo, hi = found.lo, found.hi
+        while lo < hi:
+            if isinstance(lo, int):
+                cell = F.expr(f"(`{key}` - ({lo}L)) div {(hi - lo) // CELLS + 1}L")
+            else:
+                cell = F.least(F.floor((c - lo) / (hi - lo) * CELLS), F.lit(CELLS - 1))
+            counts = df.where(window & c.between(lo, hi)).groupBy(cell.alias("at"))
+            for part in sorted(counts.agg(F.count(F.lit(1)).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).collect()):
+                if part.n >= left:
+                    break
+                left -= part.n
+            lo, hi = part.lo, part.hi
+            if part.n == left:
+                return df.where(kept | (window & (c <= hi)))
+        kept, window = kept | (window & (c < lo)), window & (c == lo)
+    return df.where(kept).unionByName(df.where(window).limit(left))
+
+
 def range_bucket(df: DataFrame, key: str, out: str = "__bucket", buckets: int | None = None) -> DataFrame:
     """Order-preserving bucket of a numeric key, sized by rows.
 
@@ -163,7 +206,7 @@ def row_index(df: DataFrame, key: str, out: str = "row", buckets: int | None = N
 MAP = ["__ha", "__hb", "__fa", "__fc", "__fb"]
 
 
-def _compose(items: str) -> Column:
+def _compose(items) -> Column:
     """One step standing for a whole chunk, items being in right-to-left order."""
     start = F.struct(*[F.lit(1.0 if m in ("__ha", "__fa") else 0.0).alias(m) for m in MAP])
 
@@ -176,24 +219,43 @@ def _compose(items: str) -> Column:
             (x["__fa"] * s["__fb"] + x["__fc"] * s["__hb"] + x["__fb"]).alias("__fb"),
         )
 
-    return F.aggregate(F.col(items), start, then)
+    return F.aggregate(items, start, then)
 
 
-def _states(items: str, carry: Column, inclusive: bool) -> Column:
-    """``STRUCT<h, s>`` after (or before) each item, in right-to-left order."""
+def _after(step: Column, at: Column) -> Column:
+    return F.struct(
+        (step["__ha"] * at["h"] + step["__hb"]).alias("h"),
+        (step["__fa"] * at["s"] + step["__fc"] * at["h"] + step["__fb"]).alias("s"),
+    )
+
+
+def _along(steps: Column, entering: Column, inclusive: bool) -> Column:
+    """``STRUCT<h, s>`` after (or before) each of at most a block of steps."""
     nothing = F.array().cast("array<struct<h:double,s:double>>")
-    entering = F.struct(F.coalesce(carry["h"], F.lit(0.0)).alias("h"), F.coalesce(carry["s"], F.lit(0.0)).alias("s"))
     start = F.struct(entering.alias("at"), nothing.alias("out"))
 
     def step(state: Column, x: Column) -> Column:
-        at = state["at"]
-        after = F.struct(
-            (x["__ha"] * at["h"] + x["__hb"]).alias("h"),
-            (x["__fa"] * at["s"] + x["__fc"] * at["h"] + x["__fb"]).alias("s"),
-        )
-        return F.struct(after.alias("at"), F.array_append(state["out"], after if inclusive else at).alias("out"))
+        after = _after(x, state["at"])
+        return F.struct(after.alias("at"), F.array_append(state["out"], after if inclusive else state["at"]).alias("out"))
 
-    return F.aggregate(F.col(items), start, step, lambda s: s["out"])
+    return F.aggregate(steps, start, step, lambda s: s["out"])
+
+
+def _states(items: str, carry: Column, inclusive: bool) -> Column:
+    """``STRUCT<h, s>`` after (or before) each item, in right-to-left order.
+
+    Two levels: items are cut into blocks, blocks fold into steps that give the
+    state entering each block, and the blocks are solved from there, so no array
+    ever grows beyond a block or the number of blocks.
+    """
+    entering = F.struct(F.coalesce(carry["h"], F.lit(0.0)).alias("h"), F.coalesce(carry["s"], F.lit(0.0)).alias("s"))
+    starts = F.sequence(F.lit(1), F.size(items), F.lit(BLOCK))
+
+    def solved(blocks: Column) -> Column:
+        folds = F.transform(blocks, _compose)
+        return F.flatten(F.zip_with(blocks, _along(folds, entering, False), lambda block, at: _along(block, at, inclusive)))
+
+    return let(F.transform(starts, lambda i: F.slice(items, i, BLOCK)), solved)
 
 
 def _pack(df: DataFrame, groups: list[str], item: Column) -> DataFrame:
@@ -211,7 +273,7 @@ def _carries(maps: DataFrame, keys: list[str], levels: int, chunk: int) -> DataF
         packed = _pack(maps.withColumn("__u", F.floor(F.col("__c") / chunk)), [*keys, "__u"], item)
         folded = packed.where("__u > 0").select(*keys, F.col("__u").alias("__c"), _compose("__t").alias("__f"))
         entering = _carries(folded.select(*keys, "__c", "__f.*"), keys, levels - 1, chunk)
-        packed = packed.join(entering.withColumnRenamed("__c", "__u"), [*keys, "__u"], "left")
+        packed = match(packed, entering.withColumnRenamed("__c", "__u"), [*keys, "__u"], "left")
         carry = F.col("__carry")
     else:
         packed = _pack(maps, keys, item)
@@ -241,22 +303,23 @@ def backward_scan(
     ``s[t]`` also gets ``cross[t] * h[t+1]``. Steps compose, so a sequence is cut
     into chunks of ``chunk`` positions: each chunk folds into one step, the
     folded steps give the state entering each chunk, and the chunks are then
-    solved side by side. No task holds more than ``chunk`` tokens of one
-    sequence at a time. ``inclusive=False`` returns ``s[t+1]``.
+    solved side by side. No row holds more than ``chunk`` tokens of a sequence.
+    ``df`` is read once, into a table of steps, and the result is a table as well.
+    ``inclusive=False`` returns ``s[t+1]``.
     """
     columns = [c for c in df.columns if c not in keys]
     steps = [helper_factor, helper_addend, factor, cross, addend]
     named = [(F.lit(0.0) if c is None else c).cast("double").alias(m) for m, c in zip(MAP, steps, strict=True)]
     work = df.select(*df.columns, *named, F.floor(F.col(pos) / chunk).alias("__c"))
+    work = written(work, "steps")
     beyond = _pack(work.where("__c > 0"), [*keys, "__c"], F.struct(F.col(pos).alias("__p"), *MAP))
     folded = beyond.select(*keys, "__c", _compose("__t").alias("__f")).select(*keys, "__c", "__f.*")
     packed = _pack(work, [*keys, "__c"], F.struct(F.col(pos).alias("__p"), *MAP, F.struct(*columns).alias("__row")))
-    entered = packed.join(_carries(folded, keys, levels, chunk), [*keys, "__c"], "left")
+    entered = match(packed, _carries(folded, keys, levels, chunk), [*keys, "__c"], "left")
     solved = entered.withColumn("__s", _states("__t", F.col("__carry"), inclusive))
     tokens = solved.select(*keys, F.explode(F.arrays_zip("__t", "__s")).alias("__z"))
-    return tokens.select(
-        *keys, *[F.col(f"__z.__t.__row.`{c}`").alias(c) for c in columns], F.col("__z.__s.s").alias(out)
-    )
+    states = [F.col(f"__z.__t.__row.`{c}`").alias(c) for c in columns]
+    return written(tokens.select(*keys, *states, F.col("__z.__s.s").alias(out)), "states")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

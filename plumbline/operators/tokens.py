@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.basics import bounded_exp, clip
-from plumbline.operators.scale import attach_group, range_bucket, running_sum
+from plumbline.operators.scale import attach_group, lowest, running_sum, written
 
 MEAN_EPS = 1e-8
 
@@ -87,10 +87,11 @@ def mean_sequence_kl(tokens: DataFrame) -> DataFrame:
     return per_seq.agg(F.avg("kl").alias("mean_kl"))
 
 
-def masked_stats(tokens: DataFrame, col: str, by: list[str] | None = None, mask: str = "mask") -> DataFrame:
+def masked_stats(tokens: DataFrame, col: str, by: list[str] | None = None, mask: str = "mask", strict: bool = True) -> DataFrame:
     """Masked sum, mean (÷(Σmask + 1e-8)) and Bessel-corrected variance.
 
-    Fewer than two valid rows is an error for the variance.
+    Fewer than two valid rows is an error for the variance, or gives NULL if not
+    ``strict``; without any the mean is NULL.
     """
     x = masked(mask, F.col(col))
     n = F.sum(mask)
@@ -99,7 +100,7 @@ def masked_stats(tokens: DataFrame, col: str, by: list[str] | None = None, mask:
     return tokens.groupBy(*(by or [])).agg(
         F.coalesce(F.sum(x), F.lit(0.0)).alias("masked_sum"),
         mean.alias("masked_mean"),
-        F.when(n <= 1, few).otherwise(F.var_samp(x)).alias("masked_var"),
+        F.when(n <= 1, few if strict else F.lit(None)).otherwise(F.var_samp(x)).alias("masked_var"),
     )
 
 
@@ -194,31 +195,26 @@ def sequence_logprob(tokens: DataFrame, col: str = "log_prob", average: bool = F
     return tokens.groupBy("seq_id").agg(value.alias("logp"))
 
 
-def topk_covariance(tokens: DataFrame, ratio: float) -> DataFrame:
-    """Valid tokens with the largest advantage/log-prob covariance term.
-
-    ``max(1, int(n · ratio))`` of them; the cut-off value comes from bucketed
-    counts, so neither a global sort nor a driver-side count is needed.
-    """
+def with_covariance(tokens: DataFrame, out: str = "cov") -> tuple[DataFrame, int]:
+    """Each token's term of the covariance of advantage and log-prob over valid tokens, and their number."""
     valid = tokens.where(F.col("mask") > 0)
-    means = valid.agg(
-        F.struct(F.avg("advantage").alias("a"), F.avg("log_prob").alias("l"), F.count(F.lit(1)).alias("n")).alias("s")
-    ).scalar()
-    cov = (F.col("advantage") - means["a"]) * (F.col("log_prob") - means["l"])
-    scored = valid.withColumn("cov", cov)
-    wanted = F.greatest(F.lit(1), F.floor(means["n"] * ratio))
-    return take_largest(scored, "cov", ["seq_id", "pos"], wanted)
+    means = valid.agg(F.avg("advantage").alias("a"), F.avg("log_prob").alias("l"), F.count(F.lit(1)).alias("n")).first()
+    cov = (F.col("advantage") - F.lit(means["a"])) * (F.col("log_prob") - F.lit(means["l"]))
+    return tokens.withColumn(out, cov), means["n"]
+
+
+def topk_covariance(tokens: DataFrame, ratio: float) -> DataFrame:
+    """Valid tokens with the largest covariance term, ``max(1, int(n · ratio))`` of them."""
+    scored, n = with_covariance(tokens)
+    return take_largest(scored.where(F.col("mask") > 0), "cov", ["seq_id", "pos"], max(1, int(n * ratio)))
 
 
-def take_largest(df: DataFrame, col: str, ties: list[str], wanted: Column) -> DataFrame:
+def take_largest(df: DataFrame, col: str, ties: list[str], wanted: int | Column) -> DataFrame:
     """The ``wanted`` largest rows of a column, ties in ascending key order.
 
-    Buckets from approximate quantiles are counted; whole buckets above the cut
-    are kept and only the bucket at the cut is ranked.
+    Equal values are told apart by the keys, so any number of them is no bucket.
     """
-    cut = range_bucket(df, col, "__bucket").withColumn("__one", F.lit(1)).withColumn("__g", F.lit(0))
-    ranked = running_sum(
-        cut, ["__g"], "__bucket", [F.desc(col), *[F.asc(t) for t in ties]], {"__rank": "__one"}, descending=True
-    )
-    return ranked.where(F.col("__rank") <= wanted).drop("__bucket", "__one", "__g", "__rank")
-
+    if isinstance(wanted, Column):
+        wanted = df.sparkSession.range(1).select(wanted).first()[0]
+    held = written(df.withColumn("__low", -F.col(col)), "candidates")
+    return lowest(held, wanted, ["__low", *ties]).drop("__low")

@@ -173,3 +173,8 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 def r(expr: str, places: int = 6) -> str:
     return f"(round({expr}, {places}) + 0)"
+
+
+def hash48(*parts):
+    """The draw of ``functions.basics.hash48`` in SQL."""
+    return f"('0x' || substr(md5(concat_ws('|', {', '.join(map(str, parts))})), 1, 12))::bigint"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import advantages as A
 from plumbline.operators import balancing, filters, preferences, sampling, training, validation
-from plumbline.plans.carriers import PREDICTIONS, ROLLOUTS, derive, plain, r, rounded
+from plumbline.plans.carriers import PREDICTIONS, ROLLOUTS, derive, hash48, plain, r, rounded
 from plumbline.plans.registry import query
 
 G = f"with g as {plain(ROLLOUTS)}"
@@ -27,11 +27,6 @@ def adv_sql(expr: str) -> str:
     return f"{G}, {STATS} select seq_id, uid, {r(expr)} as advantage from s"
 
 
-def hash48(*parts):
-    """The draw of ``functions.basics.hash48`` in SQL."""
-    return f"('0x' || substr(md5(concat_ws('|', {', '.join(map(str, parts))})), 1, 12))::bigint"
-
-
 @query("adv_grpo", adv_sql("case when n = 1 then score / (1 + 1e-6) else (score - m) / (sqrt(v) + 1e-6) end"))
 def adv_grpo(spark, sf):
     return adv(spark, sf, "grpo")

@@ -9,7 +9,7 @@ from plumbline.operators import losses as L
 from plumbline.operators import offpolicy as O
 from plumbline.operators import tokens as K
 from plumbline.operators import training
-from plumbline.plans.carriers import ROLLOUTS, TOKENS, derive, plain, r, rounded
+from plumbline.plans.carriers import ROLLOUTS, TOKENS, derive, hash48, plain, r, rounded
 from plumbline.plans.registry import query
 
 T = f"with recursive k as {plain(TOKENS)}"
@@ -77,12 +77,11 @@ def kl_in_reward_mean(spark, sf):
 
 @query(
     "masked_stats",
-    f"{T1} select token_id, {r('coalesce(sum(value) filter (where mask = 1), 0)')} as masked_sum, {r('sum(value) filter (where mask = 1) / (sum(mask) + 1e-8)')} as masked_mean, {r('var_samp(value) filter (where mask = 1)')} as masked_var from k where token_id % 5 <> 0 group by 1 having sum(mask) > 1",
+    f"{T1} select token_id, {r('coalesce(sum(value) filter (where mask = 1), 0)')} as masked_sum, {r('sum(value) filter (where mask = 1) / (sum(mask) + 1e-8)')} as masked_mean, {r('var_samp(value) filter (where mask = 1)')} as masked_var from k group by 1",
 )
 def masked_stats(spark, sf):
-    """Token ids divisible by five are never valid, where the variance fails."""
-    df = tokens(spark, sf).where(F.col("token_id") % 5 != 0)
-    return rounded(K.masked_stats(df, "value", ["token_id"]))
+    """Token ids divisible by five are never valid: no mean and no variance."""
+    return rounded(K.masked_stats(tokens(spark, sf), "value", ["token_id"], strict=False))
 
 
 @query("batch_mean_std", f"{T1} select {r('avg(value)')} as mean, {r('max(value)')} as max, {r('min(value)')} as min, {r('stddev_samp(value)')} as std from k")
@@ -154,7 +153,7 @@ PRIME = f"""{T1}, q as (select uid, seq_id, avg(value) as rm, max(acc) as acc, m
 g as (select uid, count(*) as n, sum(rm) as rms, sum(acc) as accs from q group by 1),
 z as (select k.*, n, case when mask = 1 and n > 1 then 2e0 * (k.value * n / (n - 1) - rms / (n - 1))
    + case when pos = last then 3e0 * ((k.seq_id % 2) * n / (n - 1e0) - accs / (n - 1e0)) else 0 end else 0 end as rr
-   from k join g using (uid) left join q using (uid, seq_id)),
+   from k left join g using (uid) left join q using (uid, seq_id)),
 a as (select z.*, sum(rr) over (partition by uid, seq_id order by pos desc) as ret2 from z)"""
 
 
@@ -163,13 +162,11 @@ a as (select z.*, sum(rr) over (partition by uid, seq_id order by pos desc) as r
     f"{PRIME}, {whiten_sql('ret2', 'a')} select seq_id, pos, {r('(ret2 - mu) / sqrt(v + 1e-8)')} as advantage, {r('ret2', 9)} as ret from a, mu, vv",
 )
 def adv_prime_rloo(spark, sf):
-    """Prompts without any valid token have no baseline and drop out."""
+    """Prompts without any valid token have no baseline: their rewards are zero."""
     df = tokens(spark, sf).drop("advantage", "return").withColumn("rm_score", F.col("value"))
     df = df.withColumn("acc", (F.col("seq_id") % 2).cast("double"))
-    out = A.prime_rloo(df, 2.0, 3.0).where(F.col("return").isNotNull())
-    valid = df.where("mask = 1").select("uid").distinct()
-    kept = out.join(valid, "uid", "left_semi")
-    return rounded(kept.select("seq_id", "pos", F.round("advantage", 6).alias("advantage"), F.col("return").alias("ret")), 9)
+    out = A.prime_rloo(df, 2.0, 3.0)
+    return rounded(out.select("seq_id", "pos", F.round("advantage", 6).alias("advantage"), F.col("return").alias("ret")), 9)
 
 
 # off-policy ------------------------------------------------------------------
@@ -402,14 +399,24 @@ def gspo_loss(spark, sf):
     return rounded(L.policy_loss(tokens(spark, sf), "gspo", clip_lo=0.05, clip_hi=0.05))
 
 
+CC2 = f"(-advantage * greatest(0.8e0, least(1.2e0, {RATIO})))"
+
+
 @query("gpg_loss", loss_sql("-log_prob * advantage"))
 def gpg_loss(spark, sf):
     return rounded(L.policy_loss(tokens(spark, sf), "gpg"))
 
 
-@query("clip_cov_loss")
+CC = f""", {COV}, d as (select seq_id, pos, n, {hash48('seq_id', 'pos', 0)} as draw from c where cov > 0.01e0 and cov < 5 and not {CC2} > {P1}),
+o as (select d.*, row_number() over (order by draw desc, seq_id, pos) as rn from d),
+kk as (select k.*, coalesce(o.rn <= greatest(1, floor(o.n * 0.01e0)), false) as gone from k left join o using (seq_id, pos))"""
+
+
+@query(
+    "clip_cov_loss",
+    loss_sql(f"case when gone then 0e0 else greatest({P1}, {CC2}) end", extra={"pg_clipfrac": "case when gone then 1e0 else 0e0 end", "ppo_kl": f"-{D}"}, source="kk", pre=CC),
+)
 def clip_cov_loss(spark, sf):
-    """The masked tokens are chosen by hash: rows only."""
     return rounded(L.policy_loss(tokens(spark, sf), "clip_cov", ratio=0.01, lb=0.01, ub=5.0))
 
 

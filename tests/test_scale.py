@@ -263,3 +263,22 @@ def test_dense_bounds_skip_tiles_and_keep_ties(spark):
         order = np.lexsort((np.arange(500), -scores[n]))[:6]
         assert [r["doc_id"] for r in out.to_pylist() if r["query_id"] == q] == order.tolist()
     assert sum(seen) < 30
+
+
+@pytest.mark.parametrize("keys", [["k", "i"], ["x", "k", "i"], ["f", "i"], ["i"]])
+@pytest.mark.parametrize("n", [0, 37, 4999])
+def test_lowest_rows(spark, keys, n):
+    rng = random.Random(2)
+    rows = [(i, rng.choice([None, -5, 3, 2**40 + i % 7]), 1 if i % 9 else None, rng.choice([0.5, rng.gauss(0, 1e-9), 1e300])) for i in range(5000)]
+    df = spark.createDataFrame(rows, "i BIGINT, k BIGINT, x INT, f DOUBLE").repartition(3)
+    at = {"i": 0, "k": 1, "x": 2, "f": 3}
+    first = sorted(rows, key=lambda r: [(r[at[c]] is not None, r[at[c]] or 0) for c in keys])[:n]
+    got = scale.lowest(df, n, keys)
+    assert sorted(r.i for r in got.collect()) == sorted(r[0] for r in first)
+
+
+def test_ten_million_rows_are_chosen_by_a_filter(spark):
+    chosen = sampling.sample_n(spark.range(15_000_000).withColumnRenamed("id", "i"), 10_000_000, "i", shuffle=True, seed=4)
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Limit", "Exchange", "Sort", "TakeOrdered"))
+    assert chosen.count() == 10_000_000
