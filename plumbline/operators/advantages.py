@@ -148,8 +148,8 @@ def reinforce_plus_plus_baseline(rollouts: DataFrame, score: str = "score", leng
 def whiten(df: DataFrame, col: str, out: str | None = None, weight: str = "mask", shift_mean: bool = True) -> DataFrame:
     """(x − mean) / sqrt(var + 1e-8) over all rows with positive weight.
 
-    The moments are one row from one pass and enter as a scalar subquery. A 0/1
-    weight uses Spark's own merging moments; other weights are summed.
+    The moments enter as scalar subqueries. A 0/1 weight uses Spark's own merging
+    moments; other weights take a second pass around the mean.
     """
     w, x = F.col(weight), F.col(col)
     valid = df.where(w > 0)
@@ -157,7 +157,8 @@ def whiten(df: DataFrame, col: str, out: str | None = None, weight: str = "mask"
         mean, variance = F.avg(x), F.var_samp(x)
     else:
         mean = F.sum(w * x) / F.sum(w)
-        variance = (F.sum(w * x * x) - F.sum(w * x) * F.sum(w * x) / F.sum(w)) / (F.sum(w) - 1)
+        off = x - valid.agg(mean.alias("m")).scalar()
+        variance = F.sum(w * off * off) / (F.sum(w) - 1)
     moments = valid.agg(F.struct(mean.alias("m"), variance.alias("v")).alias("s")).scalar()
     centred = (x - moments["m"]) / F.sqrt(moments["v"] + WHITEN_EPS)
     return df.withColumn(out or col, centred if shift_mean else centred + moments["m"])

@@ -147,6 +147,16 @@ def distinct_thresholds(values: list[float], with_zero: bool = True) -> list[flo
     return sorted(clipped)
 
 
+def stated_thresholds(df: DataFrame, col: str, with_zero: bool = True) -> DataFrame:
+    """``distinct_thresholds`` of a column, as rows ``(t, n_rows)``; NULL states nothing."""
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(col).cast("double")))
+    stated = df.where(F.col(col).isNotNull()).groupBy(t.alias("t")).agg(F.count(F.lit(1)).alias("n_rows"))
+    if not with_zero:
+        return stated
+    zero = df.sparkSession.range(1).select(F.lit(0.0).alias("t"), F.lit(0).cast("bigint").alias("n_rows"))
+    return stated.unionByName(zero).groupBy("t").agg(F.sum("n_rows").alias("n_rows"))
+
+
 def threshold_sweep(counts: DataFrame, by: list[str], thresholds: list[float]) -> DataFrame:
     """Per threshold: rows, right and wrong answers with ``confidence >= t``.
 

@@ -42,10 +42,10 @@ def _long(df: DataFrame, variables: list[str]) -> DataFrame:
 
 
 def order_statistics(long: DataFrame) -> DataFrame:
-    """Distinct values of a prompt's variable with the ranks they occupy."""
+    """Distinct values of a prompt's variable with the ranks they occupy, and the least of them as ``base``."""
     keys = [*KEYS, "var"]
     counts = long.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
-    sizes = counts.groupBy(*keys).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("__size"))
+    sizes = counts.groupBy(*keys).agg(F.sum("c").alias("n"), F.min("v").alias("base"), F.count(F.lit(1)).alias("__size"))
     placed = attach_group(counts, sizes, keys, "__size", ["v"]).drop("__size")
     cut = range_bucket(placed, "v", "__bucket")
     return running_sum(cut, keys, "__bucket", [F.col("v")], {"hi": "c"}).withColumn("lo", F.col("hi") - F.col("c"))
@@ -65,8 +65,10 @@ def validation_metrics(df: DataFrame, variables: list[str], vote: str | None = N
     n, k = F.col("n").cast("double"), F.col("k").cast("double")
     best = F.pow(F.col("hi") / n, k) - F.pow(F.col("lo") / n, k)
     worst = F.pow(1 - F.col("lo") / n, k) - F.pow(1 - F.col("hi") / n, k)
-    v = F.col("v")
+    # Moments are taken from the least value up, so a large offset costs no digits.
+    v, base = F.col("v") - F.col("base"), F.min("base").alias("base")
     per_k = spread.groupBy(*keys, "k").agg(
+        base,
         F.sum(v * best).alias("bm"),
         F.sum(v * v * best).alias("bs"),
         F.sum(v * worst).alias("wm"),
@@ -84,23 +86,23 @@ def validation_metrics(df: DataFrame, variables: list[str], vote: str | None = N
         *keys,
         F.inline(
             F.array(
-                named("best", "mean", F.col("bm")),
+                named("best", "mean", F.col("base") + F.col("bm")),
                 named("best", "std", deviation("bs", "bm")),
-                named("worst", "mean", F.col("wm")),
+                named("worst", "mean", F.col("base") + F.col("wm")),
                 named("worst", "std", deviation("ws", "wm")),
             )
         ),
     )
     c = F.col("c")
     moments = stats.groupBy(*keys).agg(
-        F.max("n").alias("k"), (F.sum(c * v) / F.sum(c)).alias("m"), (F.sum(c * v * v) / F.sum(c)).alias("s")
+        base, F.max("n").alias("k"), (F.sum(c * v) / F.sum(c)).alias("m"), (F.sum(c * v * v) / F.sum(c)).alias("s")
     )
     size = F.col("k").cast("string")
     plain = moments.select(
         *keys,
         F.inline(
             F.array(
-                F.struct(F.concat(F.lit("mean@"), size).alias("metric"), F.col("m").alias("value")),
+                F.struct(F.concat(F.lit("mean@"), size).alias("metric"), (F.col("base") + F.col("m")).alias("value")),
                 F.struct(
                     F.concat(F.lit("std@"), size).alias("metric"),
                     F.when(F.col("k") > 1, deviation("s", "m")).alias("value"),

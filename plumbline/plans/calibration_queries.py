@@ -149,22 +149,6 @@ def prediction_summary_api_names(spark, sf):
     return rounded(out.select("data_source", *C.API_NAMES.values()))
 
 
-@query(
-    "merge_shards",
-    f"{P} select method as shard, count(*) as n_samples, {r('avg((confidence - correct) * (confidence - correct))')} as brier, "
-    "(select count(distinct method) from p) as n_shards from p group by 1",
-)
-def merge_shards(spark, sf):
-    """Shards merged back give the summary of all rows, per shard and counted."""
-    df = preds(spark, sf)
-    shards = df.agg(F.count_distinct("method").alias("n")).scalar()
-    counts = C.collapse(df, ["method"])
-    out = C.moments_from_counts(counts, ["method"], 0.5).select(
-        F.col("method").alias("shard"), "n_samples", "brier", shards.alias("n_shards")
-    )
-    return rounded(out)
-
-
 TENTHS = [i * 0.1 for i in range(11)]
 SWEEP11 = sweep_sql(11, "0.1e0")
 
@@ -291,12 +275,12 @@ def key_thresholds(spark, sf):
 
 @query(
     "distinct_thresholds",
-    f"{P} select {r('t')} as t, count(*) as n_rows from (select greatest(0, least(1, round(risk_t, 6))) as t from p) group by 1",
+    f"{P}, s as (select greatest(0, least(1, risk_t * 1.5e0 - 0.2e0)) as t from p), z as (select t, count(*) as n_rows from s group by 1 union all select 0, 0) select {r('t')} as t, cast(sum(n_rows) as bigint) as n_rows from z group by t",
 )
 def distinct_thresholds(spark, sf):
-    """Stated thresholds of the whole table, clipped, each once."""
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round("risk_t", 6)))
-    return rounded(preds(spark, sf).groupBy(t.alias("t")).agg(F.count(F.lit(1)).alias("n_rows")))
+    """Stated thresholds of the whole table, clipped, each once, and 0."""
+    stated = preds(spark, sf).withColumn("stated", F.col("risk_t") * 1.5 - 0.2)
+    return rounded(C.stated_thresholds(stated, "stated"))
 
 
 @query(

@@ -678,26 +678,35 @@ def read_tagged_union(spark, sf):
     return out.select(F.coalesce("item_id", "doc_id").alias("id"), "text", F.col("_source_dataset").alias("tag"))
 
 
-@query("read_result_shards", f"{P} select method as shard, count(*) as n, cast(sum(correct) as bigint) as n_correct, 0.3e0 as risk_threshold from p group by 1")
-def read_result_shards(spark, sf):
-    """Predictions written as one results file per shard, read back and joined."""
+def written_shards(spark, sf):
+    """Predictions written as a results.json per shard; the first states no threshold, the second 0.3, later ones 0.7."""
     root = shared_folder(spark, "shards")
     preds = derive(spark, sf, PREDICTIONS)
     row = F.struct(F.col("confidence"), (F.col("correct") == 1).alias("correct"))
     # A document of a shard holds the rows of 4000 consecutive ids, never a whole shard.
     block = F.floor(F.col("event_id") / 4000)
-    for shard in ("m0", "m1", "m2", "m3"):
+    for shard, threshold in (("m0", None), ("m1", 0.3), ("m2", 0.7), ("m3", 0.7)):
         files = preds.where(F.col("method") == shard).groupBy(block.alias("block")).agg(F.collect_list(row).alias("results"))
-        documents = files.select("results", F.struct(F.lit(0.3).alias("risk_threshold")).alias("metrics"))
+        documents = files.select("results", F.struct(F.lit(threshold).cast("double").alias("risk_threshold")).alias("metrics"))
         documents.write.json(f"{root}/{shard}/results.json")
-    return _shards(spark, root)
+    return root
+
+
+@query("read_result_shards", f"{P} select method as shard, count(*) as n, cast(sum(correct) as bigint) as n_correct, 0.3e0 as risk_threshold from p group by 1")
+def read_result_shards(spark, sf):
+    back = readers.read_result_shards(spark, written_shards(spark, sf), "m*", lines=True)
+    return back.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("n_correct"), F.max("risk_threshold").alias("risk_threshold"))
 
 
-def _shards(spark, root):
-    layout = "results ARRAY<STRUCT<confidence: DOUBLE, correct: BOOLEAN>>, metrics STRUCT<risk_threshold: DOUBLE>"
-    files = spark.read.schema(layout).json(f"{root}/*/results.json").withColumn("shard", F.regexp_extract(F.input_file_name(), r"/(m\d)/results\.json/", 1))
-    rows_ = files.select("shard", "metrics.risk_threshold", F.explode("results").alias("x"))
-    return rows_.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.count_if("x.correct").alias("n_correct"), F.max("risk_threshold").alias("risk_threshold"))
+@query(
+    "merge_shards",
+    f"""{P} select count(*) as n_samples, {r('avg((confidence - correct) * (confidence - correct))')} as brier, {r('avg(correct)')} as predictive_accuracy,
+{r('avg(confidence)')} as avg_confidence, {r('avg(case when confidence >= 0.3e0 then correct else 1 - correct end)')} as abstention_accuracy,
+0.3e0 as risk_threshold, count(distinct method) as n_shards from p""",
+)
+def merge_shards(spark, sf):
+    merged = readers.merge_shards(spark, written_shards(spark, sf), "m*", lines=True)
+    return rounded(merged.select("n_samples", "brier", "predictive_accuracy", "avg_confidence", "abstention_accuracy", "risk_threshold", "n_shards"))
 
 
 @query("write_results", f"{P} select method, count(*) as n, {r('avg(confidence)')} as confidence from p group by 1")
@@ -750,8 +759,8 @@ def read_result_tree(spark, sf):
     df = derive(spark, sf, RESULTS)
     row = df.select("method", "dataset", F.struct("brier", F.col("n_samples").cast("double").alias("n_samples")).alias("metrics"))
     row.write.partitionBy("method", "dataset").json(root)
-    back = spark.read.schema("metrics STRUCT<brier: DOUBLE, nll: DOUBLE, n_samples: DOUBLE>, method STRING, dataset STRING").json(root)
-    return rounded(back.select("method", "dataset", "metrics.brier", F.coalesce("metrics.nll", F.lit(0.0)).alias("nll"), "metrics.n_samples"))
+    back = readers.read_result_tree(spark, root, "*.json", lines=True)
+    return rounded(back.select("method", "dataset", "brier", "nll", "n_samples"))
 
 
 # streams ---------------------------------------------------------------------

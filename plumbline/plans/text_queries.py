@@ -15,6 +15,8 @@ from plumbline.operators.grading import grade
 from plumbline.operators.validation import score_by_source
 from plumbline.plans.carriers import MESSAGES, RESPONSES, derive, plain, r, rounded, table
 from plumbline.plans.registry import query
+from plumbline.session import shared_folder
+from plumbline.sources import readers
 from plumbline.sources.sinks import export_claims
 
 E = f"with e as {plain(RESPONSES)}"
@@ -702,10 +704,12 @@ def lookup_grades(spark, sf):
 
 @query("read_label_cache", "select 'k' || user_id as key, arg_max(event_type, event_id) as label from events where event_type <> 'view' group by 1")
 def read_label_cache(spark, sf):
-    """Last write wins; rows without a label are dropped."""
+    """Last write wins; lines without a label are dropped."""
+    path = shared_folder(spark, "grades")
     label = F.when(F.col("event_type") == "view", F.lit("")).otherwise(F.col("event_type"))
-    cache = table(spark, sf, "events").select(F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("key"), label.alias("label"), "event_id")
-    return joins.last_labels(cache, "event_id")
+    cache = table(spark, sf, "events").orderBy("event_id").select(F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("key"), label.alias("label"))
+    cache.write.json(path)
+    return readers.read_label_cache(spark, path)
 
 
 # Python hooks ----------------------------------------------------------------

@@ -5,12 +5,13 @@ from __future__ import annotations
 import warnings
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from plumbline import schemas
+from plumbline.operators.calibration import collapse, moments_from_counts
 from plumbline.operators.reports import DIRECTIONS
 from plumbline.operators.sampling import sample_n
 from plumbline.operators.scale import union_all
@@ -76,11 +77,17 @@ RESULT_ROW = T.StructType(
 )
 
 
-def read_result_shards(spark: SparkSession, root: str, pattern: str = "shard_*") -> DataFrame:
+def _folder(pattern: str, group: int) -> Column:
+    """Part of the path of a row's file, as it is named on disk; a plus sign is no blank."""
+    return F.url_decode(F.replace(F.regexp_extract(F.input_file_name(), pattern, group), F.lit("+"), F.lit("%2B")))
+
+
+def read_result_shards(spark: SparkSession, root: str, pattern: str = "shard_*", lines: bool = False) -> DataFrame:
     """Rows of ``shard_*/results.json`` with their shard.
 
-    ``risk_threshold`` comes from the first shard that has one, else 0.5. No
-    rows at all is an error.
+    ``results.json`` is one document, or with ``lines`` a file or folder of
+    documents, one per line. ``risk_threshold`` comes from the first shard that
+    has one, else 0.5. No rows at all is an error.
     """
     layout = T.StructType(
         [
@@ -88,8 +95,8 @@ def read_result_shards(spark: SparkSession, root: str, pattern: str = "shard_*")
             T.StructField("metrics", T.StructType([T.StructField("risk_threshold", T.DoubleType())])),
         ]
     )
-    files = spark.read.schema(layout).json(f"{root}/{pattern}/results.json", multiLine=True)
-    files = files.withColumn("shard", F.regexp_extract(F.input_file_name(), r"([^/]+)/results\.json$", 1))
+    files = spark.read.schema(layout).json(f"{root}/{pattern}/results.json", multiLine=not lines)
+    files = files.withColumn("shard", _folder(r"([^/]+)/results\.json(?:/[^/]*)?$", 1))
     stated = files.where(F.col("metrics.risk_threshold").isNotNull())
     threshold = stated.agg(F.min_by(F.col("metrics.risk_threshold"), F.col("shard")).alias("t")).scalar()
     rows = files.select("shard", F.explode("results").alias("r")).select("shard", "r.*")
@@ -98,13 +105,31 @@ def read_result_shards(spark: SparkSession, root: str, pattern: str = "shard_*")
     return rows.withColumn("risk_threshold", F.coalesce(threshold, F.lit(0.5)))
 
 
-def read_result_tree(spark: SparkSession, root: str) -> DataFrame:
-    """One row per ``method/dataset/results.json``; missing metrics are 0."""
+def merge_shards(spark: SparkSession, root: str, pattern: str = "shard_*", risk_threshold: float | None = None, lines: bool = False) -> DataFrame:
+    """Metrics over the rows of all shards together, with the threshold used and the number of shards.
+
+    A threshold given wins over the one the shards state.
+    """
+    rows = read_result_shards(spark, root, pattern, lines)
+    right = F.coalesce("correct", "is_correct", F.lit(False)).cast("int")
+    counts = collapse(rows.select("confidence", right.alias("correct")), [])
+    told = rows.agg(F.max("risk_threshold").alias("t"), F.count_distinct("shard").alias("n")).first()
+    threshold = told["t"] if risk_threshold is None else risk_threshold
+    merged = moments_from_counts(counts, [], threshold)
+    return merged.select("*", F.lit(float(threshold)).alias("risk_threshold"), F.lit(told["n"]).cast("bigint").alias("n_shards"))
+
+
+def read_result_tree(spark: SparkSession, root: str, file: str = "results.json", lines: bool = False) -> DataFrame:
+    """One row per ``method/dataset/results.json``; missing metrics are 0.
+
+    Folders may also be named ``method=…/dataset=…``, and ``file`` may be a
+    pattern; with ``lines`` a file holds a document per line.
+    """
     names = [*DIRECTIONS, "n_samples"]
     metrics = T.StructType([T.StructField(n, T.DoubleType()) for n in names])
     layout = T.StructType([T.StructField("metrics", metrics), T.StructField("metrics_confidence", metrics)])
-    files = spark.read.schema(layout).json(f"{root}/*/*/results.json", multiLine=True)
-    where = F.input_file_name()
+    files = spark.read.schema(layout).json(f"{root}/*/*/{file}", multiLine=not lines)
+    where = r"/(?:method=)?([^/]+)/(?:dataset=)?([^/]+)/[^/]+$"
     values = [
         F.coalesce(
             F.when(F.col("metrics").isNotNull(), F.col(f"metrics.{n}")).otherwise(F.col(f"metrics_confidence.{n}")),
@@ -113,8 +138,8 @@ def read_result_tree(spark: SparkSession, root: str) -> DataFrame:
         for n in names
     ]
     return files.select(
-        F.url_decode(F.regexp_extract(where, r"([^/]+)/[^/]+/results\.json$", 1)).alias("method"),
-        F.url_decode(F.regexp_extract(where, r"([^/]+)/results\.json$", 1)).alias("dataset"),
+        _folder(where, 1).alias("method"),
+        _folder(where, 2).alias("dataset"),
         *values,
     )
 

@@ -18,7 +18,8 @@ def write_results(predictions: DataFrame, metrics: DataFrame, path: str) -> None
     parts = [c for c in ("method", "dataset") if c in predictions.columns]
     slim = slim_predictions(predictions).columns
     predictions.write.mode("overwrite").partitionBy(*parts).parquet(f"{path}/results")
-    predictions.select(*parts, *slim).write.mode("overwrite").partitionBy(*parts).parquet(f"{path}/predictions")
+    full = predictions.sparkSession.read.schema(predictions.schema).parquet(f"{path}/results")
+    full.select(*parts, *slim).write.mode("overwrite").partitionBy(*parts).parquet(f"{path}/predictions")
     metrics.write.mode("overwrite").json(f"{path}/metrics")
 
 
@@ -31,7 +32,8 @@ def write_rl_parquet(df: DataFrame, path: str, example_rows: int = 1) -> None:
     """Train and test parquet, plus the first rows as readable JSON."""
     splits = df.withColumn("split", F.col("extra_info.split")) if "split" not in df.columns else df
     splits.write.mode("overwrite").partitionBy("split").parquet(f"{path}/data")
-    df.limit(example_rows).write.mode("overwrite").json(f"{path}/example")
+    back = df.sparkSession.read.schema(splits.schema).parquet(f"{path}/data")
+    back.limit(example_rows).select(*df.columns).write.mode("overwrite").json(f"{path}/example")
 
 
 def metric_log(metrics: DataFrame) -> DataFrame:

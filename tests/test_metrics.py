@@ -182,3 +182,12 @@ def test_clip_cov_only_lowers_weights(spark):
     row = losses.policy_loss(df, "clip_cov", ratio=0.2, lb=-5.0, ub=5.0).first()
     assert row.pg_clipfrac == pytest.approx(2 / 11)
     assert df.agg(F.count("*")).first()[0] == 11
+
+
+def test_moments_keep_their_digits_under_a_large_offset(spark):
+    rows = [(0, 1e8, 10), (1, 1e8 + 1, 10)]
+    white = A.whiten(spark.createDataFrame(rows, "seq_id long, x double, w long"), "x", "out", weight="w").orderBy("seq_id").collect()
+    assert abs(white[0].out + math.sqrt(19 / 20)) < 1e-6 and abs(white[1].out - math.sqrt(19 / 20)) < 1e-6
+    df = spark.createDataFrame([("s", 1, 1e9 + i) for i in range(2)], "data_source string, uid int, v double")
+    got = {r.metric: r.value for r in validation.validation_metrics(df, ["v"]).collect()}
+    assert got["std@2"] == 0.5 and abs(got["best@2/std"] - math.sqrt(3 / 16)) < 1e-12 and got["best@2/mean"] == 1e9 + 0.75
