@@ -46,9 +46,15 @@ from plumbline.operators.registry import SCORERS, register_scorer
 NOTHING = "<NO_ANSWER>"
 
 
-def score(df: DataFrame, strategy: str, out: str = "result", **options) -> DataFrame:
-    """Add the struct of a named reward rule."""
-    return df.withColumn(out, SCORERS.get(strategy)(df, **options))
+def score(df: DataFrame, strategy: str, out: str = "result", strict: bool = True, **options) -> DataFrame:
+    """Add the struct of a named reward rule.
+
+    A data source the rule does not know is an error, or gives NULL if not ``strict``.
+    """
+    result = SCORERS.get(strategy)(df, **options)
+    if not strict and strategy in KNOWN_SOURCES:
+        result = F.when(KNOWN_SOURCES[strategy](F.col("data_source")), result)
+    return df.withColumn(out, result)
 
 
 def _result(score_: Column, acc: Column, pred: Column, conf: Column | None = None, abstained: Column | None = None):
@@ -441,6 +447,15 @@ def score_router(df: DataFrame) -> Column:
     return chain.otherwise(_unsupported("by_source"))
 
 
+#: Data sources of the rules that do not know every one.
+KNOWN_SOURCES = {
+    "jeffreys": is_maths,
+    "claim_product": is_maths,
+    "claim_minimum": is_maths,
+    "by_source": lambda source: source.isin([n for names in ROUTES.values() for n in names]) | source.startswith("aime"),
+}
+
+
 def normalized_source(df: DataFrame) -> DataFrame:
     return df.withColumn("data_source", norm_source(F.col("data_source")))
 

@@ -176,10 +176,9 @@ def mask_from_attention(spark, sf):
     return df.select("doc_id", joined(Y.slice_mask(mask, 8)).alias("mask"))
 
 
-@query("unfold_columns", f"{TOK} select doc_id, cast(i as int) as chunk, {listed('ids[(i * (len(ids) // 4) + 1):((i + 1) * (len(ids) // 4))]')} as ids from d, range(0, 4) t(i) where len(ids) >= 4")
+@query("unfold_columns", f"{TOK} select doc_id, cast(i as int) as chunk, {listed('ids[(i * (len(ids) // 4) + 1):((i + 1) * (len(ids) // 4))]')} as ids from d, range(0, 4) t(i)")
 def unfold_columns(spark, sf):
-    df = token_arrays(spark, sf).where(F.size("ids") >= 4)
-    return rows.unfold_columns(df, 4, ["ids"]).select("doc_id", "chunk", joined(F.col("ids")).alias("ids"))
+    return rows.unfold_columns(token_arrays(spark, sf), 4, ["ids"]).select("doc_id", "chunk", joined(F.col("ids")).alias("ids"))
 
 
 @query("fold_batch", f"{ROWS} select row // 8 as batch, string_agg(cast(event_id as varchar), ',' order by row) as ids from n group by 1")

@@ -472,11 +472,11 @@ def score_cross_entropy(spark, sf):
 
 @query(
     "score_jeffreys",
-    f"{E}, {CONFX} select event_id, {r('2 / pi() * (case when ok then 1 else -1 end * asin(sqrt(p)) + sqrt(p * (1 - p)))')} as score from y where {MATHS}",
+    f"{E}, {CONFX} select event_id, {r('2 / pi() * (case when ok then 1 else -1 end * asin(sqrt(p)) + sqrt(p * (1 - p)))')} * case when {MATHS} then 1 end as score from y",
 )
 def score_jeffreys(spark, sf):
-    maths = responses(spark, sf).where(filters.is_maths(F.col("data_source")))
-    return scored(maths, "jeffreys", "score")
+    """Sources without a rule get no score."""
+    return scored(responses(spark, sf), "jeffreys", "score", strict=False)
 
 
 @query(
@@ -487,16 +487,16 @@ def score_critic_value(spark, sf):
     return scored(responses(spark, sf), "critic_value", "score", "confidence")
 
 
-CLAIMX = f"x as (select e.*, {HELD} as v, split_part(claimed, 'Answer: ', -1) = gold as ok from e where {MATHS})"
+CLAIMX = f"x as (select e.*, {HELD} as v, split_part(claimed, 'Answer: ', -1) = gold as ok, case when {MATHS} then 1 end as known from e)"
 
 
 @query(
     "score_claims",
-    f"{E}, {CLAIMX}, y as (select event_id, ok, list_product(v) as a, list_min(v) as b from x) select event_id, {r('case when ok then 2 * a - a * a else -a * a end')} as product_score, {r('case when ok then 2 * b - b * b else -b * b end')} as minimum_score from y",
+    f"{E}, {CLAIMX}, y as (select event_id, ok, known, list_product(v) as a, list_min(v) as b from x) select event_id, {r('case when ok then 2 * a - a * a else -a * a end')} * known as product_score, {r('case when ok then 2 * b - b * b else -b * b end')} * known as minimum_score from y",
 )
 def score_claims(spark, sf):
-    df = responses(spark, sf).where(filters.is_maths(F.col("data_source"))).withColumn("response", F.col("claimed"))
-    both = scoring.score(scoring.score(df, "claim_product", "a"), "claim_minimum", "b")
+    df = responses(spark, sf).withColumn("response", F.col("claimed"))
+    both = scoring.score(scoring.score(df, "claim_product", "a", strict=False), "claim_minimum", "b", strict=False)
     return rounded(both.select("event_id", F.col("a.score").alias("product_score"), F.col("b.score").alias("minimum_score")))
 
 
@@ -596,21 +596,19 @@ def overlong_penalty(spark, sf):
     return rounded(out.select("event_id", "overlong_reward", "score", "overlong"))
 
 
-@query("score_router", f"{E} select event_id, data_source, case when data_source = 'searchR1_nq' then case when {last('response', '<answer>([^<]*)</answer>')} is not null and trim({last('response', '<answer>([^<]*)</answer>')}) = gold then 1e0 else 0e0 end when {NORM} = gold then 1e0 else -1e0 end as score from e where data_source not in ('nq', 'triviaqa')")
+@query("score_router", f"{E} select event_id, data_source, case when data_source in ('nq', 'triviaqa') then null when data_source = 'searchR1_nq' then case when {last('response', '<answer>([^<]*)</answer>')} is not null and trim({last('response', '<answer>([^<]*)</answer>')}) = gold then 1e0 else 0e0 end when {NORM} = gold then 1e0 else -1e0 end as score from e")
 def score_router(spark, sf):
-    known = responses(spark, sf).where(~F.col("data_source").isin("nq", "triviaqa"))
-    out = scoring.score(known, "by_source")
+    out = scoring.score(responses(spark, sf), "by_source", strict=False)
     return rounded(out.select("event_id", "data_source", F.col("result.score").alias("score")))
 
 
 @query(
     "score_by_source",
-    f"{E}, x as (select data_source, cast(floor(event_id / 3) as bigint) as row_id, case when {NORM} = gold then 1e0 else -1e0 end as s from e where {MATHS}), y as (select data_source, row_id, avg(s) as s from x group by 1, 2) select data_source, {r('avg(s)')} as test_score, count(*) as n_rows from y group by 1",
+    f"{E}, x as (select data_source, cast(floor(event_id / 3) as bigint) as row_id, case when {NORM} = gold then 1e0 else -1e0 end as s from e), y as (select data_source, row_id, avg(s) as s from x group by 1, 2) select data_source, {r('avg(s)')} as test_score, count(*) as n_rows from y group by 1",
 )
 def score_by_source_query(spark, sf):
     """Responses listed per row, exploded, scored, averaged twice."""
-    maths = responses(spark, sf).where(filters.is_maths(F.col("data_source")))
-    exploded = scoring.score(maths.withColumn("row_id", F.floor(F.col("event_id") / 3)), "math_dapo")
+    exploded = scoring.score(responses(spark, sf).withColumn("row_id", F.floor(F.col("event_id") / 3)), "math_dapo")
     return rounded(score_by_source(exploded.withColumn("score", F.col("result.score"))))
 
 

@@ -298,17 +298,20 @@ def rs_metrics(spark, sf):
 
 @query(
     "rollout_correction_metrics",
-    f"{T1}, {OFF}, x as (select "
+    f"{T1}, {OFF}, {ISM.replace('q as', 'iq as').replace('from q', 'from iq')}, x as (select "
     + ", ".join(f"{e} as {n}" for n, e in OFF_COLS.items())
-    + " from q) select 'rollout_corr/' || name as metric, "
-    + r("value")
-    + " as value from (unpivot x on "
+    + " from q), y as (select "
+    + ", ".join(f"{e} as {n}" for n, e in ratio_cols("rollout_is").items())
+    + " from s), z as (select name, value from (unpivot x on "
     + ", ".join(OFF_COLS)
-    + " into name name value value)",
+    + " into name name value value) union all select name, value from (unpivot y on "
+    + ", ".join(ratio_cols("rollout_is"))
+    + " into name name value value)) select 'rollout_corr/' || name as metric, "
+    + r("value")
+    + " as value from z",
 )
 def rollout_correction_metrics(spark, sf):
-    out = O.rollout_correction_metrics(tokens(spark, sf), "token", 1.05)
-    return rounded(out.where(~F.col("metric").contains("rollout_is")))
+    return rounded(O.rollout_correction_metrics(tokens(spark, sf), "token", 1.05))
 
 
 @query(
