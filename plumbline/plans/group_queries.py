@@ -562,6 +562,37 @@ def micro_batches(spark, sf):
     return balancing.micro_batches(df, 30000, 2, 4).select("seq_id", "micro_batch")
 
 
+def held_sql(budget: int, rounds: int) -> str:
+    """Number of batches raised until no batch of the deal is over the budget."""
+    stages = [f"k0 as (select cast(least(count(*), ceil(sum(length) / {budget}e0)) as bigint) as k from p)"]
+    for i in range(rounds):
+        stages.append(f"m{i} as (select max(s) as most from (select sum(length) as s from p, k{i} group by {snake('k')}))")
+        stages.append(f"k{i + 1} as (select case when most > {budget} then greatest(k + 1, cast(ceil(k * most / {budget}e0) as bigint)) else k end as k from k{i}, m{i})")
+    return f"{PLACES}, {', '.join(stages)}, k as (select k from k{rounds})"
+
+
+@query(
+    "micro_batches_held",
+    f"{held_sql(1500, 4)} select {snake('k')} as micro_batch, count(*) as n, cast(sum(length) as bigint) as tokens, true as within from p, k group by 1",
+)
+def micro_batches_held(spark, sf):
+    """A budget the first deal overruns: tokens of every batch."""
+    df = rollouts(spark, sf).select("seq_id", F.col("response_length").alias("length"))
+    dealt = balancing.micro_batches(df, 1500).groupBy("micro_batch").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("tokens"))
+    return dealt.withColumn("within", F.col("tokens") <= 1500)
+
+
+@query(
+    "balanced_loads",
+    f"""{PLACES}, w as (select seq_id, 24576 * length + length * length as load, i from p),
+c as (select *, sum(load) over (order by i) - load as before, sum(load) over () / 8e0 as share from w)
+select seq_id, cast(least(7, floor((before + load / 2e0) / share)) as bigint) as part, load as workload from c""",
+)
+def balanced_loads(spark, sf):
+    df = rollouts(spark, sf).select("seq_id", F.col("response_length").alias("length"))
+    return balancing.balance_loads(df, 8).select("seq_id", "part", "workload")
+
+
 @query(
     "seqlen_imbalance",
     f"""{PLACES}, q as (select length, seq_id % 8 as b, {snake('8')} as a from p), x as (select b, sum(length) as s from q group by 1), y as (select a, sum(length) as s from q group by 1)

@@ -282,3 +282,24 @@ def test_ten_million_rows_are_chosen_by_a_filter(spark):
     plan = chosen._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Limit", "Exchange", "Sort", "TakeOrdered"))
     assert chosen.count() == 10_000_000
+
+
+def test_micro_batches_hold_their_budget(spark):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(i, rng.choice([1, 5, 90, 97])) for i in range(400)], "seq_id BIGINT, length BIGINT")
+    for budget, divisor in ((97, 1), (100, 4), (250, 1)):
+        per = balancing.micro_batches(df, budget, 2, divisor).groupBy("micro_batch").agg(F.sum("length").alias("s")).collect()
+        assert max(r.s for r in per) <= budget
+    assert balancing.micro_batches(df.where("false"), 10).count() == 0
+    with pytest.raises(ValueError, match="exceeds the budget"):
+        balancing.micro_batches(df, 96)
+
+
+def test_loads_with_giants_and_unequal_counts(spark):
+    lengths = [100_000, 60_000] + [10 + i % 7 for i in range(3000)]
+    df = spark.createDataFrame(list(enumerate(lengths)), "seq_id BIGINT, length BIGINT")
+    per = {r.part: (r.n, r.w) for r in balancing.balance_loads(df, 6).groupBy("part").agg(F.count("*").alias("n"), F.sum("workload").alias("w")).collect()}
+    assert sorted(per) == list(range(6)) and per[0][0] == per[1][0] == 1
+    rest = [w for p, (_, w) in per.items() if p > 1]
+    assert max(rest) - min(rest) < 2 * 24576 * 20
+    assert balancing.balance_loads(df, 1).select("part").distinct().collect()[0].part == 0
