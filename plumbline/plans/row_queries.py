@@ -811,24 +811,25 @@ def stream_rollouts(spark, sf):
 
 @query(
     "stream_kl_controller",
-    f"""with p as (select user_id as run, event_id as step, cast((event_id * 7919) % 101 as double) / 1000 as kl from events),
-f as (select *, 1 + greatest(-0.2e0, least(0.2e0, kl / 0.05e0 - 1)) * 8 / 10000e0 as m from p)
+    f"""with p as (select user_id as run, event_id as step, ts, cast((event_id * 7919) % 101 as double) / 1000 as kl from events),
+o as (select *, max(step) over (partition by run order by ts, step rows between unbounded preceding and 1 preceding) as last from p where ts <= {CLOSED}),
+f as (select *, 1 + greatest(-0.2e0, least(0.2e0, kl / 0.05e0 - 1)) * 8 / 10000e0 as m from o where last is null or step > last)
 select cast(run as varchar) as run, step, {r('0.2e0 * exp(sum(ln(m)) over (partition by run order by step))')} as beta from f""",
 )
 def stream_kl_controller(spark, sf):
     kl = ((F.col("event_id") * 7919) % 101).cast("double") / 1000
-    stream = event_stream(spark, sf).select(F.col("user_id").cast("string").alias("run"), F.col("event_id").alias("step"), kl.alias("kl"), F.lit(8).alias("n_steps"))
-    out = jobs.run_to_table(jobs.stream_kl(stream, 0.2, 0.05, 10000.0), "kl", idle_batches=False)
+    stream = event_stream(spark, sf).select(F.col("user_id").cast("string").alias("run"), "ts", F.col("event_id").alias("step"), kl.alias("kl"), F.lit(8).alias("n_steps"))
+    out = jobs.run_to_table(jobs.stream_kl(stream, 0.2, 0.05, 10000.0), "kl")
     return rounded(out.select("run", "step", "beta"))
 
 
 @query(
     "stream_dynamic_sampling",
-    f"{P}, u as (select cast(floor(event_id / 8) as bigint) as uid, confidence as m from p) select uid, count(*) as n, {r('avg(m)')} as mean, {r('max(m) - min(m)')} as spread from u group by 1 having count(*) = 8 and max(m) > min(m)",
+    f"{P}, u as (select cast(floor(event_id / 8) as bigint) as uid, confidence as m from p where ts <= {CLOSED}) select uid, count(*) as n, {r('avg(m)')} as mean, {r('max(m) - min(m)')} as spread from u group by 1 having count(*) = 8 and max(m) > min(m)",
 )
 def stream_dynamic_sampling(spark, sf):
-    stream = event_stream(spark, sf).select(F.floor(F.col("event_id") / 8).alias("uid"), F.col("event_id").alias("seq_id"), F.col("confidence").alias("metric"))
-    return rounded(jobs.run_to_table(jobs.stream_filter_groups(stream, 8), "groups", idle_batches=False))
+    stream = event_stream(spark, sf).select(F.floor(F.col("event_id") / 8).alias("uid"), "ts", F.col("event_id").alias("seq_id"), F.col("confidence").alias("metric"))
+    return rounded(jobs.run_to_table(jobs.stream_filter_groups(stream, 8), "groups"))
 
 
 @query("schema_rl_rows", f"select count(*) as n_rows, {len(RL_ROWS.fields)} as n_columns from benchmark")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -87,79 +88,108 @@ def metrics_from_buckets(rows: DataFrame, by: list[str], buckets: int = BUCKETS)
 KL_OUT = "run STRING, step BIGINT, kl DOUBLE, beta DOUBLE"
 
 
+def _arrived(batches: Iterator[pd.DataFrame], held: str | None) -> list[tuple]:
+    """Rows held back so far and new ones, in order of event time, then of the other columns."""
+    rows = [tuple(r) for r in json.loads(held or "[]")]
+    for batch in batches:
+        rows += [tuple(x.item() if hasattr(x, "item") else x for x in r) for r in batch.itertuples(index=False, name=None)]
+    return sorted(rows)
+
+
+def _wait(state: GroupState, held: list[tuple], idle_minutes: int | None) -> None:
+    """Wake up when the watermark passes the first row held, or, if none is, when the key has been idle in event time."""
+    now = state.getCurrentWatermarkMs()
+    if held:
+        state.setTimeoutTimestamp(max(now, held[0][0]) + 1)
+    elif idle_minutes is not None:
+        state.setTimeoutTimestamp(now + idle_minutes * 60_000 + 1)
+
+
 def stream_kl(
-    stream: DataFrame, beta0: float, target: float, horizon: float, idle_minutes: int = 60
+    stream: DataFrame,
+    beta0: float,
+    target: float,
+    horizon: float,
+    ts: str = "ts",
+    watermark: str = "10 minutes",
+    idle_minutes: int | None = None,
 ) -> DataFrame:
     """Adaptive divergence coefficient per run, carried across triggers.
 
-    Input ``run, step, kl, n_steps``. State is the coefficient and the last
-    step; inside a trigger rows are taken by step, and a step at or before the
-    last one seen is ignored. Idle runs are forgotten after an hour.
+    Input ``run, step, kl, n_steps`` and an event time. Rows are held until the
+    watermark passes them and then taken in order of time, then step, so the result
+    does not depend on files and triggers; a step at or before the last one taken
+    is ignored. State is the coefficient, the last step and the rows held, which
+    the watermark bounds. Runs are forgotten after ``idle_minutes`` of event time,
+    if given.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        beta, last, held = state.get if state.exists else (float(beta0), -1, None)
+        rows = _arrived(batches, held)
+        if state.hasTimedOut and not rows:
             state.remove()
             return
-        beta, last = state.get if state.exists else (float(beta0), -1)
-        rows = pd.concat(list(batches)).sort_values("step")
-        out = []
-        for row in rows.itertuples(index=False):
-            if row.step <= last:
+        now, out = state.getCurrentWatermarkMs(), []
+        for at, step, kl, n_steps in rows:
+            if at > now or step <= last:
                 continue
-            error = min(0.2, max(-0.2, row.kl / target - 1.0))
-            beta *= 1.0 + error * row.n_steps / horizon
-            last = int(row.step)
-            out.append((key[0], last, float(row.kl), beta))
-        state.update((beta, last))
-        state.setTimeoutDuration(idle_minutes * 60_000)
+            error = min(0.2, max(-0.2, kl / target - 1.0))
+            beta *= 1.0 + error * n_steps / horizon
+            last = int(step)
+            out.append((key[0], last, float(kl), beta))
+        held = [r for r in rows if r[0] > now]
+        state.update((beta, last, json.dumps(held)))
+        _wait(state, held, idle_minutes)
         yield pd.DataFrame(out, columns=["run", "step", "kl", "beta"])
 
-    return stream.groupBy("run").applyInPandasWithState(
-        update, KL_OUT, "beta DOUBLE, last BIGINT", "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+    timed = stream.withWatermark(ts, watermark).select("run", ts, F.unix_millis(ts).alias("__at"), "step", "kl", "n_steps")
+    return _timed(timed, "run", ts, update, KL_OUT, "beta DOUBLE, last BIGINT, held STRING")
+
+
+def _timed(stream: DataFrame, key: str, ts: str, update, out: str, state: str) -> DataFrame:
+    """Stateful step whose timers run on event time; ``update`` gets the columns after the first two."""
+
+    def on_values(k: tuple, batches: Iterator[pd.DataFrame], s: GroupState) -> Iterator[pd.DataFrame]:
+        return update(k, (b.drop(columns=[key, ts]) for b in batches), s)
+
+    return stream.groupBy(key).applyInPandasWithState(on_values, out, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 GROUP_OUT = "uid BIGINT, n BIGINT, mean DOUBLE, spread DOUBLE"
 
 
 def stream_filter_groups(
-    stream: DataFrame, n: int, idle_minutes: int = 60, ts: str | None = None, watermark: str = "10 minutes"
+    stream: DataFrame, n: int, ts: str = "ts", watermark: str = "10 minutes", idle_minutes: int = 7 * 24 * 60
 ) -> DataFrame:
-    """Prompts whose n samples are in and whose metric varies.
+    """Prompts whose n samples are in and whose metric varies, each once.
 
-    Input ``uid, seq_id, metric``. State per prompt is four sums, never the
-    rows. With ``ts`` repeated samples within the watermark are dropped first.
-    Prompts that stay incomplete are forgotten after the idle time.
+    Input ``uid, seq_id, metric`` and an event time. Samples are held until the
+    watermark passes them and counted in order of time, then id: the first ``n``
+    decide, later ones are ignored, and so are repeats of a sample within the
+    watermark. A prompt decided stays known, one short of samples stays open, until
+    no sample came for ``idle_minutes`` of event time.
     """
-    base = stream
-    if ts is not None:
-        base = stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(["seq_id"])
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        seen, total, lo, hi, held = state.get if state.exists else (0, 0.0, float("inf"), float("-inf"), None)
+        rows = _arrived(batches, held)
+        if state.hasTimedOut and not rows:
             state.remove()
             return
-        seen, total, lo, hi = state.get if state.exists else (0, 0.0, float("inf"), float("-inf"))
-        for batch in batches:
-            seen += len(batch)
-            total += float(batch["metric"].sum())
-            lo, hi = min(lo, float(batch["metric"].min())), max(hi, float(batch["metric"].max()))
-        if seen < n:
-            state.update((seen, total, lo, hi))
-            state.setTimeoutDuration(idle_minutes * 60_000)
-            return
-        state.remove()
-        if hi > lo or seen == 1:
+        now, before = state.getCurrentWatermarkMs(), seen
+        for at, _, metric in rows:
+            if at <= now and seen < n:
+                seen, total, lo, hi = seen + 1, total + metric, min(lo, metric), max(hi, metric)
+        held = [r for r in rows if r[0] > now] if seen < n else []
+        state.update((seen, total, lo, hi, json.dumps(held)))
+        _wait(state, held, idle_minutes)
+        if before < n <= seen and (hi > lo or n == 1):
             yield pd.DataFrame([(key[0], seen, total / seen, hi - lo)], columns=["uid", "n", "mean", "spread"])
 
-    return base.select("uid", "metric").groupBy("uid").applyInPandasWithState(
-        update,
-        GROUP_OUT,
-        "seen BIGINT, total DOUBLE, lo DOUBLE, hi DOUBLE",
-        "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
-    )
+    base = stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(["seq_id"])
+    timed = base.select("uid", ts, F.unix_millis(ts).alias("__at"), "seq_id", F.col("metric").cast("double").alias("metric"))
+    return _timed(timed, "uid", ts, update, GROUP_OUT, "seen BIGINT, total DOUBLE, lo DOUBLE, hi DOUBLE, held STRING")
 
 
 IDLE_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"

@@ -50,3 +50,44 @@ def test_buckets_are_carried_through(spark):
 
 def test_sizes_beyond_int(one):
     assert one(subset_sizes(F.lit(5_000_000_000)))[-3:] == [1 << 31, 1 << 32, 5_000_000_000]
+
+
+def rows_of(spark, folder, rows, order, per_trigger, job, schema):
+    """What a job gives when the rows come in files of three, taken in an order."""
+    os.makedirs(folder)
+    files = [rows[i : i + 3] for i in range(0, len(rows), 3)]
+    for at, i in enumerate([*order(len(files)), len(files)]):
+        name = os.path.join(folder, f"{i}.json")
+        with open(name, "w") as out:
+            last = {**rows[-1], "ts": "2024-01-09T00:00:00Z", "run": "end", "uid": -1, "seq_id": -1}
+            out.write("\n".join(json.dumps(r) for r in (files[i] if i < len(files) else [last])))
+        os.utime(name, (1_700_000_000 + at, 1_700_000_000 + at))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).json(str(folder))
+    return sorted(map(tuple, jobs.run_to_table(job(stream), "swapped").collect()))
+
+
+def test_kl_does_not_depend_on_files_and_triggers(spark, tmp_path):
+    rows = [{"run": f"r{i % 2}", "ts": f"2024-01-01T00:{i:02d}:00Z", "step": 3 * i if i != 7 else 1, "kl": (i * 37 % 11) / 100, "n_steps": 8} for i in range(18)]
+    schema = "run STRING, ts TIMESTAMP, step BIGINT, kl DOUBLE, n_steps BIGINT"
+    job = lambda s: jobs.stream_kl(s, 0.2, 0.05, 100.0, watermark="1 hour")
+    got = [rows_of(spark, tmp_path / str(i), rows, o, n, job, schema) for i, (o, n) in enumerate([(range, 1), (lambda k: reversed(range(k)), 2), (range, 100)])]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 17
+    beta, want = {}, []
+    for r in rows:
+        if r["step"] != 1:
+            beta[r["run"]] = beta.get(r["run"], 0.2) * (1 + max(-0.2, min(0.2, r["kl"] / 0.05 - 1)) * 8 / 100)
+            want.append((r["run"], r["step"], beta[r["run"]]))
+    assert [(a, b) for a, b, _, _ in got[0]] == sorted((a, b) for a, b, _ in want)
+    assert {(a, b): round(d, 12) for a, b, _, d in got[0]} == {(a, b): round(c, 12) for a, b, c in want}
+
+
+def test_prompts_are_decided_once_by_their_first_samples(spark, tmp_path):
+    rows = [{"uid": i % 3, "ts": f"2024-01-01T00:{i:02d}:00Z", "seq_id": i, "metric": float(i % 4) if i % 3 else 1.0} for i in range(24)]
+    schema = "uid BIGINT, ts TIMESTAMP, seq_id BIGINT, metric DOUBLE"
+    job = lambda s: jobs.stream_filter_groups(s, 4, watermark="1 hour")
+    got = [rows_of(spark, tmp_path / str(i), rows, o, n, job, schema) for i, (o, n) in enumerate([(range, 1), (lambda k: reversed(range(k)), 3)])]
+    want = []
+    for uid in (1, 2):
+        first = [r["metric"] for r in rows if r["uid"] == uid][:4]
+        want.append((uid, 4, sum(first) / 4, max(first) - min(first)))
+    assert got[0] == got[1] == want
