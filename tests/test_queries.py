@@ -1,6 +1,9 @@
 """Registered queries against DuckDB; ``PLUMBLINE_ALL=1`` runs every one."""
 
 import os
+import shutil
+import subprocess
+import sys
 
 import pytest
 from oracle import compare, connect
@@ -46,3 +49,13 @@ def test_entry_and_tables():
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() == 5
+
+
+def test_entry_without_the_corpus_folders(tmp_path):
+    """The other queries stand alone, whether the pipeline file is left behind or not."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(root, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and 'pipeline' not in q; print(len(q))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""})
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout.split()[-1]) == len(catalog.QUERIES)
