@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from plumbline.operators.scale import match, running_sum
+from plumbline.operators.scale import match, running_sum, written
 
 # Numeric guards and grids of the metric definitions.
 NLL_EPS = 1e-10
@@ -243,9 +243,9 @@ def prediction_summary(
     df: DataFrame, by=None, t: float = 0.5, thresholds=None, c="confidence", y="correct"
 ) -> DataFrame:
     """The seven calibration metrics with counts, mean confidence and
-    abstention rate: one scan, one shuffle of collapsed rows."""
+    abstention rate. Predictions are read once, into a table of collapsed rows."""
     by = _by(by)
-    counts = collapse(df, by, c, y)
+    counts = written(collapse(df, by, c, y), "counts")
     out = moments_from_counts(counts, by, t)
     out = _on(out, smoothed_ece_from_counts(counts, by, SMOOTH_BANDWIDTH, SMOOTH_GRID, 1e-12), by)
     out = _on(out, auc_from_counts(counts, by), by)

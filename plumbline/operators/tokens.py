@@ -137,19 +137,29 @@ def is_weights(tokens: DataFrame, level: str = "token", threshold: float = 2.0,
     ``normalize`` divides by the batch mean, over tokens or over sequence means;
     a mean of 1e-8 or less leaves the weights alone.
     """
-    weight = F.least(bounded_exp(F.col("__lr")) * F.col("mask"), F.lit(threshold))
-    out = with_log_ratio(tokens, level).withColumn("is_weight", weight).drop("__lr")
-    if not normalize:
-        return out
     if level == "token":
-        mean = out.agg((F.sum("is_weight") / (F.sum("mask") + MEAN_EPS)).alias("m"))
-    else:
-        per_seq = out.groupBy("seq_id").agg(
-            (F.sum("is_weight") / (F.sum("mask") + MEAN_EPS)).alias("w"), F.sum("mask").alias("n")
-        )
-        mean = per_seq.where("n > 0").agg(F.avg("w").alias("m"))
-    m = mean.scalar()
-    return out.withColumn("is_weight", F.when(m > 1e-8, F.col("is_weight") / m).otherwise(F.col("is_weight")))
+        weight = F.least(bounded_exp(F.col("__lr")) * F.col("mask"), F.lit(threshold))
+        out = with_log_ratio(tokens, level).withColumn("is_weight", weight).drop("__lr")
+        m = out.agg((F.sum("is_weight") / (F.sum("mask") + MEAN_EPS)).alias("m")).scalar() if normalize else None
+        return out if m is None else out.withColumn("is_weight", _over_mean(F.col("is_weight"), m))
+    # All valid tokens of a sequence weigh the same: one aggregate, joined back once.
+    total, n = F.coalesce(F.sum(masked("mask", log_ratio())), F.lit(0.0)), F.sum("mask")
+    if level not in LEVELS:
+        raise ValueError(f"unknown level {level!r}; have {LEVELS}")
+    ratio = total if level == "sequence" else total / (n + MEAN_EPS)
+    weight = F.least(bounded_exp(ratio), F.lit(threshold))
+    per_seq = tokens.groupBy("seq_id").agg(weight.alias("__w"), n.alias("__n"), F.count(F.lit(1)).alias("__size"))
+    per_seq = written(per_seq, "sequence-weights")
+    weighed = F.col("__w")
+    if normalize:
+        mean = per_seq.where("__n > 0").agg(F.avg(F.col("__w") * F.col("__n") / (F.col("__n") + MEAN_EPS)).alias("m"))
+        weighed = _over_mean(weighed, F.lit(mean.first()["m"]))
+    joined = attach_group(tokens, per_seq.select("seq_id", weighed.alias("__w"), "__size"), ["seq_id"], "__size", ["pos"])
+    return joined.withColumn("is_weight", F.col("__w") * F.col("mask")).drop("__w", "__size")
+
+
+def _over_mean(weight: Column, mean: Column) -> Column:
+    return F.when(mean > 1e-8, weight / mean).otherwise(weight)
 
 
 def rejection_mask(
