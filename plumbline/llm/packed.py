@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -121,7 +122,8 @@ class Encoder:
 
     The tokenizer drops white space, so a text's ids are its words' ids in order;
     a slice's distinct words are encoded together, set apart by a mark that is one
-    token of its own.
+    token of its own. The library takes special tokens out of a text before anything
+    else, so a text that holds one is encoded by itself.
     """
 
     def __init__(self, spec: str):
@@ -129,19 +131,29 @@ class Encoder:
 
     def prepare(self) -> None:
         if not hasattr(self, "tokenizer"):
-            self.tokenizer = Tokenizer.from_str(self.spec)
+            self.tokenizer, self.library = Tokenizer.from_str(self.spec), Tokenizer.from_str(self.spec)
+            self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+            # A word of a text without special tokens holds none, but its lowered form may look like one.
             self.tokenizer.encode_special_tokens = True
+            self.ends_piece: dict[str, bool] = {}
             self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
             self.young: dict[str, bytes] = {}
             self.old: dict[str, bytes] = {}
 
+    def closes(self, letter: str) -> bool:
+        """Is the character a letter still when the tokenizer has normalised it?"""
+        if letter not in self.ends_piece:
+            normal = self.tokenizer.normalizer.normalize_str(letter) if self.tokenizer.normalizer else letter
+            self.ends_piece[letter] = normal[-1:].isalpha()
+        return self.ends_piece[letter]
+
     def words(self, words: list[str]) -> list[bytes]:
         """Ids of every word. A letter ends a piece where a mark follows it, so closing marks are looked up apart."""
         marks, heads = set(MARKS), list(words)
         tails: dict[int, str] = {}
         for i in [i for i, word in enumerate(words) if word[-1:] in marks]:
             head = words[i].rstrip(MARKS)
-            if head[-1:].isalpha():
+            if head and self.closes(head[-1]):
                 heads[i], tails[i] = head, words[i][len(head) :]
         ids = self.pieces(list({*heads, *tails.values()} - {""}))
         ids[""] = b""
@@ -172,8 +184,15 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each text closed by ``END_ID``, and how many every text has."""
         self.prepare()
-        ends, codes, words = split_words(texts, lower=True)
-        ids = [*self.words(words), np.array([END_ID], np.uint32).tobytes()]
+        held = np.zeros(len(texts), bool)
+        for token in self.special:
+            held |= pc.fill_null(pc.match_substring(texts, token), False).to_numpy(zero_copy_only=False).astype(bool)
+        alone = [self.library.encode(texts[i].as_py(), add_special_tokens=False).ids for i in np.flatnonzero(held).tolist()]
+        ends, codes, words = split_words(pc.if_else(pa.array(held), "", texts) if held.any() else texts, lower=True)
+        # A text encoded by itself stands as one more word.
+        codes = np.insert(codes, ends[1:][held], len(words) + 1 + np.arange(len(alone)))
+        ends = ends + np.concatenate([[0], np.cumsum(held)])
+        ids = [*self.words(words), np.array([END_ID], np.uint32).tobytes(), *[np.array(x, np.uint32).tobytes() for x in alone]]
         codes = np.insert(codes, ends[1:], len(words))
         lengths = np.array([len(x) for x in ids], np.int64) // 4
         flat = np.frombuffer(b"".join(ids), np.uint32)

@@ -185,7 +185,6 @@ def test_simple_8b_round_trip(bits):
 def test_packed_files(spark, docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     folder = shared_folder(spark, "packed")
     packed.write(docs, folder, path, parts=4)
     got = table_of(packed.read(spark, folder).withColumn("crc", F.crc32("ids")), "doc_id", "start", "n_tokens", "crc")
@@ -202,6 +201,20 @@ def test_packed_files(spark, docs, empty):
     assert packed.read(spark, folder).count() == 0
 
 
+def test_ids_are_those_of_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, own = Tokenizer.from_file(path), random.Random(17)
+    pieces = ["a", "It", "İ", "ς", "Σ", "é", "e\u0301", "\u0958", "ǅ", "ß", "9", "²", "'s", "'", "|", ".", "<", ">", "…", " ", "\n", "日", "🙂", "\u0307", "\x01", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof"]
+    texts = ["".join(own.choices(pieces, k=own.randint(0, 14))) for _ in range(6000)] + [None, "İ|", "İ.", "İ<,", "x<|endoftext|>y"]
+    with open(path, encoding="utf-8") as spec:
+        encoder = packed.Encoder(spec.read())
+    for start in range(0, len(texts), 700):
+        part = texts[start : start + 700]
+        ids, sizes = encoder.encode(pa.array(part, pa.string()))
+        for text, found in zip(part, np.split(ids, np.cumsum(sizes)[:-1])):
+            assert found.tolist() == [*tokenizer.encode(text or "", add_special_tokens=False).ids, packed.END_ID], text
+
+
 # 3 ---------------------------------------------------------------------------
 
 
