@@ -223,6 +223,29 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     return given.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded) per row: ``encode`` and ``decode`` in one pass.
+
+    A core then holds one worker with one vocabulary instead of two of each.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 2 << 20):
+                ids = shared.value.encode(pc.fill_null(part.column("text"), "").to_pylist())
+                columns = [
+                    part.column("doc_id"),
+                    pa.array([len(x) for x in ids], pa.int64()),
+                    pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()),
+                    pa.array([shared.value.decode(x) for x in ids], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "decoded"])
+
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return given.mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
+
+
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``encoded`` with the bytes of its ``ids`` as column ``decoded`` (null ids: no bytes)."""
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)

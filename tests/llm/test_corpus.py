@@ -299,6 +299,7 @@ def test_byte_bpe(docs, empty, vocabulary):
         ids = other.encode_ordinary(text or "")
         assert got[i] == (len(ids), bytearray(np.array(ids, "<u4").tobytes()), bytearray((text or "").encode()))
     assert bpe.encode(empty, vocabulary).count() == 0
+    assert table_of(bpe.round_trip(docs, vocabulary), "doc_id", "n_tokens", "ids", "decoded") == got
 
 
 # 6 ---------------------------------------------------------------------------
