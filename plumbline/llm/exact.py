@@ -49,7 +49,9 @@ class DigestIndex:
         """Add the rows of (digest, keep_id) whose digest is not there yet; digests must be unique."""
         new = digests.hint("merge").join(self.rows().select("digest"), "digest", "left_anti")
         new = stored(new.select("digest", "keep_id"), "new-digests")
-        new.repartition(self.buckets, "digest").write.insertInto(self.name)
+        # Dealt by bucket number, so that a bucket is one file however many tasks write.
+        bucket = F.pmod(F.hash("digest"), F.lit(self.buckets))
+        new.repartition(self.buckets, bucket).write.insertInto(self.name)
 
 
 def decide(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
