@@ -15,7 +15,9 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     others = F.struct(*[c for c in docs.columns if c != "text"]).alias("__row")
     kept = quality.score(docs.select("text", others), model).where("predicted = 1")
-    return kept.select(*[F.col("text") if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
+    kept = kept.select(*[F.col("text") if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
+    with batches_of(spark, 512):
+        return stored(kept, "accepted")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +39,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with a check that they decode to its text."""
     vocabulary = bpe.Vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    coded = bpe.decode(bpe.encode(docs, vocabulary), vocabulary)
-    with batches_of(spark, 1024):
+    coded = bpe.round_trip(docs, vocabulary)
+    with batches_of(spark, 512):
         return stored(coded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256")), "tokens")
 
 
