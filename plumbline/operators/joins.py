@@ -49,8 +49,9 @@ def attach_context(questions: DataFrame, ranked: DataFrame, corpus: DataFrame, t
 NO_RESULTS = "No search results found."
 
 
-def format_passages(questions: DataFrame, hits: DataFrame, key: str = "question_id") -> DataFrame:
-    """``Doc i (Title: t)\\ntext`` blocks per question, in rank order."""
+def format_passages(questions: DataFrame, hits: DataFrame, key: str = "question_id", topk: int = 100) -> DataFrame:
+    """``Doc i (Title: t)\\ntext`` blocks per question, in rank order; at most ``topk`` meet in one row."""
+    hits = hits.where(F.col("rank") <= topk)
     title = F.substring_index("contents", "\n", 1)
     body = F.when(
         F.contains(F.col("contents"), F.lit("\n")), F.substring("contents", F.length(title) + 2, F.length("contents"))
