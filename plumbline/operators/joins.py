@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import CLAIM_BLOCK, claim_values, fit_labels
-from plumbline.operators.scale import lookup
+from plumbline.operators.scale import lookup, written_in_turn
 
 
 def union_columns(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -30,6 +33,27 @@ def format_reference(rank: Column, contents: Column) -> Column:
     return F.concat(F.lit("Doc "), rank.cast("string"), F.lit("(Title: "), title, F.lit(") "), body, F.lit("\n"))
 
 
+#: Bytes of passages that meet at once: so many times the corpus, and no less than this.
+PASSAGE_SHARE, PASSAGE_FLOOR = 3, 1 << 28
+
+
+def passage_blocks(ranked: DataFrame, corpus: DataFrame, topk: int, share: float = PASSAGE_SHARE, floor: int = PASSAGE_FLOOR) -> int:
+    """How many blocks of questions keep the passages of a block within ``share`` times the corpus."""
+    times = ranked.where(F.col("rank") <= topk).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    sizes = corpus.select("doc_id", F.octet_length("contents").cast("bigint").alias("bytes")).join(times, "doc_id", "left")
+    found = sizes.agg(F.sum(F.col("bytes") * F.col("n")).alias("met"), F.sum("bytes").alias("held")).first()
+    return max(1, math.ceil((found.met or 0) / max(floor, share * (found.held or 0), 1)))
+
+
+def by_blocks(questions: DataFrame, ranked: DataFrame, blocks: int, answer: Callable, name: str, key: str = "question_id") -> DataFrame:
+    """``answer(questions, ranked)`` of each block of questions by hash of the id, as one table."""
+
+    def block(df: DataFrame, i: int) -> DataFrame:
+        return df.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i)
+
+    return written_in_turn((answer(block(questions, i), block(ranked, i)) for i in range(blocks)), questions.sparkSession, name)
+
+
 def attach_context(questions: DataFrame, ranked: DataFrame, corpus: DataFrame, topk: int = 3) -> DataFrame:
     """Context text of each question from its ranked document ids.
 
@@ -42,7 +66,8 @@ def attach_context(questions: DataFrame, ranked: DataFrame, corpus: DataFrame, t
         "question_id", "rank", format_reference(F.col("rank"), F.col("contents")).alias("passage")
     )
     ordered = F.array_sort(F.collect_list(F.struct("rank", "passage")))
-    context = passages.groupBy("question_id").agg(F.array_join(ordered["passage"], "").alias("context"))
+    # Passages are gathered where their question lies; lists begun before would only be sorted and spilled.
+    context = passages.repartition("question_id").groupBy("question_id").agg(F.array_join(ordered["passage"], "").alias("context"))
     return questions.join(context, "question_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
 
 
@@ -57,8 +82,9 @@ def format_passages(questions: DataFrame, hits: DataFrame, key: str = "question_
         F.contains(F.col("contents"), F.lit("\n")), F.substring("contents", F.length(title) + 2, F.length("contents"))
     ).otherwise(F.lit(""))
     block = F.concat(F.lit("Doc "), F.col("rank").cast("string"), F.lit(" (Title: "), title, F.lit(")\n"), body, F.lit("\n\n"))
-    listed = hits.groupBy(key).agg(
-        F.array_join(F.array_sort(F.collect_list(F.struct("rank", block.alias("p"))))["p"], "").alias("text")
+    blocks = hits.select(key, "rank", block.alias("p")).repartition(key)
+    listed = blocks.groupBy(key).agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("rank", "p")))["p"], "").alias("text")
     )
     text = F.coalesce(F.rtrim(F.regexp_replace("text", r"\s+$", "")), F.lit(NO_RESULTS))
     return questions.join(listed, key, "left").withColumn("text", text)

@@ -7,10 +7,11 @@ key holding a third of the table never ends up in one task.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -34,6 +35,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Spark removes the shuffle files of a job when it ends.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written_in_turn(frames: Iterable[DataFrame], spark: SparkSession, name: str) -> DataFrame:
+    """Frames of one schema written one after the other into one table.
+
+    The shuffle files of a frame are gone before the next one is computed, so they
+    take no more disk than those of the largest frame.
+    """
+    path = shared_folder(spark, name)
+    before = spark.conf.get(DROP_SHUFFLES)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        for df in frames:
+            df.write.mode("append").parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ordered(df: DataFrame, order: list[str], name: str, out: str = "__bucket") -> DataFrame:
     """Written table with a bucket per row: consecutive ranges of rows in the order of the columns.
 
@@ -87,11 +109,25 @@ def with_group_stats(
     return attach_group(rows, stats, keys, "__size", spread_by, **hot).drop("__size")
 
 
-def lookup(rows: DataFrame, table: DataFrame, keys: list[str], **hot) -> DataFrame:
-    """Left-join a table with unique keys to rows that may pile up on a key; NULL finds nothing."""
+def lookup(
+    rows: DataFrame, table: DataFrame, keys: list[str], hot_share: float = HOT_SHARE, hot_floor: int = HOT_FLOOR
+) -> DataFrame:
+    """Left-join a table with unique keys to rows that may pile up on a key; NULL finds nothing.
+
+    Hot keys are salted as in ``attach_group``; they are found from the keys alone,
+    so the table's other columns move once.
+    """
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
+    limit = F.greatest(F.lit(float(hot_floor)), sizes.agg(F.sum("__size").alias("n")).scalar() * F.lit(hot_share))
+    hot = sizes.select(*keys, F.ceil(F.col("__size") / limit).cast("int").alias("__salts")).where("__salts > 1")
     spread_by = [c for c in rows.columns if c not in keys] or keys
-    return attach_group(rows, sizes.join(table, keys), keys, "__size", spread_by, **hot).drop("__size")
+    salted = match(rows, F.broadcast(hot), keys, "left").withColumn(
+        "__salt", F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("__salts")).cast("int"), F.lit(0))
+    )
+    known = match(table.dropna("any", subset=keys), F.broadcast(hot), keys, "left")
+    salts = F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)
+    spread = known.withColumn("__salt", F.explode(salts)).drop("__salts")
+    return match(salted.drop("__salts"), spread, [*keys, "__salt"], "left").drop("__salt")
 
 
 def lowest(df: DataFrame, n: int, order: list[str]) -> DataFrame:

@@ -321,8 +321,12 @@ def ranked_docs(spark, sf):
 @query("attach_retrieval_context", f"with {RANKED} select question_id, md5(string_agg({PASSAGE}, '' order by rank)) as digest from rk join documents using (doc_id) where rank <= 3 group by 1")
 def attach_retrieval_context(spark, sf):
     questions = events(spark, sf).select(F.col("event_id").alias("question_id"))
-    out = joins.attach_context(questions, ranked_docs(spark, sf), derive(spark, sf, CORPUS), 3)
-    return out.select("question_id", F.md5("context").alias("digest"))
+    ranked, corpus = ranked_docs(spark, sf), derive(spark, sf, CORPUS)
+
+    def digests(asked, found):
+        return joins.attach_context(asked, found, corpus, 3).select("question_id", F.md5("context").alias("digest"))
+
+    return joins.by_blocks(questions, ranked, joins.passage_blocks(ranked, corpus, 3), digests, "contexts")
 
 
 @query(
