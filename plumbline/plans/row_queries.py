@@ -337,8 +337,12 @@ def attach_retrieval_context(spark, sf):
 def format_passages(spark, sf):
     questions = events(spark, sf).select(F.col("event_id").alias("question_id"))
     ranked = ranked_docs(spark, sf).where(F.col("question_id") % 3 > 0)
-    hits = lookup(ranked, derive(spark, sf, CORPUS).select("doc_id", "contents"), ["doc_id"])
-    return joins.format_passages(questions, hits).select("question_id", F.md5("text").alias("digest"))
+    corpus = derive(spark, sf, CORPUS).select("doc_id", "contents")
+
+    def digests(asked, found):
+        return joins.format_passages(asked, lookup(found, corpus, ["doc_id"])).select("question_id", F.md5("text").alias("digest"))
+
+    return joins.by_blocks(questions, ranked, joins.passage_blocks(ranked, corpus, 100), digests, "passages")
 
 
 # retrieval -------------------------------------------------------------------
