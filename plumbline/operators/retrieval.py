@@ -1,7 +1,9 @@
 """Exact dense top-k and BM25 top-k over a corpus table.
 
-Queries are answered in blocks of bounded size, each sent to the tasks while the
-corpus is scanned where it lies. A task cuts what it reads into tiles of documents.
+Vectors meet in a grid: groups of queries by parts of the corpus, both of bounded
+size, each cell a group of one shuffle. Texts are answered in blocks of bounded size,
+each sent to the tasks while the corpus is scanned where it lies. A task cuts what it
+reads into tiles of documents.
 A bound per tile and query says whether a tile can still reach the k-th score, only
 the k best of a tile are looked for, and k rows per query leave a task.
 """
@@ -9,6 +11,7 @@ the k best of a tile are looked for, and k rows per query leave a task.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +21,9 @@ from pyspark.sql import Window as W
 
 from plumbline.operators.scale import union_all, written
 
-#: Numbers of a block of query vectors, and query terms of a block of texts.
+#: Numbers of a group of query vectors, and of a part of the corpus.
+GROUP_VALUES, PART_VALUES = 1 << 20, 1 << 20
+#: Numbers of the query vectors multiplied with a tile at once, and query terms of a block of texts.
 BLOCK_VALUES, BLOCK_TERMS = 1 << 20, 1 << 18
 #: Documents of a tile.
 TILE = 2048
@@ -88,26 +93,49 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, normalize: bool =
     ties go to the lower id. The vectors of a batch are put in order of their norm
     and cut into tiles; with centre c, radius r and largest norm m, no vector of a
     tile scores above ``min(|q| m, q·c + |q| r)`` for a query q, and a tile whose
-    bound misses the k-th score is not multiplied.
+    bound misses the k-th score is not multiplied. Groups of queries and parts of the
+    corpus meet pairwise in tasks of their own; nothing but two sums reaches the driver.
     """
     asked = queries.select("query_id", "vector").where("vector is not null")
     held = corpus.select("doc_id", "vector").where("vector is not null")
-    size = asked.agg(F.sum(F.size("vector"))).first()[0] or 0
-    parts = [_dense_block(block, held, k, normalize, tile) for block in _in_blocks(asked, size, block_values)]
-    return _ranked(parts, k)
+    numbers = F.coalesce(F.sum(F.size("vector").cast("bigint")), F.lit(0))
+    groups = max(1, -(-asked.agg(numbers).first()[0] // GROUP_VALUES))
+    parts = max(1, -(-held.agg(numbers).first()[0] // PART_VALUES))
+    # Each cell of the grid is a group of queries and a part of the corpus.
+    group, part = _cell(groups, "query_id"), _cell(parts, "doc_id")
+    asked = asked.select("*", group.alias("group"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    held = held.select("*", part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    scan = _dense_cell(k, normalize, tile, block_values)
+    met = asked.groupBy("group", "part").cogroup(held.groupBy("group", "part")).applyInArrow(scan, TOPK_DDL)
+    return _ranked([met], k)
+
+
+def _cell(cells: int, key: str) -> Column:
+    return F.pmod(F.xxhash64(key, "vector"), F.lit(cells)).cast("int")
+
+
+def _dense_cell(k: int, normalize: bool, tile: int, block_values: int) -> Callable:
+    def cell(queries: pa.Table, corpus: pa.Table) -> pa.Table:
+        if not queries.num_rows or not corpus.num_rows:
+            return TOPK.empty_table()
+        queries, corpus = queries.combine_chunks(), corpus.combine_chunks()
+        matrix = _vectors(queries["vector"].chunk(0), normalize)
+        asked = Asked((queries["query_id"].to_numpy(), matrix))
+        scan = _dense_scan(asked, k, normalize, tile, max(1, block_values // max(1, matrix.shape[1])))
+        return pa.Table.from_batches(scan(iter(corpus.to_batches())), schema=TOPK)
+
+    return cell
+
+
+class Asked(NamedTuple):
+    """Ids and vectors of a group of queries."""
 
+    value: tuple[np.ndarray, np.ndarray]
 
-def _dense_block(block: DataFrame, corpus: DataFrame, k: int, normalize: bool, tile: int) -> DataFrame:
-    rows = block.collect()
-    if not rows:
-        return corpus.sparkSession.createDataFrame([], TOPK_DDL)
-    ids = np.array([r["query_id"] for r in rows], np.int64)
-    matrix = _vectors(pa.array([r["vector"] for r in rows], pa.list_(pa.float64())), normalize)
-    shared = corpus.sparkSession.sparkContext.broadcast((ids, matrix))
-    return corpus.mapInArrow(_dense_scan(shared, k, normalize, tile), TOPK_DDL)
 
+def _dense_scan(shared, k: int, normalize: bool, tile: int, block: int | None = None) -> Callable:
+    """Best documents of all batches; at most ``block`` queries are multiplied with a tile at once."""
 
-def _dense_scan(shared, k: int, normalize: bool, tile: int) -> Callable:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries = shared.value
         lengths = np.linalg.norm(queries, axis=1)
@@ -125,8 +153,12 @@ def _dense_scan(shared, k: int, normalize: bool, tile: int) -> Callable:
                 radius = np.linalg.norm(own - centre, axis=1).max()
                 bound = np.minimum(lengths * norms[at[0]], queries @ centre + lengths * radius)
                 open_ = np.flatnonzero(bound + SLACK * (1 + np.abs(bound)) >= best.least)
-                if len(open_):
-                    best.offer(open_, np.round(queries[open_] @ own.T, 12), names[at])
+                for first in range(0, len(open_), block or max(1, len(open_))):
+                    some = open_[first : first + (block or len(open_))]
+                    scores = np.round(queries[some] @ own.T, 12)
+                    reach = scores.max(axis=1) >= best.least[some]
+                    if reach.any():
+                        best.offer(some[reach], scores[reach], names[at])
         yield best.batch(ids)
 
     return scan

@@ -303,3 +303,32 @@ def test_loads_with_giants_and_unequal_counts(spark):
     rest = [w for p, (_, w) in per.items() if p > 1]
     assert max(rest) - min(rest) < 2 * 24576 * 20
     assert balancing.balance_loads(df, 1).select("part").distinct().collect()[0].part == 0
+
+
+@pytest.mark.parametrize("normalize", [True, False])
+def test_dense_grid_of_groups_and_parts(spark, monkeypatch, normalize):
+    import numpy as np
+
+    own = np.random.default_rng(4)
+    vectors = np.round(own.normal(size=(300, 4)), 1)
+    vectors[5], vectors[9] = vectors[200], 0.0
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    corpus = spark.createDataFrame([*rows, (300, None)], "doc_id BIGINT, vector ARRAY<FLOAT>")
+    queries = spark.createDataFrame([*rows[::10], (301, None)], "query_id BIGINT, vector ARRAY<FLOAT>")
+    monkeypatch.setattr(retrieval, "GROUP_VALUES", 40)
+    monkeypatch.setattr(retrieval, "PART_VALUES", 200)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: pytest.fail("queries came to the driver"))
+    found = retrieval.dense_topk(queries, corpus, 4, normalize, block_values=8, tile=16)
+    monkeypatch.undo()
+    exact = np.float32(vectors).astype(float)
+    if normalize:
+        norms = np.linalg.norm(exact, axis=1, keepdims=True)
+        exact = exact / np.where(norms == 0, 1.0, norms)
+    got = sorted((r.query_id, r["rank"], r.doc_id) for r in found.collect())
+    want = []
+    for q in range(0, 300, 10):
+        scores = np.round(exact @ exact[q], 12)
+        want += [(q, n + 1, int(d)) for n, d in enumerate(np.lexsort((np.arange(300), -scores))[:4])]
+    assert got == want
+    assert retrieval.dense_topk(queries.limit(0), corpus, 4).count() == 0
+    assert retrieval.dense_topk(queries, corpus.limit(0), 4).count() == 0
