@@ -33,9 +33,9 @@ def masked(mask: str, value: Column) -> Column:
 
 def place_terminal_reward(tokens: DataFrame, rollouts: DataFrame) -> DataFrame:
     """Score of a response on its last valid token, zero on the others."""
-    last = tokens.where(F.col("mask") > 0).groupBy("seq_id").agg(F.max("pos").alias("__last"))
-    sizes = tokens.groupBy("seq_id").agg(F.count(F.lit(1)).alias("__size"))
-    stats = sizes.join(last, "seq_id", "left").join(rollouts.select("seq_id", "score"), "seq_id", "left")
+    valid = F.when((F.col("mask") > 0) & F.col("seq_id").isNotNull(), F.col("pos"))
+    ends = tokens.groupBy("seq_id").agg(F.count(F.lit(1)).alias("__size"), F.max(valid).alias("__last"))
+    stats = ends.join(rollouts.select("seq_id", "score"), "seq_id", "left")
     joined = attach_group(tokens, stats, ["seq_id"], "__size", ["pos"])
     reward = F.when(F.col("pos") == F.col("__last"), F.col("score")).otherwise(F.lit(0.0))
     return joined.withColumn("reward", reward).drop("__size", "__last", "score")

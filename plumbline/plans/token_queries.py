@@ -9,15 +9,23 @@ from plumbline.operators import losses as L
 from plumbline.operators import offpolicy as O
 from plumbline.operators import tokens as K
 from plumbline.operators import training
-from plumbline.plans.carriers import ROLLOUTS, TOKENS, derive, hash48, plain, r, rounded
+from plumbline.plans.carriers import ROLLOUTS, TOKENS, derive, hash48, plain, r, rounded, table
 from plumbline.plans.registry import query
 
 T = f"with recursive k as {plain(TOKENS)}"
 T1 = f"with k as {plain(TOKENS)}"
 
 
+#: Rows of lineitem one task sums up to tokens.
+TASK_ROWS = 1 << 18
+
+
 def tokens(spark, sf):
-    return derive(spark, sf, TOKENS).withColumnRenamed("ret", "return")
+    """The token table; tasks that sum up lines grow in number with them, not in size."""
+    lines = table(spark, sf, "lineitem")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // TASK_ROWS))
+    dealt = lines.repartition(parts, "l_orderkey")
+    return spark.sql(TOKENS, lineitem=dealt, orders=table(spark, sf, "orders")).withColumnRenamed("ret", "return")
 
 
 def by_token(df, *cols):

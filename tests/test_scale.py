@@ -332,3 +332,27 @@ def test_dense_grid_of_groups_and_parts(spark, monkeypatch, normalize):
     assert got == want
     assert retrieval.dense_topk(queries.limit(0), corpus, 4).count() == 0
     assert retrieval.dense_topk(queries, corpus.limit(0), 4).count() == 0
+
+
+def test_terminal_rewards_of_null_and_missing_sequences(spark):
+    rows = [(s, p, m) for s in (1, 2, None) for p, m in enumerate([1, 1, 0])] + [(3, 0, 0)]
+    df = spark.createDataFrame(rows, "seq_id BIGINT, pos BIGINT, mask INT")
+    scores = spark.createDataFrame([(1, 0.5), (3, 0.7), (None, 0.9)], "seq_id BIGINT, score DOUBLE")
+    out = tokens.place_terminal_reward(df, scores)
+    got = sorted([(r.seq_id or 0, r.pos, r.reward) for r in out.collect()], key=str)
+    assert out.columns == ["seq_id", "pos", "mask", "reward"]
+    assert got == [(0, 0, 0.0), (0, 1, 0.0), (0, 2, 0.0), (1, 0, 0.0), (1, 1, 0.5), (1, 2, 0.0), (2, 0, 0.0), (2, 1, None), (2, 2, 0.0), (3, 0, 0.0)]
+
+
+def test_tasks_of_the_token_table_grow_in_number(spark, monkeypatch):
+    from plumbline.plans import token_queries
+
+    sf = "/root/testdata/sf0.001"
+    plain = token_queries.tokens(spark, sf)
+    monkeypatch.setattr(token_queries, "TASK_ROWS", 100)
+    dealt = token_queries.tokens(spark, sf)
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert f", {-(-lines // 100)}), REPARTITION_BY_NUM" in plan
+    assert plan.count("Exchange hashpartitioning(l_orderkey") == 1
+    assert dealt.exceptAll(plain).isEmpty() and plain.exceptAll(dealt).isEmpty()
