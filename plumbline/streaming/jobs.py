@@ -156,11 +156,13 @@ def _timed(stream: DataFrame, key: str, ts: str, update, out: str, state: str) -
     return stream.groupBy(key).applyInPandasWithState(on_values, out, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+#: A call costs milliseconds however few rows it gets, so a call handles the prompts of a bucket.
+BUCKETS_OF_PROMPTS = 1024
 GROUP_OUT = "uid BIGINT, n BIGINT, mean DOUBLE, spread DOUBLE"
 
 
 def stream_filter_groups(
-    stream: DataFrame, n: int, ts: str = "ts", watermark: str = "10 minutes", idle_minutes: int = 7 * 24 * 60
+    stream: DataFrame, n: int, ts: str = "ts", watermark: str = "10 minutes", idle_minutes: int = 7 * 24 * 60, buckets: int = BUCKETS_OF_PROMPTS
 ) -> DataFrame:
     """Prompts whose n samples are in and whose metric varies, each once.
 
@@ -168,28 +170,53 @@ def stream_filter_groups(
     watermark passes them and counted in order of time, then id: the first ``n``
     decide, later ones are ignored, and so are repeats of a sample within the
     watermark. A prompt decided stays known, one short of samples stays open, until
-    no sample came for ``idle_minutes`` of event time.
+    no sample came for ``idle_minutes`` of event time. Prompts are handled by bucket
+    of their hash; a bucket's state holds what each of its prompts has, and when the
+    watermark must wake it.
     """
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, total, lo, hi, held = state.get if state.exists else (0, 0.0, float("inf"), float("-inf"), None)
-        rows = _arrived(batches, held)
-        if state.hasTimedOut and not rows:
-            state.remove()
-            return
-        now, before = state.getCurrentWatermarkMs(), seen
-        for at, _, metric in rows:
+    def decide(uid: str | None, entry: list, rows: list[tuple], now: int) -> tuple | None:
+        before, total, lo, hi = entry[:4]
+        seen = before
+        for at, _, metric in sorted(rows):
             if at <= now and seen < n:
                 seen, total, lo, hi = seen + 1, total + metric, min(lo, metric), max(hi, metric)
-        held = [r for r in rows if r[0] > now] if seen < n else []
-        state.update((seen, total, lo, hi, json.dumps(held)))
-        _wait(state, held, idle_minutes)
+        held = sorted(r for r in rows if r[0] > now) if seen < n else []
+        wake = max(now, held[0][0]) if held else now + idle_minutes * 60_000
+        entry[:] = [seen, total, lo, hi, held, wake + 1]
         if before < n <= seen and (hi > lo or n == 1):
-            yield pd.DataFrame([(key[0], seen, total / seen, hi - lo)], columns=["uid", "n", "mean", "spread"])
+            return (None if uid is None else int(uid), seen, total / seen, hi - lo)
+        return None
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        prompts = dict(json.loads(state.get[0])) if state.exists else {}
+        now, arrived, out = state.getCurrentWatermarkMs(), {}, []
+        for batch in batches:
+            for uid, *row in zip(*[batch[c].tolist() for c in ("uid", "__at", "seq_id", "metric")]):
+                arrived.setdefault(uid, []).append(tuple(row))
+        for uid in [u for u, entry in prompts.items() if entry[5] < now and u not in arrived]:
+            if prompts[uid][4]:
+                arrived[uid] = []
+            else:
+                del prompts[uid]
+        for uid, rows in arrived.items():
+            entry = prompts.setdefault(uid, [0, 0.0, float("inf"), float("-inf"), [], 0])
+            found = decide(uid, entry, [*map(tuple, entry[4]), *rows], now)
+            out += [found] if found else []
+        if prompts:
+            state.update((json.dumps(list(prompts.items())),))
+            state.setTimeoutTimestamp(max(now, min(entry[5] for entry in prompts.values())))
+        else:
+            state.remove()
+        decided = pd.DataFrame([x[1:] for x in out], columns=["n", "mean", "spread"])
+        decided.insert(0, "uid", pd.array([x[0] for x in out], dtype="Int64"))
+        yield decided
 
     base = stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(["seq_id"])
-    timed = base.select("uid", ts, F.unix_millis(ts).alias("__at"), "seq_id", F.col("metric").cast("double").alias("metric"))
-    return _timed(timed, "uid", ts, update, GROUP_OUT, "seen BIGINT, total DOUBLE, lo DOUBLE, hi DOUBLE, held STRING")
+    metric = F.col("metric").cast("double").alias("metric")
+    bucket = F.pmod(F.xxhash64("uid"), F.lit(buckets)).alias("__bucket")
+    timed = base.select(bucket, ts, F.col("uid").cast("string").alias("uid"), F.unix_millis(ts).alias("__at"), "seq_id", metric)
+    return _timed(timed, "__bucket", ts, update, GROUP_OUT, "prompts STRING")
 
 
 IDLE_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"

@@ -91,3 +91,14 @@ def test_prompts_are_decided_once_by_their_first_samples(spark, tmp_path):
         first = [r["metric"] for r in rows if r["uid"] == uid][:4]
         want.append((uid, 4, sum(first) / 4, max(first) - min(first)))
     assert got[0] == got[1] == want
+
+
+def test_prompts_share_buckets(spark, tmp_path):
+    """Many prompts in one bucket, a NULL and a large one among them."""
+    uids = [None, 2**60 + 1, 2**60 + 2, 5]
+    rows = [{"uid": uids[i % 4], "ts": f"2024-01-01T00:{i:02d}:00Z", "seq_id": i, "metric": float(i // 4 % 3)} for i in range(23)]
+    schema = "uid BIGINT, ts TIMESTAMP, seq_id BIGINT, metric DOUBLE"
+    want = sorted((u or -7, 5, 4 / 5, 2.0) for u in uids)
+    for buckets in (1, 1000):
+        job = lambda s: jobs.stream_filter_groups(s, 5, watermark="1 hour", buckets=buckets).na.fill(-7, ["uid"])  # noqa: B023, E731
+        assert rows_of(spark, tmp_path / str(buckets), rows, range, 2, job, schema) == want
