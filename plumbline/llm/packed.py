@@ -35,6 +35,8 @@ END_ID = 1
 BLOCK_WORDS = 1 << 16
 #: Words a worker remembers with their ids, in each of two generations.
 REMEMBERED = 200_000
+#: Bytes of text encoded at a time; word tables and packing take many times that.
+PIECE_BYTES = 1 << 20
 MARK = "\x01"
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 BLOCKS = "part int, block int, first_doc long, start long, doc_ids array<long>, n_tokens array<long>, offsets array<long>, words binary"
@@ -255,7 +257,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", PIECE_BYTES):
                 ids, sizes = shared.value.encode(piece.column("text"))
                 ends = np.cumsum(sizes)
                 words, counts = pack(ids, ends)

@@ -524,3 +524,11 @@ def test_stages_keep_columns_of_odd_tables(spark):
             frame = stage(spark, frame, SF)
             assert frame.columns == docs.columns
         frame.collect()
+
+
+def test_packed_pieces_are_small():
+    texts = [prose(200, i) * 20 for i in range(200)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(200)), "text": texts})
+    pieces = list(slices(batch, "text", packed.PIECE_BYTES))
+    assert sum(p.num_rows for p in pieces) == 200 and len(pieces) > 2
+    assert max(sum(map(len, p.column("text").to_pylist())) for p in pieces) <= 1 << 20
