@@ -80,9 +80,10 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     ends = np.asarray(words.offsets) - words.offsets[0].as_py()
     coded = words.flatten().dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    distinct = coded.dictionary.to_pylist()
-    if "" in distinct:  # left over at the ends of a text
-        full = codes != distinct.index("")
+    distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    empty = pc.index(coded.dictionary, pa.scalar("", pa.large_string())).as_py()
+    if empty >= 0:  # left over at the ends of a text
+        full = codes != empty
         ends = np.concatenate([[0], np.cumsum(full)])[ends]
         codes = codes[full]
     return ends.astype(np.int64), codes, distinct

@@ -28,20 +28,34 @@ from plumbline.llm.common import batches_of, slices, split_words
 #: Ids per word and bits per id of each selector.
 COUNTS = [240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1]
 WIDTHS = [0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60]
+#: Bits of the ids that most tokenizers have.
+BITS = np.frexp(np.arange(1 << 16))[1].astype(np.uint8)
 #: Selector 1 would hold 120 zeros; here it is the escape.
 ESCAPE = 1
 END_ID = 1
 #: Words of ids in a block, unless one document has more.
 BLOCK_WORDS = 1 << 16
-#: Words a worker remembers with their ids, in each of two generations.
-REMEMBERED = 200_000
+#: Words a worker remembers with their ids; beyond, those not met in the last pieces are forgotten.
+REMEMBERED, RECENT = 250_000, 8
 #: Bytes of text encoded at a time; word tables and packing take many times that.
 PIECE_BYTES = 1 << 20
+#: Where each word starts follows from the one before: so many doublings of the step are taken at once.
+HOPS = 3
+#: Words encoded in one call.
+GROUP = 1 << 14
 MARK = "\x01"
-MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A letter that is one still when normalised ends a piece where a mark follows it; a space between them leaves the ids as they are.
+BEFORE_MARK, SET_APART = r"([a-zA-ZÀ-ÖØ-öø-ÿ])([!-/:-@\[-`{-~])", r"\1 \2"
 BLOCKS = "part int, block int, first_doc long, start long, doc_ids array<long>, n_tokens array<long>, offsets array<long>, words binary"
 
 
+def _bits(ids: np.ndarray) -> np.ndarray:
+    """Bits of every id, 61 for all above 60."""
+    if ids.max() < len(BITS):
+        return BITS[ids]
+    return np.searchsorted(np.uint64(1) << np.arange(61, dtype=np.uint64), ids, side="right").astype(np.uint8)
+
+
 def pack(ids: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Words of ``ids`` and how many belong to each document.
 
@@ -53,24 +67,35 @@ def pack(ids: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarray, n
     ends = np.array([size]) if ends is None else np.asarray(ends)
     if not size:
         return ids, np.zeros(len(ends), np.int64)
-    places = np.arange(size, dtype=np.int32)
-    stop = np.repeat(ends, np.diff(ends, prepend=0)).astype(np.int32)
-    reach, chosen = np.ones(size, np.int32), np.full(size, ESCAPE, np.int8)
-    widths = np.searchsorted(np.uint64(1) << np.arange(61, dtype=np.uint64), ids, side="right").astype(np.int8)
-    for selector in range(len(COUNTS) - 1, -1, -1):
-        if selector == ESCAPE:
-            continue
-        wide = np.where(widths > WIDTHS[selector], places, np.int32(size))
-        wide = np.minimum.accumulate(wide[::-1])[::-1]
-        fits = np.minimum(wide, stop) - places >= COUNTS[selector]
-        if not fits.any() and COUNTS[selector] > 8:
-            continue
-        chosen[fits], reach[fits] = selector, COUNTS[selector]
-    steps, starts, i = reach.tolist(), [], 0
+    stop = np.repeat(ends, np.diff(ends, prepend=0))
+    room = np.minimum(stop - np.arange(size), 255).astype(np.uint8)
+    widest, span = _bits(ids), 1
+    # Selectors by rising counts: an id that starts a word of one could start a word of those before.
+    order = [s for s in range(len(COUNTS) - 1, -1, -1) if s != ESCAPE]
+    level = np.zeros(size, np.uint8)
+    for selector in order:
+        while span < min(COUNTS[selector], size):
+            step = min(span, COUNTS[selector] - span, size - span)
+            widest[:-step] = np.maximum(widest[:-step], widest[step:])
+            span += step
+        fits = (widest <= WIDTHS[selector]) & (room >= COUNTS[selector])
+        if not fits.any():
+            break
+        level += fits
+    chosen = np.array([ESCAPE, *order], np.int8)[level]
+    hop = np.append(np.arange(size) + np.array([1, *[COUNTS[s] for s in order]])[level], size)
+    far = hop
+    for _ in range(HOPS):
+        far = far[far]
+    steps, starts, i = memoryview(far), [], 0
     while i < size:
         starts.append(i)
-        i += steps[i]
-    first = np.array(starts)
+        i = steps[i]
+    between = [np.array(starts)]
+    while len(between) < 1 << HOPS:
+        between.append(hop[between[-1]])
+    first = np.stack(between, axis=1).ravel()
+    first = first[first < size]
     selectors = chosen[first]
     extra = selectors == ESCAPE
     place = np.arange(len(first)) + np.cumsum(extra) - extra
@@ -122,10 +147,12 @@ def unpack(words: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of whole texts through the tokenizers library.
 
-    The tokenizer drops white space, so a text's ids are its words' ids in order;
-    a slice's distinct words are encoded together, set apart by a mark that is one
-    token of its own. The library takes special tokens out of a text before anything
-    else, so a text that holds one is encoded by itself.
+    The tokenizer drops white space, so a text's ids are its words' ids in order.
+    New words are encoded together: those of letters alone, one piece each, are cut
+    where a token ends a piece, the others are set apart by a mark that is one token
+    of its own. Ids of known words lie in one flat array. The library takes special
+    tokens out of a text before anything else, so a text that holds one is encoded
+    by itself.
     """
 
     def __init__(self, spec: str):
@@ -139,8 +166,20 @@ class Encoder:
             self.tokenizer.encode_special_tokens = True
             self.ends_piece: dict[str, bool] = {}
             self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-            self.young: dict[str, bytes] = {}
-            self.old: dict[str, bytes] = {}
+            suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+            vocabulary = self.tokenizer.get_vocab() if suffix else {}
+            self.last = np.zeros(1 + max(vocabulary.values(), default=0), bool)
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+            self.piece = 0
+            self.forget([], np.empty(0, np.int64))
+
+    def forget(self, words: list[str], slots: np.ndarray) -> None:
+        """Remember ``words``, which lie in ``slots``, and no others."""
+        taken = self.lengths[slots] if len(slots) else np.empty(0, np.int64)
+        flat = self.flat[_runs(self.starts[slots], taken)] if len(slots) else np.empty(0, np.uint32)
+        met = self.met[slots] if len(slots) else np.empty(0, np.int64)
+        self.known = {w: i for i, w in enumerate(words)}
+        self.flat, self.lengths, self.starts, self.met = flat, taken, np.cumsum(taken) - taken, met
 
     def closes(self, letter: str) -> bool:
         """Is the character a letter still when the tokenizer has normalised it?"""
@@ -149,39 +188,46 @@ class Encoder:
             self.ends_piece[letter] = normal[-1:].isalpha()
         return self.ends_piece[letter]
 
-    def words(self, words: list[str]) -> list[bytes]:
-        """Ids of every word. A letter ends a piece where a mark follows it, so closing marks are looked up apart."""
-        marks, heads = set(MARKS), list(words)
-        tails: dict[int, str] = {}
-        for i in [i for i, word in enumerate(words) if word[-1:] in marks]:
-            head = words[i].rstrip(MARKS)
-            if head and self.closes(head[-1]):
-                heads[i], tails[i] = head, words[i][len(head) :]
-        ids = self.pieces(list({*heads, *tails.values()} - {""}))
-        ids[""] = b""
-        out = [ids[h] for h in heads]
-        for i, tail in tails.items():
-            out[i] += ids[tail]
-        return out
-
-    def pieces(self, words: list[str]) -> dict[str, bytes]:
-        young, old = self.young, self.old
-        found = {w: young[w] if w in young else old.get(w) for w in words}
-        new = [w for w, ids in found.items() if ids is None]
-        plain = [w for w in new if MARK not in w] if len(self.mark) == 1 else []
-        for start in range(0, len(plain), 1 << 14):
-            group = plain[start : start + (1 << 14)]
-            text = f" {MARK} ".join(group)
+    def slots(self, words: list[str]) -> np.ndarray:
+        """Where the ids of every word lie."""
+        found = list(map(self.known.get, words))
+        places = [i for i, slot in enumerate(found) if slot is None]
+        self.learn([words[i] for i in places])
+        for i in places:
+            found[i] = self.known[words[i]]
+        return np.array(found, np.int64)
+
+    def learn(self, words: list[str]) -> None:
+        """Encode words that aren't known."""
+        letters = [w for w in words if w.isalpha() and (w.isascii() or all(map(self.closes, w)))]
+        rest = [*set(words).difference(letters)]
+        for start in range(0, len(letters), GROUP):
+            group = letters[start : start + GROUP]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1 if len(self.last) > 1 else []
+            # Each word has a piece at least, so as many pieces as words are one each.
+            if len(ends) == len(group) and ends[-1] == len(ids):
+                self.store(group, ids, np.diff(ends, prepend=0))
+            else:
+                rest += group
+        plain = [w for w in rest if MARK not in w] if len(self.mark) == 1 else []
+        for start in range(0, len(plain), GROUP):
+            group = plain[start : start + GROUP]
+            text = "".join([f"{MARK} {word} " for word in group])
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            for word, own in zip(group, np.split(ids, np.flatnonzero(ids == self.mark[0]))):
-                found[word] = (own[1:] if len(own) and own[0] == self.mark[0] else own).tobytes()
-        for word in new:
-            if found[word] is None:
-                found[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
-            if len(self.young) >= REMEMBERED:
-                self.old, self.young = self.young, {}
-            self.young[word] = found[word]
-        return found
+            marks = np.flatnonzero(ids == self.mark[0])
+            self.store(group, np.delete(ids, marks), np.diff(marks, append=len(ids)) - 1)
+        for word in rest:
+            if word not in self.known:
+                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+                self.store([word], np.array(ids, np.uint32), np.array([len(ids)]))
+
+    def store(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Remember words whose ids stand in a row."""
+        self.known.update(zip(words, range(len(self.lengths), len(self.lengths) + len(words))))
+        self.starts = np.append(self.starts, len(self.flat) + np.cumsum(lengths) - lengths)
+        self.lengths, self.flat = np.append(self.lengths, lengths), np.append(self.flat, ids)
+        self.met = np.append(self.met, np.full(len(words), self.piece))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each text closed by ``END_ID``, and how many every text has."""
@@ -190,18 +236,30 @@ class Encoder:
         for token in self.special:
             held |= pc.fill_null(pc.match_substring(texts, token), False).to_numpy(zero_copy_only=False).astype(bool)
         alone = [self.library.encode(texts[i].as_py(), add_special_tokens=False).ids for i in np.flatnonzero(held).tolist()]
-        ends, codes, words = split_words(pc.if_else(pa.array(held), "", texts) if held.any() else texts, lower=True)
-        # A text encoded by itself stands as one more word.
+        texts = pc.if_else(pa.array(held), "", texts) if held.any() else texts
+        ends, codes, words = split_words(pc.replace_substring_regex(texts, BEFORE_MARK, SET_APART), lower=True)
+        if len(self.known) > REMEMBERED:
+            recent = np.flatnonzero(self.met > self.piece - RECENT)
+            self.forget(np.array([*self.known], object)[recent].tolist(), recent)
+        self.piece += 1
+        slots = self.slots(words)
+        self.met[slots] = self.piece
+        # A text encoded by itself stands as one more word, and so does the end.
         codes = np.insert(codes, ends[1:][held], len(words) + 1 + np.arange(len(alone)))
         ends = ends + np.concatenate([[0], np.cumsum(held)])
-        ids = [*self.words(words), np.array([END_ID], np.uint32).tobytes(), *[np.array(x, np.uint32).tobytes() for x in alone]]
         codes = np.insert(codes, ends[1:], len(words))
-        lengths = np.array([len(x) for x in ids], np.int64) // 4
-        flat = np.frombuffer(b"".join(ids), np.uint32)
-        starts, taken = np.cumsum(lengths) - lengths, lengths[codes]
-        stops = np.cumsum(taken)
-        out = flat[np.repeat(starts[codes] - (stops - taken), taken) + np.arange(stops[-1] if len(stops) else 0)]
-        return out, np.diff(stops[ends[1:] + np.arange(len(ends) - 1)], prepend=0)
+        more = [[END_ID], *alone]
+        lengths = np.array([len(x) for x in more], np.int64)
+        starts = np.append(self.starts[slots], len(self.flat) + np.cumsum(lengths) - lengths)
+        flat = np.append(self.flat, np.array([i for ids in more for i in ids], np.uint32))
+        taken = np.append(self.lengths[slots], lengths)[codes]
+        return flat[_runs(starts[codes], taken)], np.diff(np.cumsum(taken)[ends[1:] + np.arange(len(ends) - 1)], prepend=0)
+
+
+def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places of runs that begin at ``starts``, one run after the other."""
+    stops = np.cumsum(lengths)
+    return np.repeat(starts - (stops - lengths), lengths) + np.arange(stops[-1] if len(stops) else 0)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

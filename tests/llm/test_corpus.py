@@ -532,3 +532,19 @@ def test_packed_pieces_are_small():
     pieces = list(slices(batch, "text", packed.PIECE_BYTES))
     assert sum(p.num_rows for p in pieces) == 200 and len(pieces) > 2
     assert max(sum(map(len, p.column("text").to_pylist())) for p in pieces) <= 1 << 20
+
+
+def test_packed_encoder_learns_a_word_once_whatever_mark_follows(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as spec:
+        encoder, tokenizer = packed.Encoder(spec.read()), Tokenizer.from_file(path)
+    monkeypatch.setattr(packed, "REMEMBERED", 20)
+    monkeypatch.setattr(packed, "RECENT", 1)
+    marked = ["stökeit%%% Stökeit*** stökeit", "stökeit, (stökeit). стол. стол"]
+    for k in range(4):
+        texts = [*marked, prose(30, k), None, "İ. x's 9.a"]
+        ids, sizes = encoder.encode(pa.array(texts, pa.string()))
+        for text, found in zip(texts, np.split(ids, np.cumsum(sizes)[:-1])):
+            assert found.tolist() == [*tokenizer.encode(text or "", add_special_tokens=False).ids, packed.END_ID]
+        assert {w for w in encoder.known if "stökeit" in w} == {"stökeit", "(stökeit"}
+        assert len(encoder.known) == len(encoder.lengths) == len(encoder.starts) == len(encoder.met) < 80
