@@ -14,6 +14,7 @@ automata are compiled.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress, islice
 
 import ahocorasick
 import numpy as np
@@ -33,11 +34,17 @@ SHARD_ROWS, SPLIT_ROWS = 10_000, 2_000
 LEAST_SHARDS = 64
 
 
-def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Ends of the texts, hash of every word, and a 64-bit name of each whole word sequence."""
+def _sequences(texts: pa.Array) -> tuple[list[bytes], list[bytes]]:
+    """The words of every text joined by one space, and a 128-bit name of that."""
+    raw = pc.fill_null(texts.cast(pa.large_binary()), b"").to_numpy(zero_copy_only=False).tolist()
+    joined = [b" ".join(text.split()) for text in raw]
+    return joined, [xxhash.xxh3_128_digest(text) for text in joined]
+
+
+def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the texts and hash of every word."""
     ends, codes, words = split_words(texts)
-    hashes = word_hashes(words)[codes] if len(codes) else np.empty(0, np.uint64)
-    return ends, hashes, [xxhash.xxh3_128_digest(hashes[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
+    return ends, word_hashes(words)[codes] if len(codes) else np.empty(0, np.uint64)
 
 
 def _short(digests: list[bytes]) -> np.ndarray:
@@ -65,9 +72,10 @@ def _anchors(ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            ends, _, digests = _hashed(part.column("text"))
+            joined, digests = _sequences(part.column("text"))
+            sizes = [text.count(b" ") + 1 if text else 0 for text in joined]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(np.diff(ends)), pa.array(_short(digests)), pa.array(digests, pa.binary())],
+                [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(_short(digests)), pa.array(digests, pa.binary())],
                 names=["doc_id", "n_words", "seq", "digest"],
             )
 
@@ -75,7 +83,8 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            ends, hashes, digests = _hashed(part.column("text"))
+            ends, hashes = _hashed(part.column("text"))
+            _, digests = _sequences(part.column("text"))
             at, anchors = _anchors(ends, hashes)
             owner = np.repeat(np.arange(len(digests)), np.diff(ends))[at]
             new = np.ones(len(at), bool)
@@ -91,19 +100,20 @@ def _passages(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                ends, hashes, digests = _hashed(part.column("text"))
+                ends, hashes = _hashed(part.column("text"))
+                joined, digests = _sequences(part.column("text"))
                 at, anchors = _anchors(ends, hashes)
                 names = _short(digests).tolist()
                 docs, seqs = part.column("doc_id").to_pylist(), part.column("seq").to_pylist()
                 out: dict[str, list] = {c: [] for c in ("shard", "anchor", "splits", "doc_id", "seq", "at", "words")}
                 cuts = np.searchsorted(at, ends)
-                for i, text in enumerate(part.column("text").to_pylist()):
+                for i, text in enumerate(joined):
                     if names[i] != seqs[i]:  # another text of a repeated id
                         continue
                     own_at, own = at[cuts[i] : cuts[i + 1]] - ends[i], anchors[cuts[i] : cuts[i + 1]]
-                    wanted = np.array(part.column("anchors")[i].as_py(), np.int64)
+                    wanted = part.column("anchors")[i].values.to_numpy()
                     order = np.argsort(wanted, kind="stable")
-                    wanted, sizes = wanted[order], np.array(part.column("sizes")[i].as_py(), np.int64)[order]
+                    wanted, sizes = wanted[order], part.column("sizes")[i].values.to_numpy()[order]
                     place = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
                     hit = wanted[place] == own
                     first = hit.copy()
@@ -114,7 +124,7 @@ def _passages(shards: int):
                     stops = np.flatnonzero(final)
                     if not len(starts):
                         continue
-                    words = (text or "").encode().split()
+                    words = text.split(b" ")
                     splits = np.maximum(1, -(-sizes[place[starts]] // SPLIT_ROWS))
                     salt = mix(np.array([docs[i]], np.int64).view(np.uint64)) % splits.astype(np.uint64)
                     shard = mix(own[starts].view(np.uint64) + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(shards)
@@ -141,8 +151,17 @@ FOUND = pa.schema(
 FOUND_DDL = "kind int, shard long, anchor long, splits long, doc_id long, seq long, at long, stop long, low long, high long, words binary"
 
 
-def _numbered(passages: list[bytes], numbers: dict[bytes, int]) -> list[tuple[int, ...]]:
-    return [tuple([numbers.setdefault(w, len(numbers)) for w in p.split(b" ")]) for p in passages]
+def _listed(column: pa.ChunkedArray) -> list:
+    return column.to_numpy().tolist()
+
+
+def _numbered(*parts: pa.ChunkedArray) -> tuple[list[str], list[list[tuple[int, ...]]]]:
+    """Distinct words of all parts, and the word numbers of every run in each."""
+    runs = pa.concat_arrays([chunk.cast(pa.large_string()) for part in parts for chunk in part.chunks] or [pa.array([], pa.large_string())])
+    ends, codes, words = split_words(runs)
+    codes, ends = codes.tolist(), ends.tolist()
+    numbered = iter([tuple(codes[a:b]) for a, b in zip(ends[:-1], ends[1:])])
+    return words, [list(islice(numbered, len(part))) for part in parts]
 
 
 def _locate(patterns: dict[tuple[int, ...], int], passages: list[tuple[int, ...]], docs: list[int], at: list[int]) -> list[tuple[int, int, int]]:
@@ -189,60 +208,63 @@ def _windows(passages: list[tuple[int, ...]], docs: list[int]) -> dict[tuple[int
 
 def _shard(rows: pa.Table) -> pa.Table:
     """Confirm, compile and locate within one shard; what belongs to split anchors is handed on."""
-    out: dict[str, list] = {f.name: [] for f in FOUND}
+    whole = pc.equal(rows["splits"], 1)
+    own, rest = rows.filter(whole), rows.filter(pc.invert(whole))
+    docs, seqs, at = (_listed(own[c]) for c in ("doc_id", "seq", "at"))
+    _, [passages] = _numbered(own["words"])
+    confirmed = {w: low for w, (low, high) in _windows(passages, docs).items() if low < high}
+    tables = [_found(0, _runs(_locate(confirmed, passages, docs, at), docs, seqs))]
+    if rest.num_rows:
+        for group in rest.group_by(["anchor", "splits", "shard"]).aggregate([("doc_id", "list"), ("words", "list")]).to_pylist():
+            names, [passages] = _numbered(pa.chunked_array([pa.array(group["words_list"], pa.binary())]))
+            windows = _windows(passages, group["doc_id_list"])
+            same = {c: [group[c]] * len(windows) for c in ("anchor", "splits")}
+            low, high = ([ends[k] for ends in windows.values()] for k in (0, 1))
+            tables.append(_found(1, same | {"low": low, "high": high, "words": [" ".join([names[n] for n in w]).encode() for w in windows]}))
+        tables.append(_found(2, {c: rest[c] for c in PASSAGES.names}))
+    return pa.concat_tables(tables)
 
-    def add(**values) -> None:
-        for c in out:
-            out[c].append(values.get(c))
 
-    whole = pc.equal(rows["splits"], 1)
-    own = rows.filter(whole)
-    docs, seqs, at = own["doc_id"].to_pylist(), own["seq"].to_pylist(), own["at"].to_pylist()
-    passages = _numbered(own["words"].to_pylist(), {})
-    confirmed = {w: ends[0] for w, ends in _windows(passages, docs).items() if ends[0] < ends[1]}
-    for i, start, stop in _locate(confirmed, passages, docs, at):
-        add(kind=0, doc_id=docs[i], seq=seqs[i], at=start, stop=stop)
-    for group in rows.filter(pc.invert(whole)).group_by(["anchor", "splits", "shard"]).aggregate([("doc_id", "list"), ("words", "list")]).to_pylist():
-        numbers: dict[bytes, int] = {}
-        passages = _numbered(group["words_list"], numbers)
-        names = list(numbers)
-        for window, (low, high) in _windows(passages, group["doc_id_list"]).items():
-            add(kind=1, anchor=group["anchor"], splits=group["splits"], low=low, high=high, words=b" ".join(names[n] for n in window))
-    for row in rows.filter(pc.invert(whole)).to_pylist():
-        add(kind=2, **row)
-    return pa.Table.from_pydict(out, schema=FOUND)
+def _found(kind: int, columns: dict) -> pa.Table:
+    """Rows of one kind, null where ``columns`` has none."""
+    size = len(next(iter(columns.values())))
+    given = {"kind": [kind] * size} | columns
+    return pa.table([given[f.name] if isinstance(given.get(f.name), pa.ChunkedArray) else pa.array(given.get(f.name, [None] * size), f.type) for f in FOUND], schema=FOUND)
+
+
+def _runs(found: list[tuple[int, int, int]], docs: list[int], seqs: list[int]) -> dict[str, list[int]]:
+    return {"doc_id": [docs[i] for i, _, _ in found], "seq": [seqs[i] for i, _, _ in found], "at": [a for _, a, _ in found], "stop": [b for _, _, b in found]}
 
 
 def _split_shard(passages: pa.Table, windows: pa.Table) -> pa.Table:
     """Compile the merged windows of a shard's split anchors and locate them in its passages."""
-    numbers: dict[bytes, int] = {}
-    docs, seqs, at = passages["doc_id"].to_pylist(), passages["seq"].to_pylist(), passages["at"].to_pylist()
-    own = _numbered(passages["words"].to_pylist(), numbers)
-    patterns = dict(zip(_numbered(windows["window"].to_pylist(), numbers), windows["low"].to_pylist()))
-    found = _locate(patterns, own, docs, at)
-    return pa.table(
-        {"doc_id": [docs[i] for i, _, _ in found], "seq": [seqs[i] for i, _, _ in found], "at": [a for _, a, _ in found], "stop": [b for _, _, b in found]},
-        schema=pa.schema([(c, pa.int64()) for c in ("doc_id", "seq", "at", "stop")]),
-    )
+    docs, seqs, at = (_listed(passages[c]) for c in ("doc_id", "seq", "at"))
+    _, [own, merged] = _numbered(passages["words"], windows["window"])
+    found = _locate(dict(zip(merged, _listed(windows["low"]))), own, docs, at)
+    return pa.table(_runs(found, docs, seqs), schema=pa.schema([(c, pa.int64()) for c in ("doc_id", "seq", "at", "stop")]))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            _, _, digests = _hashed(part.column("text"))
+            joined, digests = _sequences(part.column("text"))
             seqs = _short(digests).tolist()
             sizes, gone, kept = [], [], []
-            for i, (text, runs) in enumerate(zip(part.column("text").to_pylist(), part.column("runs").to_pylist())):
-                words = (text or "").encode().split()
+            for i, (text, runs) in enumerate(zip(joined, part.column("runs").to_pylist())):
+                own = [run for run in runs or [] if run["seq"] == seqs[i]]
+                if not own:
+                    sizes.append(text.count(b" ") + 1 if text else 0)
+                    gone.append(0)
+                    kept.append(text)
+                    continue
+                words = text.split(b" ")
                 edges = np.zeros(len(words) + 1, np.int64)
-                for run in runs or []:
-                    if run["seq"] == seqs[i]:
-                        edges[run["at"]] += 1
-                        edges[run["stop"]] -= 1
+                np.add.at(edges, [run["at"] for run in own], 1)
+                np.add.at(edges, [run["stop"] for run in own], -1)
                 stays = np.cumsum(edges)[:-1] == 0
                 sizes.append(len(words))
                 gone.append(len(words) - int(stays.sum()))
-                kept.append(b" ".join(words[j] for j in np.flatnonzero(stays).tolist()) if gone[-1] else b" ".join(words))
+                kept.append(b" ".join(compress(words, stays.tolist())))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
                 names=["doc_id", "n_words", "n_removed", "kept_text"],

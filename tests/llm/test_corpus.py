@@ -548,3 +548,23 @@ def test_packed_encoder_learns_a_word_once_whatever_mark_follows(monkeypatch):
             assert found.tolist() == [*tokenizer.encode(text or "", add_special_tokens=False).ids, packed.END_ID]
         assert {w for w in encoder.known if "stökeit" in w} == {"stökeit", "(stökeit"}
         assert len(encoder.known) == len(encoder.lengths) == len(encoder.starts) == len(encoder.met) < 80
+
+
+def test_passages_are_named_and_cut_without_numbering_words(monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["a  b\tc", None, " \n"]})
+    (named,) = phrases._names(iter([batch]))
+    assert named.column("n_words").to_pylist() == [3, 0, 0]
+    assert named.column("digest")[1] == named.column("digest")[2] != named.column("digest")[0]
+
+    def numbered(*_):
+        raise AssertionError("words are numbered")
+
+    monkeypatch.setattr(phrases, "split_words", numbered)
+    assert next(phrases._names(iter([batch]))).equals(named)
+    runs = [[{"seq": named.column("seq")[0].as_py(), "at": 1, "stop": 2}, {"seq": 0, "at": 0, "stop": 1}], None, []]
+    (cut,) = phrases._cut(iter([batch.append_column("runs", pa.array(runs))]))
+    assert cut.select(["n_words", "n_removed", "kept_text"]).to_pylist() == [
+        {"n_words": 3, "n_removed": 1, "kept_text": "a c"},
+        {"n_words": 0, "n_removed": 0, "kept_text": ""},
+        {"n_words": 0, "n_removed": 0, "kept_text": ""},
+    ]
