@@ -13,6 +13,7 @@ in front of the block within its part), ``doc_ids, n_tokens, offsets, words``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,7 @@ HOPS = 3
 GROUP = 1 << 14
 MARK = "\x01"
 #: A letter that is one still when normalised ends a piece where a mark follows it; a space between them leaves the ids as they are.
+LETTERS = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+").fullmatch
 BEFORE_MARK, SET_APART = r"([a-zA-ZÀ-ÖØ-öø-ÿ])([!-/:-@\[-`{-~])", r"\1 \2"
 BLOCKS = "part int, block int, first_doc long, start long, doc_ids array<long>, n_tokens array<long>, offsets array<long>, words binary"
 
@@ -160,8 +162,8 @@ class Encoder:
 
     def prepare(self) -> None:
         if not hasattr(self, "tokenizer"):
-            self.tokenizer, self.library = Tokenizer.from_str(self.spec), Tokenizer.from_str(self.spec)
-            self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+            self.tokenizer = Tokenizer.from_str(self.spec)
+            self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
             # A word of a text without special tokens holds none, but its lowered form may look like one.
             self.tokenizer.encode_special_tokens = True
             self.ends_piece: dict[str, bool] = {}
@@ -199,7 +201,7 @@ class Encoder:
 
     def learn(self, words: list[str]) -> None:
         """Encode words that aren't known."""
-        letters = [w for w in words if w.isalpha() and (w.isascii() or all(map(self.closes, w)))]
+        letters = [w for w in words if LETTERS(w) or w.isalpha() and all(map(self.closes, w))]
         rest = [*set(words).difference(letters)]
         for start in range(0, len(letters), GROUP):
             group = letters[start : start + GROUP]
@@ -235,6 +237,8 @@ class Encoder:
         held = np.zeros(len(texts), bool)
         for token in self.special:
             held |= pc.fill_null(pc.match_substring(texts, token), False).to_numpy(zero_copy_only=False).astype(bool)
+        if held.any() and not hasattr(self, "library"):
+            self.library = Tokenizer.from_str(self.spec)
         alone = [self.library.encode(texts[i].as_py(), add_special_tokens=False).ids for i in np.flatnonzero(held).tolist()]
         texts = pc.if_else(pa.array(held), "", texts) if held.any() else texts
         ends, codes, words = split_words(pc.replace_substring_regex(texts, BEFORE_MARK, SET_APART), lower=True)
