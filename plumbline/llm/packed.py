@@ -181,7 +181,8 @@ class Encoder:
         flat = self.flat[_runs(self.starts[slots], taken)] if len(slots) else np.empty(0, np.uint32)
         met = self.met[slots] if len(slots) else np.empty(0, np.int64)
         self.known = {w: i for i, w in enumerate(words)}
-        self.flat, self.lengths, self.starts, self.met = flat, taken, np.cumsum(taken) - taken, met
+        # The end id lies in front of all words.
+        self.flat, self.lengths, self.starts, self.met = np.append(np.uint32(END_ID), flat), taken, 1 + np.cumsum(taken) - taken, met
 
     def closes(self, letter: str) -> bool:
         """Is the character a letter still when the tokenizer has normalised it?"""
@@ -202,14 +203,14 @@ class Encoder:
     def learn(self, words: list[str]) -> None:
         """Encode words that aren't known."""
         letters = [w for w in words if LETTERS(w) or w.isalpha() and all(map(self.closes, w))]
-        rest = [*set(words).difference(letters)]
+        rest, found = [*set(words).difference(letters)], []
         for start in range(0, len(letters), GROUP):
             group = letters[start : start + GROUP]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.last[ids]) + 1 if len(self.last) > 1 else []
             # Each word has a piece at least, so as many pieces as words are one each.
             if len(ends) == len(group) and ends[-1] == len(ids):
-                self.store(group, ids, np.diff(ends, prepend=0))
+                found.append((group, ids, np.diff(ends, prepend=0)))
             else:
                 rest += group
         plain = [w for w in rest if MARK not in w] if len(self.mark) == 1 else []
@@ -218,11 +219,13 @@ class Encoder:
             text = "".join([f"{MARK} {word} " for word in group])
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             marks = np.flatnonzero(ids == self.mark[0])
-            self.store(group, np.delete(ids, marks), np.diff(marks, append=len(ids)) - 1)
-        for word in rest:
-            if word not in self.known:
-                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-                self.store([word], np.array(ids, np.uint32), np.array([len(ids)]))
+            found.append((group, np.delete(ids, marks), np.diff(marks, append=len(ids)) - 1))
+        for word in set(rest).difference(plain):
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            found.append(([word], np.array(ids, np.uint32), np.array([len(ids)])))
+        if found:
+            groups, ids, lengths = zip(*found)
+            self.store([word for group in groups for word in group], np.concatenate(ids), np.concatenate(lengths))
 
     def store(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         """Remember words whose ids stand in a row."""
@@ -252,10 +255,9 @@ class Encoder:
         codes = np.insert(codes, ends[1:][held], len(words) + 1 + np.arange(len(alone)))
         ends = ends + np.concatenate([[0], np.cumsum(held)])
         codes = np.insert(codes, ends[1:], len(words))
-        more = [[END_ID], *alone]
-        lengths = np.array([len(x) for x in more], np.int64)
-        starts = np.append(self.starts[slots], len(self.flat) + np.cumsum(lengths) - lengths)
-        flat = np.append(self.flat, np.array([i for ids in more for i in ids], np.uint32))
+        lengths = np.array([1, *[len(x) for x in alone]], np.int64)
+        starts = np.concatenate([self.starts[slots], [0], len(self.flat) + np.cumsum(lengths[1:]) - lengths[1:]])
+        flat = np.append(self.flat, np.array([i for ids in alone for i in ids], np.uint32)) if alone else self.flat
         taken = np.append(self.lengths[slots], lengths)[codes]
         return flat[_runs(starts[codes], taken)], np.diff(np.cumsum(taken)[ends[1:] + np.arange(len(ends) - 1)], prepend=0)
 
